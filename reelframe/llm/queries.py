@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, work_dir
 from .simhash import near_duplicates
+from .warc import read_warc, write_warc
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    found = read_warc(spark, path)
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) AS long)")
+    again = F.col("record_type") == "revisit"
+    return found.select(
+        page("record_id").alias("page_id"),
+        F.when(again, F.col("payload_length")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(again, F.substring_index("header_digest", ":", -1)).otherwise(F.col("sha256")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +30,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_warc, op9_simhash)}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+}
