@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, work_dir
+from .secrets import BASE, scan_secrets
 from .simhash import near_duplicates
 from .warc import read_warc, write_warc
 
@@ -25,12 +26,29 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_digest(found: DataFrame) -> DataFrame:
+    """Counts and digests of scan_secrets' spans."""
+    said = lambda rows: F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in BASE),
+        F.sha2(said(base).cast("binary"), 256).alias("base_sha256"),
+        said(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op3_warc, op8_secrets, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
