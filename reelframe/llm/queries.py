@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table, work_dir
 from .secrets import BASE, scan_secrets
 from .simhash import near_duplicates
+from .toxicity import fit_severity, score_severity
 from .warc import read_warc, write_warc
 
 
@@ -48,7 +49,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op8_secrets, op9_simhash)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_severity(docs, table(spark, sf_dir, "labels"))
+    return score_severity(docs, model)
+
+
+QUERIES = {f.__name__: f for f in (op3_warc, op8_secrets, op9_simhash, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
