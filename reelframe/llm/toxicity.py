@@ -91,7 +91,7 @@ def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade
     return params[:width], params[width] + np.r_[0, np.cumsum(np.exp(params[width + 1 :]))]
 
 
-def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, least_df: int = 5, least_z: float = 5.0, most_features: int = 4096) -> SeverityModel:
+def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, least_df: int = 5, least_z: float = 7.0, most_features: int = 4096) -> SeverityModel:
     """Learn severity from a bounded sample: the `per_class` toxic and clean labelled rows of smallest xxhash64(doc_id).
 
     Features enter if at least `least_df` sampled rows hold them and their shares in the two classes differ by `least_z`

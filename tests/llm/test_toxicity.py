@@ -6,8 +6,8 @@ from reelframe.llm.toxicity import SeverityModel, drop_toxic, fit_cumulative, fi
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = fit_severity(docs, labels, per_class=400)
-    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    model = fit_severity(docs, labels.where("doc_id % 2 = 0"))
+    truth = {r.doc_id: r.toxic for r in labels.where("doc_id % 2 = 1").collect()}
     got = {r.doc_id: r for r in score_severity(docs, model).collect()}
     assert np.mean([got[d].toxic == bool(t) for d, t in truth.items()]) >= 0.97
     clean = [d for d, t in truth.items() if not t]
@@ -50,7 +50,7 @@ def test_gradient_is_that_of_the_likelihood():
 
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (None, "idiot idiot", "x"), (2, "", "x"), (2, "fine " * 50_000, "x")], "doc_id long, text string, toxic string")
-    model = SeverityModel({b"idiot": 9.0}, (3.0, 8.0))
+    model = SeverityModel({b"idiot ": 9.0}, (3.0, 8.0))
     got = [(r.doc_id, r.toxic, r.grade) for r in score_severity(docs, model).collect()]
     assert got == [(1, False, 0), (None, True, 2), (2, False, 0), (2, False, 0)]
     assert drop_toxic(docs, model).count() == 3
