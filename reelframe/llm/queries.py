@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
 from .common import table, work_dir
 from .secrets import BASE, scan_secrets
 from .simhash import near_duplicates
@@ -12,6 +14,11 @@ from .toxicity import fit_severity, score_severity
 from .warc import read_warc, write_warc
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -55,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_severity(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op8_secrets, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_warc, op8_secrets, op9_simhash, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
