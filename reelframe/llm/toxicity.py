@@ -58,7 +58,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, penalty: float = 2e-5, steps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, penalty: float = 2e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts by penalised maximum likelihood; (rows, cols, values) is a sparse feature matrix.
 
     Rows of grade 0, and of the grades above it, count by one over the root of their number, so that the smaller class
@@ -91,7 +91,7 @@ def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade
     return params[:width], params[width] + np.r_[0, np.cumsum(np.exp(params[width + 1 :]))]
 
 
-def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, least_df: int = 5, least_z: float = 7.0, most_features: int = 4096) -> SeverityModel:
+def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, least_df: int = 5, least_z: float = 7.0, most_features: int = 1024) -> SeverityModel:
     """Learn severity from a bounded sample: the `per_class` toxic and clean labelled rows of smallest xxhash64(doc_id).
 
     Features enter if at least `least_df` sampled rows hold them and their shares in the two classes differ by `least_z`
@@ -106,34 +106,43 @@ def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, le
     picked = {r.doc_id: r.toxic for r in [*pick(True), *pick(False)]}
     if len(set(picked.values())) < 2:
         return SeverityModel()
-    chosen = spark.sparkContext.broadcast(picked)
+    ids = spark.createDataFrame(sorted(picked.items()), "doc_id long, toxic int")  # 2 * per_class rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    rows = cut(rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")))
 
     def count(batches):
         for b in batches:
-            out: list[tuple[int, int, bytes, int]] = []
-            for d, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-                if d in chosen.value:
-                    out += [(d, chosen.value[d], w, n) for w, n in features_of(t).items()]
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["doc_id", "toxic", "word", "n"])
-
-    ids = sorted(picked)
-    sample = docs.where(F.col("doc_id").isin(ids)) if len(ids) <= 100 else docs
-    tf = cut(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, toxic int, word binary, n long").groupBy("doc_id", "toxic", "word").agg(F.max("n").alias("n")))
+            held: list[Counter[bytes]] = [Counter(), Counter()]
+            for toxic, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
+                held[toxic].update(features_of(t).keys())
+            names = sorted(held[0].keys() | held[1].keys())
+            cols = [pa.array(names, pa.binary()), *(pa.array([h[w] for w in names], pa.int64()) for h in held)]
+            yield pa.RecordBatch.from_arrays(cols, names=["word", "clean", "toxic"])
+
     sizes = Counter(picked.values())
-    a, b = F.sum("toxic"), F.count("*") - F.sum("toxic")
-    share = (a + b) / F.lit(float(sum(sizes.values())))
-    spread = F.sqrt(share * (1 - share) * F.lit(1 / sizes[1] + 1 / sizes[0]))
-    told = tf.groupBy("word").agg(F.count("*").alias("df"), (a / F.lit(float(sizes[1])) - b / F.lit(float(sizes[0]))).alias("gap"), spread.alias("spread"))
-    told = told.where((F.col("df") >= least_df) & (F.abs("gap") >= least_z * F.col("spread"))).orderBy(F.desc(F.abs("gap")), "word").limit(most_features)
-    vocab = {bytes(r.word): (i, r.gap) for i, r in enumerate(told.select("word", "gap").collect())}
+    told = rows.select("toxic", "text").mapInArrow(count, "word binary, clean long, toxic long")
+    told = told.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    share = (F.col("clean") + F.col("toxic")) / F.lit(float(sum(sizes.values())))
+    gap, spread = F.col("toxic") / F.lit(float(sizes[1])) - F.col("clean") / F.lit(float(sizes[0])), F.sqrt(share * (1 - share) * F.lit(1 / sizes[1] + 1 / sizes[0]))
+    told = told.where((F.col("clean") + F.col("toxic") >= least_df) & (F.abs(gap) >= least_z * spread))
+    told = told.select("word", gap.alias("gap")).orderBy(F.desc(F.abs("gap")), "word").limit(most_features)
+    vocab = {bytes(r.word): (i, r.gap) for i, r in enumerate(told.collect())}
     if not any(gap > 0 for _, gap in vocab.values()):
         return SeverityModel()
-    at = {d: i for i, d in enumerate(ids)}
-    y = np.array([picked[d] for d in ids])
-    triples = [(at[r.doc_id], *vocab[bytes(r.word)], r.n) for r in tf.join(F.broadcast(told.select("word")), "word", "left_semi").collect()]
-    rows, cols, gaps, counts = (np.array(c) for c in zip(*sorted(triples), strict=True))
-    heavy = np.bincount(rows, np.where(gaps > 0, counts, 0), minlength=len(ids))
+    sent = spark.sparkContext.broadcast({w: i for w, (i, _) in vocab.items()})
+
+    def pack(batches):
+        for b in batches:
+            found = [[(sent.value[w], n) for w, n in features_of(t).items() if w in sent.value] for t in texts_of(b.column(2))]
+            packed = [np.array(f, "<i4").tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "found"])
+
+    sample = rows.select("doc_id", "toxic", "text").mapInArrow(pack, "doc_id long, toxic int, found binary").orderBy("doc_id").toArrow()
+    y, found = sample["toxic"].to_numpy(), [np.frombuffer(x, "<i4").reshape(-1, 2) for x in sample["found"].to_pylist()]
+    rows = np.repeat(np.arange(len(y)), [len(x) for x in found])
+    cols, counts = np.concatenate(found).T.astype(np.int64)
+    gaps = np.array([gap for _, gap in vocab.values()])[cols]
+    heavy = np.bincount(rows, np.where(gaps > 0, counts, 0), minlength=len(y))
     grades = np.where(y > 0, 1 + (heavy > np.median(heavy[y > 0])), 0)
     if grades.max() < 2:
         grades[np.flatnonzero(y > 0)[-1]] = 2
