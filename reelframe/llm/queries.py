@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import table, work_dir
+from .repair import read_ids, write_ids
 from .secrets import BASE, scan_secrets
 from .simhash import near_duplicates
 from .toxicity import fit_severity, score_severity
@@ -34,6 +35,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "ids")
+    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_ids(spark, path, ids=False)
+
+
 def secret_digest(found: DataFrame) -> DataFrame:
     """Counts and digests of scan_secrets' spans."""
     said = lambda rows: F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -62,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_severity(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_warc, op8_secrets, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_warc, op6_repair, op8_secrets, op9_simhash, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
