@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import table, work_dir
+from .packing import pack_documents
 from .repair import read_ids, write_ids
 from .secrets import BASE, scan_secrets
 from .simhash import near_duplicates
@@ -41,6 +42,11 @@ def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path, ids=False)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
+
+
 def secret_digest(found: DataFrame) -> DataFrame:
     """Counts and digests of scan_secrets' spans."""
     said = lambda rows: F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -69,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_severity(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_warc, op6_repair, op8_secrets, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_warc, op6_repair, op7_packing, op8_secrets, op9_simhash, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
