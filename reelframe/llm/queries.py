@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .repair import read_ids, write_ids
 from .secrets import BASE, scan_secrets
 from .simhash import near_duplicates
+from .topk import top_k
 from .toxicity import fit_severity, score_severity
 from .warc import read_warc, write_warc
 
@@ -36,6 +37,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "ids")
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -75,8 +80,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_severity(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_warc, op6_repair, op7_packing, op8_secrets, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_warc, op5_topk, op6_repair, op7_packing, op8_secrets, op9_simhash, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
+    "op5_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
