@@ -17,11 +17,11 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import strings_of
+from .tokens import BYTE_LEVEL, word_finder
 
 _NEVER = np.int64(1) << 40
 
@@ -52,7 +52,8 @@ class BpeModel:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
         self._tables(merges)
-        self._known: dict[str, tuple] = {}
+        self._ids: dict[str, bytes] = {}
+        self._texts: dict[str, str] = {}
 
     def _text_rules(self, spec: dict) -> None:
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -61,10 +62,10 @@ class BpeModel:
             first = pre["pretokenizers"][0]
             if first["type"] != "Split" or first["behavior"] != "Removed" or not first["invert"]:
                 raise ValueError("unknown pre-tokenizer")
-            self.words = regex.compile(first["pattern"]["Regex"])
+            self.words = word_finder(first["pattern"]["Regex"])
             self.normal = lambda t: unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()  # letter by letter, so no final sigma
         elif not kinds and pre["type"] == "ByteLevel" and not pre["add_prefix_space"]:
-            self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+            self.words = word_finder(BYTE_LEVEL)
             self.normal = lambda t: t
         else:
             raise ValueError("unknown normalizer")
@@ -186,20 +187,20 @@ class BpeModel:
                 found[i] = None
         return [self.merge(w) if f is None else f for w, f in zip(words, found, strict=True)]
 
-    def known(self, words: set[str], most: int = 200_000) -> dict[str, tuple]:
-        """word -> (ids as little-endian bytes, decoded text) for at least the given words; forgets at `most`."""
-        new = [w for w in words if w not in self._known]
+    def know(self, words: set[str], most: int = 600_000) -> None:
+        """Have the ids (little-endian bytes) and decoded text of at least the given words at hand; forget at `most`."""
+        new = [w for w in words if w not in self._ids]
         if new:
-            if len(self._known) + len(new) > most:
-                self._known, new = {}, list(words)
+            if len(self._ids) + len(new) > most:
+                self._ids, self._texts, new = {}, {}, list(words)
             for w, ids in zip(new, self.encode_words(new), strict=True):
-                self._known[w] = np.array(ids, "<u4").tobytes(), self.joint.join([self.names[i] for i in ids])
-        return self._known
+                self._ids[w] = np.array(ids, "<u4").tobytes()
+                self._texts[w] = self.joint.join([self.names[i] for i in ids])
 
     def segments(self, text: str) -> list[tuple[int | None, list[str]]]:
         """(special id or None, words) of each stretch of text."""
         parts = self.split_special.split(text) if self.split_special and "<|" in text else [text]
-        return [(self.special[p], []) if p in self.special else (None, self.words.findall(self.normal(p))) for p in parts if p]
+        return [(self.special[p], []) if p in self.special else (None, self.words(self.normal(p))) for p in parts if p]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids, special tokens included, as the file's decoder joins them."""
@@ -215,11 +216,16 @@ class BpeModel:
 
     def _both(self, texts: list[str], decode: bool):
         split = [self.segments(t) for t in texts]
-        known = self.known({w for s in split for _, words in s for w in words})
+        self.know(set().union(*(words for s in split for _, words in s)))
+        ids_of, text_of = self._ids.__getitem__, self._texts.__getitem__
         for s in split:
-            got = [[(np.array([i], "<u4").tobytes(), self.names[i])] if i is not None else [known[w] for w in words] for i, words in s]
-            ids = b"".join([x[0] for g in got for x in g])
-            yield ids, self.joint.join([x[1] for g in got for x in g]) if decode and self.joint else self.decode(np.frombuffer(ids, "<u4")) if decode else ""
+            ids = b"".join([np.array([i], "<u4").tobytes() if i is not None else b"".join(map(ids_of, words)) for i, words in s])
+            if not decode:
+                yield ids, ""
+            elif self.joint:
+                yield ids, self.joint.join([x for i, words in s for x in ([self.names[i]] if i is not None else map(text_of, words))])
+            else:
+                yield ids, self.decode(np.frombuffer(ids, "<u4"))
 
     def round_trip(self, texts: list[str]):
         """(ids, decoded text) of each text; words are decoded once each where the decoder only joins tokens."""
