@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
+from .brown import fit_brown, score_brown
 from .common import table, work_dir
 from .lattice import near_vectors
 from .packing import pack_documents
@@ -42,6 +43,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    model = fit_brown(docs.where(~held))
+    found = score_brown(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -85,7 +94,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_severity(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_lattice, op3_warc, op5_topk, op6_repair, op7_packing, op8_secrets, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_lattice, op3_warc, op4_brown, op5_topk, op6_repair, op7_packing, op8_secrets, op9_simhash, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op2_lattice": """
         WITH RECURSIVE ok AS (
