@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pyarrow.parquet as pq
 import regex
@@ -11,7 +13,9 @@ from .test_bpe import ODD
 def test_equals_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib, own = Tokenizer.from_file(path), CachedTokenizer(path, most=3000)
-    texts = ODD + [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    rng = random.Random(0)
+    spaces = ["".join(rng.choice("ab.1'  \n\té\u00a0\u2003s") for _ in range(12)) for _ in range(3000)]
+    texts = spaces + ODD + [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
     for i in range(0, len(texts), 7):
         for t, ids in zip(texts[i : i + 7], own.encode(texts[i : i + 7]), strict=True):
             assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids, t
