@@ -1 +1,6 @@
-"""See the modules of this subpackage."""
+"""The registered queries over the driver's tables."""
+
+from . import packet_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
