@@ -156,7 +156,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
                 out: list[tuple] = []
                 arrays = []
                 for d, ids in zip(names, tok.encode(texts[at : at + 500]), strict=True):
-                    flat = np.r_[ids, tail].astype("<u4")
+                    flat = np.append(ids, tail).astype("<u4")
                     raw, ends = memoryview(flat.tobytes()), [*range(len(flat), 0, -capacity)][::-1]
                     for k, end in enumerate(ends):
                         start = ends[k - 1] if k else 0

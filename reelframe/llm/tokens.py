@@ -31,8 +31,8 @@ class CachedTokenizer:
     """The tokenizers library for one byte-level file; words met before aren't encoded again.
 
     Byte-level BPE never merges across words, so a text's ids are those of its words. New words that begin with a
-    space go to the library as one text, which it cuts at the same places; others go one by one. Texts that hold an
-    added token go to it whole.
+    space, and those of letters only, go to the library as one text, which it cuts at the same places; others go one by
+    one. Texts that hold an added token go to it whole.
     """
 
     def __init__(self, path: str, most: int = 500_000):
@@ -43,28 +43,34 @@ class CachedTokenizer:
         vocab = self.lib.get_vocab(with_added_tokens=False)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # the letter that stands for a space
+        self.line = vocab["Ċ"]  # the letter that stands for a line end
         self.kind = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
         self.words, self.ids = word_finder(BYTE_LEVEL), {}
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.ids]
+        new = words - self.ids.keys()
         if len(self.ids) + len(new) > self.most:
-            self.ids, new = {}, list(words)
-        spaced = [w for w in new if len(w) > 1 and w[0] == " " and w[1:].isalpha()]
-        if spaced:
-            ids = np.array(self.lib.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(spaced):
-                flat, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
-                ends = np.r_[starts[1:], len(ids)] * size
-                self.ids.update({w: flat[a:b] for w, a, b in zip(spaced, (starts * size).tolist(), ends.tolist(), strict=True)})
-                new = [w for w in new if w not in self.ids]
-        for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.ids, new = {}, words
+        alone = []
+        for lead, keys in ((" ", [w for w in new if w[0] == " " and w[1:].isalpha()]), ("\n", [w for w in new if w.isalpha()])):
+            if not keys:
+                continue
+            text = "".join(keys) if lead == " " else lead + lead.join(keys)
+            ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+            starts = np.flatnonzero(self.opens[ids] if lead == " " else ids == self.line)
+            if len(starts) != len(keys):
+                alone += keys
+                continue
+            flat, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+            begins, ends = (starts + (lead != " ")) * size, np.append(starts[1:], len(ids)) * size
+            self.ids.update(zip(keys, map(flat.__getitem__, map(slice, begins.tolist(), ends.tolist())), strict=True))
+        alone += [w for w in new if not (w.isalpha() or (w[0] == " " and w[1:].isalpha()))]
+        for w, e in zip(alone, self.lib.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self.ids[w] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens around it."""
-        special = [any(a in t for a in self.added) for t in texts]
+        special = [any(map(t.__contains__, self.added)) for t in texts]
         cut = [[] if s else self.words(t) for t, s in zip(texts, special, strict=True)]
         self._learn(set().union(*cut))
         get = self.ids.__getitem__
