@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,8 +136,6 @@ def crc(data: bytes, width: int) -> int:
 
 def crc_column(data: Column | str, width: int) -> Column:
     """The same as a column, by a pandas UDF."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else crc(bytes(x), width)).astype("Int64")
