@@ -62,13 +62,13 @@ def merge_by_dts(packets: DataFrame) -> DataFrame:
     return packets.withColumn("dts_us", us).withColumn("merged", F.row_number().over(order) - 1)
 
 
-_TRACK = Window.partitionBy("track").orderBy("idx")
-_BEFORE = _TRACK.rowsBetween(Window.unboundedPreceding, -1)
+def _track():
+    return Window.partitionBy("track").orderBy("idx")
 
 
 def sample_times(index: DataFrame) -> DataFrame:
     """Sample table with dts (sum of the deltas before) and pts = dts + cts."""
-    dts = F.coalesce(F.sum("delta").over(_BEFORE), F.lit(0))
+    dts = F.coalesce(F.sum("delta").over(_track().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return index.withColumn("dts", dts).withColumn("pts", F.col("dts") + F.col("cts"))
 
 
@@ -87,7 +87,7 @@ def expand_runs(runs: DataFrame, value: str) -> DataFrame:
 
 def keyframe_before(index: DataFrame) -> DataFrame:
     """Sample table with keyframe: the nearest sync sample at or before each sample, 0 if there is none."""
-    last = F.last(F.when(F.col("sync"), F.col("idx")), ignorenulls=True).over(_TRACK.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(F.col("sync"), F.col("idx")), ignorenulls=True).over(_track().rowsBetween(Window.unboundedPreceding, 0))
     return index.withColumn("keyframe", F.coalesce(last, F.lit(0)))
 
 
