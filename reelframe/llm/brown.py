@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, work_dir
+from .common import text_batches, texts_of, work_dir
 
 END = b""  # no word is empty
 
@@ -138,7 +138,7 @@ def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, cluste
     counts, whatever the corpus. An empty table gives a model that knows no word.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("text"))
+    texts = text_batches(docs.select(F.col(text_col).alias("text")))
     path = work_dir(spark, "word-counts")
     texts.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")).write.parquet(path)
     counts = spark.read.schema("word binary, c long").parquet(path)
@@ -238,7 +238,7 @@ def score_brown(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text
 
     kind = "row long, doc_id long, word binary, n_tokens long, n_known long, base double, score double, tf long"
     path = work_dir(spark, "scores")
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind).write.parquet(path)
+    text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, kind).write.parquet(path)
     both = spark.read.schema(kind).parquet(path)
     rare = model.counts.where(F.col("c") < model.least)
     tail = both.where("word IS NOT NULL").select("row", "word", "tf").join(rare, "word", "left")

@@ -36,6 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with the session's Arrow batches held to `rows` rows: texts may be long, and a batch exists in several copies."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+    return df
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, strings_of
+from .common import cut, strings_of, text_batches
 from .tokens import tokenizer_of
 
 
@@ -170,7 +170,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     kind = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
+    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, kind)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int | None = 2, keep_ids: bool = False) -> DataFrame:

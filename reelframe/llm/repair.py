@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings_of
+from .common import strings_of, text_batches
 from .tokens import tokenizer_of
 
 MAGIC = b"RPG1"
@@ -50,9 +50,13 @@ def compress(ids: np.ndarray, least: int = 12, most_rules: int = 8192, rounds: i
     for m in _MULTIPLIERS[:rounds]:
         if len(seq) < 2 * least:
             break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        h = ((keys * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64)
-        seen = np.empty(1 << bits, np.uint64)
+        if len(lengths) <= 1 << 16:
+            keys = (seq[:-1] << np.uint32(16)) | seq[1:]
+            h = ((keys * np.uint32(m & 0xFFFFFFFF)) >> np.uint32(32 - bits)).astype(np.int64)
+        else:
+            keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+            h = ((keys * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64)
+        seen = np.empty(1 << bits, keys.dtype)
         seen[h] = keys
         same = seen[h] == keys
         counts = np.bincount(h[same], minlength=1 << bits)
@@ -73,7 +77,8 @@ def compress(ids: np.ndarray, least: int = 12, most_rules: int = 8192, rounds: i
         at, named = at[keep], named[keep]
         size = len(lengths)
         pairs = seen[chosen]
-        a, b = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
+        half = 4 * keys.itemsize
+        a, b = (pairs >> keys.dtype.type(half)).astype(np.uint32), (pairs & keys.dtype.type((1 << half) - 1)).astype(np.uint32)
         left.append(a)
         right.append(b)
         lengths = np.r_[lengths, lengths[a] + lengths[b]]
@@ -178,7 +183,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2
             for at in range(0, len(texts), 500):
                 for d, x in zip(ids[at : at + 500], tok.encode(texts[at : at + 500]), strict=True):
                     names.append(d)
-                    pieces.append(np.r_[x, np.array(tail, x.dtype)])
+                    pieces.append(np.append(x, tail).astype(x.dtype) if tail else x)
                     held += len(pieces[-1])
                     if held >= shard_ids:
                         yield flush()
@@ -186,7 +191,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2
             yield flush()
 
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, FILE).write.option("compression", "zstd").parquet(path)
+    text_batches(ordered).mapInArrow(run, FILE).write.option("compression", "zstd").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings_of
+from .common import strings_of, text_batches
 
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 BASE = KINDS[:3]
@@ -184,7 +184,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_secrets(t)] for t in strings_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[secret]") -> str:
@@ -216,4 +216,4 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                     cols[size_at] = pa.array([len(t) if s else n for t, s, n in zip(clean, spans, old, strict=True)], b.column(size_at).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, connected_components, cut, key_bits, texts_of
+from .common import Forest, connected_components, cut, key_bits, text_batches, texts_of
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _ONES = np.uint64(0x0101010101010101)
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(t, words, seed) for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def bucket_edges(fps: np.ndarray, most: int, dense: int = 1024) -> list[tuple[int, int]]:

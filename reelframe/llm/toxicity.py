@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of
+from .common import cut, text_batches, texts_of
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -112,15 +112,17 @@ def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, le
 
     def count(batches):
         for b in batches:
-            held: list[Counter[bytes]] = [Counter(), Counter()]
-            for toxic, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-                held[toxic].update(features_of(t).keys())
-            names = sorted(held[0].keys() | held[1].keys())
-            cols = [pa.array(names, pa.binary()), *(pa.array([h[w] for w in names], pa.int64()) for h in held)]
-            yield pa.RecordBatch.from_arrays(cols, names=["word", "clean", "toxic"])
+            for at in range(0, b.num_rows, 256):  # few texts at a time: most features stand in one text only
+                part = b.slice(at, 256)
+                held: list[Counter[bytes]] = [Counter(), Counter()]
+                for toxic, t in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
+                    held[toxic].update(features_of(t).keys())
+                names = sorted(held[0].keys() | held[1].keys())
+                cols = [pa.array(names, pa.binary()), *(pa.array([h[w] for w in names], pa.int64()) for h in held)]
+                yield pa.RecordBatch.from_arrays(cols, names=["word", "clean", "toxic"])
 
     sizes = Counter(picked.values())
-    told = rows.select("toxic", "text").mapInArrow(count, "word binary, clean long, toxic long")
+    told = text_batches(rows.select("toxic", "text")).mapInArrow(count, "word binary, clean long, toxic long")
     told = told.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = (F.col("clean") + F.col("toxic")) / F.lit(float(sum(sizes.values())))
     gap, spread = F.col("toxic") / F.lit(float(sizes[1])) - F.col("clean") / F.lit(float(sizes[0])), F.sqrt(share * (1 - share) * F.lit(1 / sizes[1] + 1 / sizes[0]))
@@ -133,8 +135,10 @@ def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, le
 
     def pack(batches):
         for b in batches:
-            found = [[(sent.value[w], n) for w, n in features_of(t).items() if w in sent.value] for t in texts_of(b.column(2))]
-            packed = [np.array(f, "<i4").tobytes() for f in found]
+            packed = []
+            for t in texts_of(b.column(2)):
+                found = [(sent.value[w], n) for w, n in features_of(t).items() if w in sent.value]
+                packed.append(np.array(found, "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "found"])
 
     sample = rows.select("doc_id", "toxic", "text").mapInArrow(pack, "doc_id long, toxic int, found binary").orderBy("doc_id").toArrow()
@@ -175,7 +179,7 @@ def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id"
             kinds = (pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "p_grade", "severity", "grade", "toxic"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORES)
+    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, SCORES)
 
 
 def drop_toxic(docs: DataFrame, model: SeverityModel) -> DataFrame:
@@ -188,4 +192,4 @@ def drop_toxic(docs: DataFrame, model: SeverityModel) -> DataFrame:
             keep = pa.array([not (t and _judge(sent.value, t)[3]) for t in texts_of(b.column(at))], pa.bool_())
             yield pa.RecordBatch.from_arrays(b.columns, names=names).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
