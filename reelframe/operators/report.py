@@ -119,3 +119,44 @@ def write_report(fields: DataFrame, form: str) -> DataFrame:
     whole = parts.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", block.alias("b")))), lambda x: x["b"]), "").alias("report"))
     head = {"csv": "section,key,value\n", "xml": '<?xml version="1.0" encoding="UTF-8"?>\n<ffprobe>\n'}.get(form, "")
     return whole.select("path", F.concat(F.lit(head), "report", F.lit("</ffprobe>\n" if form == "xml" else "")).alias("report"))
+
+
+def describe(streams: DataFrame, probed: DataFrame, sizes: DataFrame, packets: DataFrame | None = None) -> DataFrame:
+    """The fields of each file's report: one FORMAT section, then a STREAM section for each stream.
+
+    streams are those of sources.media, probed has (path, format, score), sizes (path, length); packets, if given, are
+    counted for nb_read_packets. Fields without a value (no positive duration, no rate) are left out; files that can't
+    be read have an ERROR section.
+    """
+    ok = streams.where("status = 'ok'")
+    seconds = F.when(F.col("duration") > 0, F.col("duration") * F.col("tb_num") / F.col("tb_den"))
+    if packets is not None:
+        n = packets.where("status = 'ok'").groupBy("path", F.col("stream_index").alias("index")).agg(F.count("*").alias("_packets"))
+        ok = ok.join(n, ["path", "index"], "left").withColumn("_packets", F.coalesce("_packets", F.lit(0)))
+    else:
+        ok = ok.withColumn("_packets", F.lit(None).cast("long"))
+    video, audio = F.col("media_type") == "video", F.col("media_type") == "audio"
+    layout = F.when(F.col("channels") == 1, "mono").when(F.col("channels") == 2, "stereo").when(F.col("channels") == 6, "5.1").when(F.col("channels") == 8, "7.1").otherwise(F.concat(F.col("channels").cast("string"), F.lit("ch")))
+    text = lambda c: c.cast("string")
+    pairs = (
+        ("index", text(F.col("index"))), ("codec_name", F.col("codec")), ("codec_type", F.col("media_type")),
+        ("time_base", F.concat_ws("/", text(F.col("tb_num")), text(F.col("tb_den")))),
+        ("duration_ts", F.when(F.col("duration") > 0, text(F.col("duration")))), ("duration", F.format_string("%.6f", seconds)),
+        ("width", F.when(video, text(F.col("width")))), ("height", F.when(video, text(F.col("height")))),
+        ("sample_rate", F.when(audio, text(F.col("rate")))), ("channels", F.when(audio, text(F.col("channels")))), ("channel_layout", F.when(audio, layout)),
+        ("bits_per_sample", F.when(audio & (F.col("bits") > 0), text(F.col("bits")))),
+        ("bit_rate", F.when(F.col("codec").startswith("pcm") & (F.col("bits") > 0), text(F.col("rate").cast("long") * F.col("channels") * F.col("bits")))),
+        ("nb_read_packets", text(F.col("_packets"))),
+    )
+
+    def rows(df, section, number, fields):
+        cells = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields)), lambda x: x["value"].isNotNull())
+        return df.select("path", F.lit(section).alias("section"), number.cast("int").alias("number"), F.posexplode(cells).alias("ordinal", "f")).select("path", "section", "number", "ordinal", "f.key", "f.value")
+
+    whole = ok.groupBy("path").agg(F.count("*").alias("n"), F.max(seconds).alias("sec"))
+    whole = whole.join(probed, "path").join(sizes.select("path", F.col("length").alias("size")), "path")
+    rate = F.when(F.col("sec") > 0, text(F.round(F.col("size") * 8 / F.col("sec")).cast("long")))
+    top = (("filename", F.col("path")), ("nb_streams", text(F.col("n"))), ("format_name", F.col("format")), ("duration", F.format_string("%.6f", F.when(F.col("sec") > 0, F.col("sec")))), ("size", text(F.col("size"))), ("bit_rate", rate), ("probe_score", text(F.col("score"))))
+    bad = streams.where("status = 'error'")
+    out = rows(whole, "FORMAT", F.lit(0), top).union(rows(ok, "STREAM", F.col("index") + 1, pairs)).union(rows(bad, "ERROR", F.lit(0), (("string", F.col("error")),)))
+    return out.where(F.col("value") != "null")
