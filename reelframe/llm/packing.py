@@ -151,11 +151,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
         tok, tail = tokenizer_of(tokenizer), [] if end_id is None else [end_id]
         for b in batches:
             texts = strings_of(b.column(1))
-            for at in range(0, len(texts), 500):
-                names = b.column(0).slice(at, 500).to_pylist()
+            for at in range(0, len(texts), 1000):
+                names = b.column(0).slice(at, 1000).to_pylist()
                 out: list[tuple] = []
                 arrays = []
-                for d, ids in zip(names, tok.encode(texts[at : at + 500]), strict=True):
+                for d, ids in zip(names, tok.encode(texts[at : at + 1000]), strict=True):
                     flat = np.append(ids, tail).astype("<u4")
                     raw, ends = memoryview(flat.tobytes()), [*range(len(flat), 0, -capacity)][::-1]
                     for k, end in enumerate(ends):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import types
@@ -51,8 +52,11 @@ class CachedTokenizer:
         new = words - self.ids.keys()
         if len(self.ids) + len(new) > self.most:
             self.ids, new = {}, words
-        alone = []
-        for lead, keys in ((" ", [w for w in new if w[0] == " " and w[1:].isalpha()]), ("\n", [w for w in new if w.isalpha()])):
+        spaced = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        rest = new.difference(spaced)  # few
+        letters = [w for w in rest if w.isalpha()]
+        alone = list(rest.difference(letters))
+        for lead, keys in ((" ", spaced), ("\n", letters)):
             if not keys:
                 continue
             text = "".join(keys) if lead == " " else lead + lead.join(keys)
@@ -64,12 +68,20 @@ class CachedTokenizer:
             flat, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
             begins, ends = (starts + (lead != " ")) * size, np.append(starts[1:], len(ids)) * size
             self.ids.update(zip(keys, map(flat.__getitem__, map(slice, begins.tolist(), ends.tolist())), strict=True))
-        alone += [w for w in new if not (w.isalpha() or (w[0] == " " and w[1:].isalpha()))]
         for w, e in zip(alone, self.lib.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self.ids[w] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens around it."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of words are made here and no cycles; looking for some takes a twentieth of the time
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         special = [any(map(t.__contains__, self.added)) for t in texts]
         cut = [[] if s else self.words(t) for t, s in zip(texts, special, strict=True)]
         self._learn(set().union(*cut))
