@@ -1,16 +1,20 @@
 """Language-model scores by a Brown class-based bigram model, beside an add-one unigram base.
 
 The frequent words are assigned to classes by the exchange algorithm: each in turn moves to the class that raises the
-likelihood of the class bigrams most, until a sweep moves none. All other words share one class, and so does the end of
-a text with nothing. A token's probability is the class transition times the word's emission by its class, mixed with
-the add-one unigram. Counts are over the whole training text: those of all words stay a distributed table; only the
-most frequent ones, of a fixed number, are sent to the tasks, and the rest is joined.
+likelihood of the class bigrams most, until a sweep moves none. Every later word then goes to the class of the largest
+exchange gain over the frequent words' class bigrams, from its own counts by the classes before and after it. These are
+a sparse table by word, so that the words are placed side by side. Only words unseen in training have a class of their
+own, and so does the end of a text. A token's probability is the class transition times the word's emission by its
+class, mixed with the add-one unigram. Counts are over the whole training text, and transitions over all its words:
+those of all words stay a distributed table; only the most frequent ones, of a fixed number, are sent to the tasks, and
+the rest is joined.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +36,27 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
-    """Class of each word by exchange clustering on bigram counts pairs (m + 2, m + 2).
+def _gains(n: np.ndarray, rows: np.ndarray, cols: np.ndarray, after: np.ndarray, before: np.ndarray, own: float, classes: int) -> np.ndarray:
+    """Gain in log likelihood of each of the classes by taking a word that n, rows and cols don't hold.
+
+    after, before: the word's counts by class; own: its pairs with itself.
+    """
+    x, y = np.flatnonzero(after), np.flatnonzero(before)  # the other terms are nought
+    total_after, total_before = after.sum() + own, before.sum() + own
+    a, b, d = n[:classes, x], n[y, :classes].T, np.diagonal(n)[:classes]
+    gain = (_xlogx(a + after[x]) - _xlogx(a)).sum(1) + (_xlogx(b + before[y]) - _xlogx(b)).sum(1)
+    gain -= _xlogx(d + after[:classes]) + _xlogx(d + before[:classes]) - 2 * _xlogx(d)
+    gain += _xlogx(d + after[:classes] + before[:classes] + own) - _xlogx(d)
+    gain -= _xlogx(rows[:classes] + total_after) - _xlogx(rows[:classes]) + _xlogx(cols[:classes] + total_before) - _xlogx(cols[:classes])
+    return gain
+
+
+def exchange(pairs: np.ndarray, classes: int, sweeps: int | None = None) -> np.ndarray:
+    """Class of each word by exchange clustering on bigram counts pairs (m + 2, m + 2), until a sweep moves none.
 
     The last two rows and columns are the other words and the text end; they keep classes of their own (classes and
-    classes + 1). Words start round robin in their order. Ties keep a word where it is, else the lowest class takes it.
+    classes + 1). Words start round robin in their order. Ties, as far as rounding tells, keep a word where it is, else
+    the lowest class takes it. Every move raises the likelihood, so the sweeps end; `sweeps` bounds them if given.
     """
     m, k = len(pairs) - 2, classes + 2
     cls = np.r_[np.arange(m) % classes, classes, classes + 1]
@@ -46,60 +66,68 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     to_class, from_class = pairs @ member, pairs.T @ member  # of each word: counts by the class after and before it
     n = member.T @ pairs @ member
     rows, cols = n.sum(1), n.sum(0)
-    every = np.arange(classes)
-    for _ in range(sweeps):
-        moved = 0
+    least = 1e-9 + 1e-14 * float(_xlogx(n.sum()))
+    done, moved = 0, m
+    while moved and (sweeps is None or done < sweeps):
+        moved, done = 0, done + 1
         for w in range(m):
             g, own = int(cls[w]), pairs[w, w]
             after, before = to_class[w].copy(), from_class[w].copy()
             after[g] -= own
             before[g] -= own
-            total_after, total_before = after.sum() + own, before.sum() + own
             n[g] -= after
             n[:, g] -= before
             n[g, g] -= own
-            rows[g] -= total_after
-            cols[g] -= total_before
-            a, b = n[:classes], n.T[:classes]
-            gain = (_xlogx(a + after) - _xlogx(a)).sum(1) + (_xlogx(b + before) - _xlogx(b)).sum(1)
-            d = n[every, every]
-            gain -= _xlogx(d + after[:classes]) + _xlogx(d + before[:classes]) - 2 * _xlogx(d)
-            gain += _xlogx(d + after[:classes] + before[:classes] + own) - _xlogx(d)
-            gain -= _xlogx(rows[:classes] + total_after) - _xlogx(rows[:classes]) + _xlogx(cols[:classes] + total_before) - _xlogx(cols[:classes])
+            rows[g] -= after.sum() + own
+            cols[g] -= before.sum() + own
+            gain = _gains(n, rows, cols, after, before, own, classes)
             best = int(gain.argmax())
-            if gain[best] <= gain[g] + 1e-9:
+            if gain[best] <= gain[g] + least:
                 best = g
             n[best] += after
             n[:, best] += before
             n[best, best] += own
-            rows[best] += total_after
-            cols[best] += total_before
+            rows[best] += after.sum() + own
+            cols[best] += before.sum() + own
             if best != g:
                 moved += 1
                 cls[w] = best
                 for table, counts in ((to_class, pairs[:, w]), (from_class, pairs[w])):
                     table[:, g] -= counts
                     table[:, best] += counts
-        if not moved:
-            break
     return cls
 
 
+def place(n: np.ndarray, after: np.ndarray, before: np.ndarray, own: float) -> int:
+    """The class of the largest exchange gain for a word that n (class bigrams) holds among the other words, last but one."""
+    classes = len(n) - 2
+    rows, cols = n.sum(1), n.sum(0)  # of the classes it may take: their neighbours stay their neighbours
+    n = n.copy()
+    n[classes] -= after
+    n[:, classes] -= before
+    n[classes, classes] -= own
+    return int(_gains(n, rows, cols, after, before, own, classes).argmax())
+
+
 @dataclass
 class BrownModel:
-    """What scoring needs: counts as a table, the frequent words' counts and classes, class transitions."""
+    """What scoring needs: all words' counts and classes as a table, those of the frequent words, class transitions."""
 
-    counts: DataFrame  # word binary, c long: all training words
+    counts: DataFrame  # word binary, c long, class int: all training words, and END
     tokens: int
     distinct: int
     frequent: dict[bytes, int]  # every word counted at least `least` times, in no more than a fixed number
     least: int
-    classed: dict[bytes, int]  # word -> class of the clustered words; END -> its class
-    transitions: np.ndarray  # smoothed P(class | class before), (classes + 2) squared
+    known: dict[bytes, int]  # frequent word -> class
+    transitions: np.ndarray  # smoothed P(class | class before), (classes + 2) squared; the last two: unseen words, END
     sizes: np.ndarray  # training tokens of each class
-    others: tuple[int, int]  # tokens and distinct words of the class of other words
     mix: float = 0.9
 
+    @cached_property
+    def classed(self) -> dict[bytes, int]:
+        """Word -> class of all training words; gathers them, so for small tables only."""
+        return {bytes(r.word): r["class"] for r in self.counts.collect()}
+
 
 def _count(batches):
     held: Counter[bytes] = Counter()
@@ -132,10 +160,11 @@ def _most(counts: DataFrame, by_count: list[tuple[int, int]], most: int) -> tupl
 
 
 def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, clustered: int = 1024, frequent: int = 200_000, mix: float = 0.9, add: float = 0.5) -> BrownModel:
-    """Learn from all texts of docs (null: empty): counts of all words, classes of the `clustered` most frequent.
+    """Learn from all texts of docs (null: empty): counts and classes of all words, and the transitions of all tokens.
 
-    The driver gets the numbers of words by count, at most `frequent` words and at most (clustered + 2) squared pair
-    counts, whatever the corpus. An empty table gives a model that knows no word.
+    The `clustered` most frequent words are exchanged with each other, all later ones placed by the same gain. The driver
+    gets the numbers of words by count, at most `frequent` words and at most (clustered + 2) squared pair counts; what
+    grows with the vocabulary stays in tables. An empty table gives a model that knows no word.
     """
     spark = docs.sparkSession
     texts = text_batches(docs.select(F.col(text_col).alias("text")))
@@ -146,7 +175,7 @@ def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, cluste
     tokens, distinct = sum(c * n for c, n in by_count), sum(n for _, n in by_count)
     known, least = _most(counts, by_count, frequent)
     names = [w for w in known if w != END][:clustered]
-    m = len(names)
+    m, k = len(names), classes + 2
     sent = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
 
     def pairs_of(batches):
@@ -180,13 +209,107 @@ def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, cluste
     pairs = np.zeros((m + 2, m + 2), np.int64)
     pairs[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
     cls = exchange(pairs, classes)
-    member = np.zeros((m + 2, classes + 2))
+    member = np.zeros((m + 2, k))
     member[np.arange(m + 2), cls] = 1
-    moves = member.T @ pairs @ member
-    sizes = moves.sum(0)
-    inside = sum(known[w] for w in names) + known.get(END, 0)
-    rest = (tokens - inside, distinct - m - (END in known))
-    return BrownModel(counts, tokens, distinct, known, least, {**{w: int(cls[i]) for i, w in enumerate(names)}, END: classes + 1}, (moves + add) / (moves.sum(1, keepdims=True) + add * (classes + 2)), sizes, rest, mix)
+    core = spark.sparkContext.broadcast(({w: i for i, w in enumerate(names)}, cls, member.T @ pairs @ member))
+
+    def around(batches):
+        """Of each later word: counts by the class after it, by the class before it (from k on), and with itself (2 k)."""
+        index, cls, _ = core.value
+        local: dict[bytes, int] = {}
+        flat: list[np.ndarray] = []
+        size = 0
+
+        def add_up():
+            keys, n = np.unique(np.concatenate(flat), return_counts=True) if flat else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            names = pa.array(list(local), pa.binary())
+            return pa.RecordBatch.from_arrays([names.take(pa.array(keys // (2 * k + 1))), pa.array((keys % (2 * k + 1)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "slot", "n"])
+
+        for b in batches:
+            for t in texts_of(b.column(0)):
+                words = words_of(t)
+                ids = np.fromiter((index[w] if w in index else -1 - local.setdefault(w, len(local)) for w in words), np.int64, len(words))
+                ids = np.r_[m + 1, ids, m + 1]
+                at = np.flatnonzero(ids < 0)
+                if len(at):
+                    by = np.where(ids < 0, classes, cls[np.maximum(ids, 0)])
+                    base = (-1 - ids[at]) * (2 * k + 1)
+                    other = ids[at - 1] != ids[at]
+                    flat += [base + np.where(ids[at + 1] == ids[at], 2 * k, by[at + 1]), (base + k + by[at - 1])[other]]
+                    size += len(at)
+                if size >= 500_000:
+                    yield add_up()
+                    local, flat, size = {}, [], 0
+        yield add_up()
+
+    def placed(batches):
+        n = core.value[2]
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for found in b.column(1).to_pylist():
+                by = np.zeros(2 * k + 1)
+                for x in found:
+                    by[x["slot"]] = x["n"]
+                after, before, own = by[:k], by[k : 2 * k], by[2 * k]
+                out.append((int(after.sum() + own), place(n, after, before, own)))
+            c, to = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(to, pa.int32())], names=["word", "c", "class"])
+
+    kind = "word binary, c long, class int"
+    path = work_dir(spark, "word-classes")
+    later = texts.mapInArrow(around, "word binary, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    later = later.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("found"))
+    later.mapInArrow(placed, kind).write.parquet(path)
+    first = [(bytearray(w), known[w], int(cls[i])) for i, w in enumerate(names)]
+    if tokens:
+        texts_n = int(pairs[m + 1].sum())
+        first.append((bytearray(END), texts_n, classes + 1))
+    spark.createDataFrame(first, kind).coalesce(1).write.mode("append").parquet(path)
+    counts = spark.read.schema(kind).parquet(path)
+    by_class = counts.where(F.col("c") >= least).toArrow()
+    class_of = dict(zip(by_class["word"].to_pylist(), by_class["class"].to_pylist(), strict=True))
+    whole = spark.sparkContext.broadcast(class_of)
+
+    def moves_of(batches):
+        """Class bigrams; where a word wasn't sent, it stands in the place of its class."""
+        index, total = whole.value, np.zeros(k * k, np.int64)
+        held: Counter[tuple[bytes | None, bytes | None, int, int]] = Counter()
+
+        def told():
+            a, b, ka, kb = zip(*held, strict=True) if held else ((), (), (), ())
+            cols = [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(ka, pa.int32()), pa.array(kb, pa.int32()), pa.array(list(held.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "ka", "kb", "n"])
+
+        for b in batches:
+            for t in texts_of(b.column(0)):
+                words = words_of(t)
+                by = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
+                by = np.r_[classes + 1, by, classes + 1]
+                x, y = by[:-1], by[1:]
+                sure = (x >= 0) & (y >= 0)
+                total += np.bincount(x[sure] * k + y[sure], minlength=k * k)
+                for i in np.flatnonzero(~sure).tolist():
+                    held[words[i - 1] if x[i] < 0 else None, words[i] if y[i] < 0 else None, int(x[i]), int(y[i])] += 1
+                if len(held) > 200_000:
+                    yield told()
+                    held = Counter()
+        for i in np.flatnonzero(total).tolist():
+            held[None, None, i // k, i % k] = int(total[i])
+        yield told()
+
+    found = texts.mapInArrow(moves_of, "a binary, b binary, ka int, kb int, n long")
+    if len(known) < distinct:
+        path = work_dir(spark, "class-pairs")
+        found.write.parquet(path)
+        found = spark.read.schema("a binary, b binary, ka int, kb int, n long").parquet(path)
+        rare = counts.where(F.col("c") < least)
+        for x in "ab":  # no null keys in the joins
+            by = rare.select(F.col("word").alias(x), F.col("class").alias("to"))
+            found = found.where(F.col(x).isNull()).union(found.where(F.col(x).isNotNull()).join(by, x).withColumn(f"k{x}", F.col("to")).select("a", "b", "ka", "kb", "n"))
+    moves = np.zeros((k, k))
+    for r in found.groupBy("ka", "kb").agg(F.sum("n").alias("n")).collect():
+        moves[r.ka, r.kb] = r.n
+    return BrownModel(counts, tokens, distinct, known, least, class_of, (moves + add) / (moves.sum(1, keepdims=True) + add * k), moves.sum(0), mix)
 
 
 def score_brown(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,55 +318,88 @@ def score_brown(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text
     Scores are log10 probabilities of the words and the end of the text: base_score by the add-one unigram, score by
     the class model. Null and empty texts consist of the end alone. Repeated rows and null ids each give a row; further
     columns are ignored; an empty table gives no rows. Words that were not sent to the tasks are joined with the table
-    of counts, once for each text they stand in.
+    of counts and classes, once for each text they stand in, if the table holds more words than were sent.
     """
     spark = docs.sparkSession
     words = [w for w in model.frequent if w != END]
     index = {w: i for i, w in enumerate(words)}
     other = len(model.transitions) - 2
-    cls = np.array([model.classed.get(w, other) for w in words] + [other, other + 1], np.int64)
+    cls = np.array([model.known[w] for w in words] + [other, other + 1], np.int64)
     c = np.array([model.frequent[w] for w in words] + [0, model.frequent.get(END, 0)], np.float64)
-    whole, rest = model.tokens + model.distinct + 1, model.others[0] + model.others[1] + 1
-    emit = np.where(cls == other, (c + 1) / rest, c / np.maximum(model.sizes[cls], 1))
-    emit[-1] = 1.0
-    sent = spark.sparkContext.broadcast((index, cls, c, emit, model.transitions, model.mix, whole, rest))
+    whole, more = model.tokens + model.distinct + 1, len(model.frequent) < model.distinct
+    emit = c / np.maximum(model.sizes[cls], 1)
+    emit[-2:] = 1.0  # unseen words count as one
+    sent = spark.sparkContext.broadcast((index, cls, c, emit, model.transitions, model.sizes, model.mix, whole))
+    term = np.dtype([("a", "<i4"), ("b", "<i4"), ("emit", "<f8"), ("base", "<f8")])  # a, b: class, or -1 - place of a word
 
     def run(batches):
-        index, cls, c, emit, trans, mix, whole, rest = sent.value
+        index, cls, c, emit, trans, _, mix, whole = sent.value
         n, end, other = len(index), len(index) + 1, len(trans) - 2
         log_c, row = np.log10(c + 1), TaskContext.get().partitionId() << 33
-        unknown = np.zeros(n + 2, bool)
-        unknown[n] = True
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(10)]
             for d, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 words = words_of(t)
                 ids = np.append(np.fromiter((index.get(w, n) for w in words), np.int64, len(words)), end)
                 k = cls[ids]
-                step = trans[np.r_[other + 1, k[:-1]], k]
-                rare = ids == n  # their log10(c + 1) comes from the join
-                p = np.where(rare, mix * step / rest + (1 - mix) / whole, mix * step * emit[ids] + (1 - mix) * (c[ids] + 1) / whole)
+                before = np.r_[other + 1, k[:-1]]
+                p = mix * trans[before, k] * emit[ids] + (1 - mix) * (c[ids] + 1) / whole
                 base = log_c[ids].sum() - len(ids) * np.log10(whole)
-                fields = (row, d, None, len(ids), int((c[ids] > 0).sum()), float(base), float(np.log10(p).sum()), None)
-                for col, x in zip(out, fields, strict=True):
+                terms, tail = None, Counter()
+                rare = np.flatnonzero(ids == n) if more else ()
+                if len(rare):
+                    seen = [words[i] for i in rare.tolist()]
+                    tail = Counter(seen)
+                    place = {w: -1 - i for i, w in enumerate(tail)}
+                    k = k.copy()
+                    k[rare] = [place[w] for w in seen]
+                    before = np.r_[other + 1, k[:-1]]
+                    late = (k < 0) | (before < 0)
+                    found = np.zeros(late.sum(), term)
+                    found["a"], found["b"], found["emit"], found["base"] = before[late], k[late], emit[ids[late]], (c[ids[late]] + 1) / whole
+                    p[late], terms = 1.0, found.tobytes()
+                for col, x in zip(out, (row, d, None, len(ids), int((c[ids] > 0).sum()), float(base), float(np.log10(p).sum()), terms, None, None), strict=True):
                     col.append(x)
-                if rare.any():
-                    tail = Counter([w for w, r in zip(words, rare.tolist(), strict=False) if r])
-                    size = len(tail)
-                    for col, xs in zip(out, ([row] * size, [d] * size, tail.keys(), [None] * size, [None] * size, [None] * size, [None] * size, tail.values()), strict=True):
-                        col.extend(xs)
+                size = len(tail)
+                for col, xs in zip(out, ([row] * size, [d] * size, tail.keys(), *([[None] * size] * 5), range(size), tail.values()), strict=True):
+                    col.extend(xs)
                 row += 1
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["row", "doc_id", "word", "n_tokens", "n_known", "base", "score", "tf"])
-
-    kind = "row long, doc_id long, word binary, n_tokens long, n_known long, base double, score double, tf long"
-    path = work_dir(spark, "scores")
-    text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, kind).write.parquet(path)
-    both = spark.read.schema(kind).parquet(path)
-    rare = model.counts.where(F.col("c") < model.least)
-    tail = both.where("word IS NOT NULL").select("row", "word", "tf").join(rare, "word", "left")
-    tail = tail.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("seen"))
-    got = both.where("word IS NULL").join(tail, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    out = got.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
-    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["row", "doc_id", "word", "n_tokens", "n_known", "base_score", "score", "terms", "place", "tf"])
+
+    def finish(batches):
+        _, _, _, _, trans, sizes, mix, whole = sent.value
+        other = len(trans) - 2
+        for b in batches:
+            known, base, score = (b.column(i).to_pylist() for i in (2, 3, 4))
+            for i, (terms, found) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)):
+                if not terms:
+                    continue
+                terms = np.frombuffer(terms, term)
+                c, k = np.zeros(len(found)), np.full(len(found), other)
+                for x in found:
+                    if x["c"]:
+                        c[x["place"]], k[x["place"]] = x["c"], x["class"]
+                        known[i] += x["tf"]
+                        base[i] += x["tf"] * float(np.log10(x["c"] + 1))
+                emit = np.where(k == other, 1.0, c / np.maximum(sizes[k], 1))
+                x, y = (np.where(t < 0, k[np.maximum(-1 - t, 0)], t) for t in (terms["a"], terms["b"]))
+                at = -1 - terms["b"]
+                mine = at >= 0
+                e, u = np.where(mine, emit[at * mine], terms["emit"]), np.where(mine, (c[at * mine] + 1) / whole, terms["base"])
+                score[i] += float(np.log10(mix * trans[x, y] * e + (1 - mix) * u).sum())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    kind = "row long, doc_id long, word binary, n_tokens long, n_known long, base_score double, score double, terms binary, place int, tf long"
+    got = text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, kind)
+    fields = ("doc_id", "n_tokens", "n_known", "base_score", "score")
+    if more:
+        path = work_dir(spark, "scores")
+        got.write.parquet(path)
+        both = spark.read.schema(kind).parquet(path)
+        rare = model.counts.where(F.col("c") < model.least)
+        tail = both.where("word IS NOT NULL").select("row", "word", "place", "tf").join(rare, "word", "left")
+        tail = tail.groupBy("row").agg(F.collect_list(F.struct("place", "c", "class", "tf")).alias("found"))
+        got = both.where("word IS NULL").join(tail, "row", "left").select(*fields, "terms", "found")
+        got = got.mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return got.select(*fields).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

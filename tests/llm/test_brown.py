@@ -115,3 +115,25 @@ def test_query(spark, sf):
         assert abs(g.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-6 * len(t)
     out = [g for g in got.values() if g.held_out]
     assert sum(g.score for g in out) > sum(g.base_score for g in out)
+
+
+@pytest.mark.parametrize("frequent", [200_000, 3])
+def test_later_words_get_the_class_of_their_kind(spark, frequent):
+    """Words of two kinds take turns; only the two most frequent are exchanged, the later ones behave like one of them."""
+    texts = ["a b " * 40] + [f"a y{i} a y{i} x{i} b x{i} b" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = fit_brown(df, classes=2, clustered=2, frequent=frequent)
+    cls = model.classed
+    assert len(cls) == len({w for t in texts for w in tokens(t)}) and max(k for w, k in cls.items() if w != END) < 2
+    assert cls[b"a"] != cls[b"b"]
+    assert {cls[b"x%d" % i] for i in range(30)} == {cls[b"a"]} and {cls[b"y%d" % i] for i in range(30)} == {cls[b"b"]}
+    size = Counter()
+    for w, c in Counter(w for t in texts for w in tokens(t)).items():
+        size[cls[w]] += c
+    assert [size[k] for k in range(4)] == model.sizes.tolist()
+
+
+def test_exchange_sweeps_until_nothing_moves():
+    rng = np.random.default_rng(1)
+    pairs = np.pad(rng.poisson(0.3, (400, 400)), (0, 2))
+    assert exchange(pairs, 12).tolist() == exchange(pairs, 12, sweeps=1000).tolist()
