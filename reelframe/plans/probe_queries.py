@@ -22,7 +22,7 @@ KINDS = ("wav", "aiff", "flac", "ogg", "mp4", "flv", "avi", "mp4")
 
 def _media(spark, d):
     head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % 8 + 1).cast("int"))
-    return V.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".bin")).alias("path"), F.concat(head, F.substring("text", 1, 200)).cast("binary").alias("content"))
+    return V.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".bin")).alias("path"), F.concat(head, "text").cast("binary").alias("content"))
 
 
 _KIND = "[" + ", ".join(f"'{k}'" for k in KINDS) + "][doc_id % 8 + 1]"

@@ -99,3 +99,13 @@ def test_conversions_keep_shapes():
         assert [p.shape[1:] for p in out] == [K.plane_shape(b, 8, 6, p) for p in range(K.FORMATS[b][3])]
     with pytest.raises(ValueError):
         K.convert_planes(planes, "gray8", "nv12")
+
+
+def test_probed_files_hold_whole_texts(spark, sf):
+    from pyspark.sql import functions as F
+
+    from reelframe.plans.probe_queries import HEADS, _media
+
+    texts = {f"{r.doc_id}.bin": HEADS[r.doc_id % 8] + r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where(F.length("text") > 200).collect()}
+    got = {r.path: bytes(r.content) for r in _media(spark, sf).collect()}
+    assert texts and all(got[p] == t.encode() for p, t in texts.items())
