@@ -58,7 +58,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, penalty: float = 2e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, penalty: float = 2e-5, steps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts by penalised maximum likelihood; (rows, cols, values) is a sparse feature matrix.
 
     Rows of grade 0, and of the grades above it, count by one over the root of their number, so that the smaller class
@@ -91,11 +91,11 @@ def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade
     return params[:width], params[width] + np.r_[0, np.cumsum(np.exp(params[width + 1 :]))]
 
 
-def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, least_df: int = 5, least_z: float = 7.0, most_features: int = 1024) -> SeverityModel:
+def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, least_df: int = 5, least_z: float = 7.0, most_features: int = 4096) -> SeverityModel:
     """Learn severity from a bounded sample: the `per_class` toxic and clean labelled rows of smallest xxhash64(doc_id).
 
     Features enter if at least `least_df` sampled rows hold them and their shares in the two classes differ by `least_z`
-    standard errors; at most `most_features` do, those of the largest difference. So the driver gets at most
+    standard errors; at most `most_features` do, those of the most standard errors. So the driver gets at most
     2 * per_class rows of at most most_features features. Labels with null doc_id or toxic, and repeats of a doc_id, don't
     count. If a class is missing, or no feature tells them apart, the model calls everything clean.
     """
@@ -127,7 +127,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, le
     share = (F.col("clean") + F.col("toxic")) / F.lit(float(sum(sizes.values())))
     gap, spread = F.col("toxic") / F.lit(float(sizes[1])) - F.col("clean") / F.lit(float(sizes[0])), F.sqrt(share * (1 - share) * F.lit(1 / sizes[1] + 1 / sizes[0]))
     told = told.where((F.col("clean") + F.col("toxic") >= least_df) & (F.abs(gap) >= least_z * spread))
-    told = told.select("word", gap.alias("gap")).orderBy(F.desc(F.abs("gap")), "word").limit(most_features)
+    told = told.select("word", gap.alias("gap"), F.when(spread > 0, F.abs(gap) / spread).otherwise(0.0).alias("z")).orderBy(F.desc("z"), "word").limit(most_features)
     vocab = {bytes(r.word): (i, r.gap) for i, r in enumerate(told.collect())}
     if not any(gap > 0 for _, gap in vocab.values()):
         return SeverityModel()

@@ -62,3 +62,14 @@ def test_odd_rows(spark):
 
 def test_words():
     assert words_of("The IDIOT's, é9x".encode()) == [b"the", b"idiot", b"s", "é".encode(), b"x"]
+
+
+def test_rarer_sure_words_come_before_frequent_unsure_ones(spark):
+    """Of few features, those that tell the classes apart for sure are kept, not those of the largest gap in shares."""
+    def text(i):
+        toxic = i % 2
+        often = (i // 2) % 10 < (8 if toxic else 5)  # gap 0.3, in most rows of both classes
+        return ("often " if often else "") + ("zog " if toxic and (i // 2) % 5 == 0 else "") + f"w{i}"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(1000)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    assert set(fit_severity(docs, labels, most_features=1).weights) == {b"zog "}
