@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .common import strings_of, text_batches
-from .tokens import BYTE_LEVEL, word_finder
+from .common import map_texts, strings_of
+from .tokens import BYTE_LEVEL, WordFinder, beyond_ranges
 
 _NEVER = np.int64(1) << 40
 
@@ -48,24 +49,26 @@ class BpeModel:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._text_rules(spec)
+        self._text_rules(spec, Tokenizer.from_file(path))
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
         self._tables(merges)
         self._ids: dict[str, bytes] = {}
         self._texts: dict[str, str] = {}
 
-    def _text_rules(self, spec: dict) -> None:
+    def _text_rules(self, spec: dict, lib: Tokenizer) -> None:
+        """How texts become words. Unicode's tables, which differ between versions, are the library's."""
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         pre = spec["pre_tokenizer"]
         if kinds == ["NFC", "Replace", "Lowercase"]:
             first = pre["pretokenizers"][0]
             if first["type"] != "Split" or first["behavior"] != "Removed" or not first["invert"]:
                 raise ValueError("unknown pre-tokenizer")
-            self.words = word_finder(first["pattern"]["Regex"])
-            self.normal = lambda t: unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()  # letter by letter, so no final sigma
+            self.words = WordFinder(first["pattern"]["Regex"], lib.pre_tokenizer)
+            own = lambda t: unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()  # noqa: E731  letter by letter, so no final sigma
+            self.normal = lambda t: lib.normalizer.normalize_str(t) if beyond_ranges(t) else own(t)
         elif not kinds and pre["type"] == "ByteLevel" and not pre["add_prefix_space"]:
-            self.words = word_finder(BYTE_LEVEL)
+            self.words = WordFinder(BYTE_LEVEL, lib.pre_tokenizer)
             self.normal = lambda t: t
         else:
             raise ValueError("unknown normalizer")
@@ -272,11 +275,14 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(sizes), lists], names=["doc_id", "n_tokens", "ids"])
                 at += len(texts)
 
-    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, ids array<int>", 1)
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of bpe_encode's rows; null ids decode to the empty text."""
+    """(doc_id, text) of bpe_encode's rows; null ids decode to the empty text.
+
+    Row by row: repeated rows, null doc_ids and further columns need nothing special; an empty table gives no rows.
+    """
 
     def run(batches):
         model = model_of(path)
@@ -304,4 +310,4 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded"])
                 at += len(texts)
 
-    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, ids binary, decoded string", 1)

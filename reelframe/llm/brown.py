@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, texts_of, work_dir
+from .common import map_texts, texts_of, work_dir
 
 END = b""  # no word is empty
 
@@ -167,9 +167,9 @@ def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, cluste
     grows with the vocabulary stays in tables. An empty table gives a model that knows no word.
     """
     spark = docs.sparkSession
-    texts = text_batches(docs.select(F.col(text_col).alias("text")))
+    texts = docs.select(F.col(text_col).alias("text"))
     path = work_dir(spark, "word-counts")
-    texts.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")).write.parquet(path)
+    map_texts(texts, _count, "word binary, n long", 0).groupBy("word").agg(F.sum("n").alias("c")).write.parquet(path)
     counts = spark.read.schema("word binary, c long").parquet(path)
     by_count = sorted(((r.c, r.n) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
     tokens, distinct = sum(c * n for c, n in by_count), sum(n for _, n in by_count)
@@ -205,7 +205,7 @@ def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, cluste
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((at // side).astype(np.int32)), pa.array((at % side).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
 
-    found = texts.mapInArrow(pairs_of, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    found = map_texts(texts, pairs_of, "a int, b int, n long", 0).groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros((m + 2, m + 2), np.int64)
     pairs[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
     cls = exchange(pairs, classes)
@@ -257,7 +257,7 @@ def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, cluste
 
     kind = "word binary, c long, class int"
     path = work_dir(spark, "word-classes")
-    later = texts.mapInArrow(around, "word binary, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    later = map_texts(texts, around, "word binary, slot int, n long", 0).groupBy("word", "slot").agg(F.sum("n").alias("n"))
     later = later.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("found"))
     later.mapInArrow(placed, kind).write.parquet(path)
     first = [(bytearray(w), known[w], int(cls[i])) for i, w in enumerate(names)]
@@ -297,7 +297,7 @@ def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, cluste
             held[None, None, i // k, i % k] = int(total[i])
         yield told()
 
-    found = texts.mapInArrow(moves_of, "a binary, b binary, ka int, kb int, n long")
+    found = map_texts(texts, moves_of, "a binary, b binary, ka int, kb int, n long", 0)
     if len(known) < distinct:
         path = work_dir(spark, "class-pairs")
         found.write.parquet(path)
@@ -391,7 +391,7 @@ def score_brown(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = "row long, doc_id long, word binary, n_tokens long, n_known long, base_score double, score double, terms binary, place int, tf long"
-    got = text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, kind)
+    got = map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, kind, 1)
     fields = ("doc_id", "n_tokens", "n_known", "base_score", "score")
     if more:
         path = work_dir(spark, "scores")

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where nothing set it."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where nothing set it.
+
+    Without it a temporary folder serves in local mode; elsewhere executors couldn't read it, so that is a ValueError.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="reelframe-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -22,8 +31,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; nothing is created yet."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder at which nothing is yet; what is written there goes when the driver ends."""
+    top = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return f"{top}/rows"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,13 +50,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with the session's Arrow batches held to `rows` rows: texts may be long, and a batch exists in several copies."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark = df.sparkSession
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
-    return df
+def slices(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose texts (column `at`) hold about `most` bytes, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def release() -> None:
+    """Give memory that this Python process no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_texts(df: DataFrame, run: Callable, schema, at: int) -> DataFrame:
+    """df.mapInArrow(run, schema), where run gets slices of the batches by the bytes of their texts, column `at`."""
+
+    def outer(batches):
+        yield from run(part for b in batches for part in slices(b, at))
+        release()
+
+    return df.mapInArrow(outer, schema)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -101,28 +133,43 @@ def _shrink(batches):
     yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, link: Callable | None = None) -> DataFrame:
     """(node long, root long) for each node of edges (u long, v long); root is the component's smallest node.
 
+    link, if given, makes the edges from the Arrow batches of each partition of `edges`, which then may be any rows.
     Star contraction: every round hangs larger neighbours on the smallest one known (large step) and then does the
-    same with the smaller neighbours (small step). A hub is never gathered in one task: its smallest neighbour comes
-    from partial aggregation and its edges meet it in a join that adaptive execution may split. Stops when a round
-    changes nothing. Self-loops and null ends are ignored.
+    same with the smaller neighbours (small step). Stops when a round changes nothing. A hub is never gathered in one
+    task: its smallest neighbour comes from partial aggregation, and nodes with over a thousandth of the ends (so there
+    are 1,000 at most) have it sent to their edges. Self-loops and null ends are ignored.
     """
-    e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").mapInArrow(_shrink, "u long, v long")
-    e, last = cut(e), None
+    if link is None:
+        edges = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v")
+    e = cut(edges.mapInArrow(lambda batches: _shrink(link(batches) if link else batches), "u long, v long"))
+
+    def hang(rows: DataFrame, low: DataFrame, ends: int) -> DataFrame:
+        """(v, m) of each row (u, v): m is that of u."""
+        bound = max(100, ends // 1000)
+        hubs = F.broadcast(low.where(F.col("n") >= bound).select("u", "m"))
+        few = rows.join(hubs.select("u"), "u", "left_anti").join(low.where(F.col("n") < bound).select("u", "m"), "u")
+        return few.union(rows.join(hubs, "u").select(few.columns)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+
+    now, last = _state(e), None
     for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low)
-        e = cut(small.distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
-        last = now
+        last, ends = now, 2 * now[0]
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hang(both.where("v > u"), low, ends)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hang(large, low, ends).union(low.select("u", F.col("m").alias("v")))
+        e = cut(small.distinct())
+        now = _state(e)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     own = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(own)
+
+
+def _state(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, strings_of, text_batches
+from .common import cut, map_texts, texts_of
 from .tokens import tokenizer_of
 
 
@@ -106,17 +106,19 @@ def plan(histogram: dict[int, int], limits: Limits = Limits(), score: str = "nor
 def place(pieces: DataFrame, limits: Limits = Limits(), score: str = "norm", weights: tuple[float, float, float] = (1.0, 0.25, 0.25)) -> DataFrame:
     """pieces (length int >= 1, and any other columns) with sequence_id long and offset int.
 
-    Ranks among pieces of one length come from counts by partition, so no length, however frequent, meets in one task.
-    The driver gets one row for each length.
+    Columns of these two names, if pieces has them, are replaced. Repeated rows are as many pieces, nulls in other
+    columns are kept, and an empty table gives no rows. Ranks among pieces of one length come from counts by partition,
+    so no length, however frequent, meets in one task. The driver gets one row for each length.
     """
-    names = pieces.columns
-    rows = cut(pieces).withColumn("_part", F.spark_partition_id())
-    counts = cut(rows.groupBy("_part", "length").agg(F.count("*").alias("_n")))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    kinds, own = dict(pieces.dtypes), [f"c{i}" for i in range(len(names))]  # no clash with the columns made here
+    rows = cut(pieces.select(*names).toDF(*own)).withColumn("length", F.col(own[names.index("length")])).withColumn("part", F.spark_partition_id())
+    counts = cut(rows.groupBy("part", "length").agg(F.count("*").alias("n")))
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     steps = plan(histogram, limits, score, weights)
     spark = pieces.sparkSession
-    ahead = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("_part", "length", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("part", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     by = {}
     for s in steps:
         by.setdefault(s.length, []).append((s.first_rank, s.first_bin, s.each, s.offset))
@@ -131,13 +133,13 @@ def place(pieces: DataFrame, limits: Limits = Limits(), score: str = "norm", wei
                 row = table[np.searchsorted(table[:, 0], rank[at], side="right") - 1]
                 within = rank[at] - row[:, 0]
                 where[at], offset[at] = row[:, 1] + within // row[:, 2], row[:, 3] + within % row[:, 2] * k
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(where), pa.array(offset.astype(np.int32))], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(where), pa.array(offset.astype(np.int32))], names=[*own, "sequence_id", "offset"])
 
-    local = F.row_number().over(Window.partitionBy("_part", "length").orderBy(*[F.col(c) for c in names if c != "length"])) - 1
-    ranked = rows.withColumn("_local", local).join(base, ["_part", "length"])
-    ranked = ranked.select("length", (F.col("_base") + F.col("_local")).alias("_rank"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(names)))
-    kind = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return ranked.mapInArrow(deal, f"{kind}, sequence_id long, offset int")
+    order = [c for c, n in zip(own, names, strict=True) if not kinds[n].startswith(("map", "variant"))]
+    local = F.row_number().over(Window.partitionBy("part", "length").orderBy(*order)) - 1
+    ranked = rows.withColumn("local", local).join(base, ["part", "length"]).select("length", (F.col("base") + F.col("local")).alias("rank"), *own)
+    kind = ", ".join(f"{c} {kinds[n]}" for c, n in zip(own, names, strict=True))
+    return ranked.mapInArrow(deal, f"{kind}, sequence_id long, offset int").toDF(*names, "sequence_id", "offset")
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | None = 2, keep_ids: bool = False) -> DataFrame:
@@ -148,29 +150,25 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
     """
 
     def run(batches):
-        tok, tail = tokenizer_of(tokenizer), [] if end_id is None else [end_id]
+        tok = tokenizer_of(tokenizer)
         for b in batches:
-            texts = strings_of(b.column(1))
-            for at in range(0, len(texts), 1000):
-                names = b.column(0).slice(at, 1000).to_pylist()
-                out: list[tuple] = []
-                arrays = []
-                for d, ids in zip(names, tok.encode(texts[at : at + 1000]), strict=True):
-                    flat = np.append(ids, tail).astype("<u4")
-                    raw, ends = memoryview(flat.tobytes()), [*range(len(flat), 0, -capacity)][::-1]
-                    for k, end in enumerate(ends):
-                        start = ends[k - 1] if k else 0
-                        out.append((d, k, start, end - start, zlib.crc32(raw[4 * start : 4 * end])))
-                        if keep_ids:
-                            arrays.append(flat[start:end].astype(np.int32))
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                cols = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
-                if keep_ids:
-                    cols.append(pa.array(arrays, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
+            ids, sizes = tok.encode_bytes(texts_of(b.column(1)), end_id)
+            flat, to = ids.astype("<u4"), np.cumsum(sizes)
+            raw = memoryview(flat.tobytes())
+            count = -(-sizes // capacity)  # pieces of each document
+            of = np.repeat(np.arange(len(sizes)), count)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            ends = sizes[of] - (count[of] - 1 - piece) * capacity
+            starts = np.maximum(ends - capacity, 0)
+            first = (to - sizes)[of]
+            crcs = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip((first + starts).tolist(), (first + ends).tolist(), strict=True)]
+            cols = [b.column(0).take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(starts), pa.array((ends - starts).astype(np.int32)), pa.array(crcs, pa.int64())]
+            if keep_ids:  # pieces stand one after the other
+                cols.append(pa.ListArray.from_arrays(pa.array(np.append(first + starts, len(flat)).astype(np.int32)), pa.array(flat.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     kind = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, kind)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, kind, 1)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int | None = 2, keep_ids: bool = False) -> DataFrame:

@@ -1,8 +1,9 @@
 """Token-id files compressed by a Re-Pair grammar per shard, with random access to documents.
 
-A shard holds the ids of consecutive documents. Rounds replace frequent pairs of neighbouring symbols by new
-nonterminals until a round no longer pays; the rules, the length each symbol expands to and where each document starts
-are stored with the remaining sequence, so any range of ids is decoded from the few symbols that cover it.
+A shard holds the ids of consecutive documents. Pairs of neighbouring symbols that repeat are replaced by new
+nonterminals, the more frequent first, until no pair repeats often enough to pay for its rule; the rules, the length
+each symbol expands to and where each document starts are stored with the remaining sequence, so any range of ids is
+decoded from the few symbols that cover it.
 
 A file set is a folder of Parquet files with one row per shard:
   part, shard  place of the shard in document order
@@ -25,70 +26,102 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings_of, text_batches
-from .tokens import tokenizer_of
+from .common import map_texts, texts_of
+from .tokens import ranges, tokenizer_of
 
 MAGIC = b"RPG1"
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
-def compress(ids: np.ndarray, least: int = 12, most_rules: int = 8192, rounds: int = 6, bits: int = 18) -> bytes:
-    """The grammar blob of a sequence of ids.
-
-    In each round pairs are hashed; a bucket's count is taken for the pair that was written to it last, and the pairs
-    counted at least `least` times (the `most_rules` most frequent) become nonterminals at once. In a run of
-    overlapping places every other one is replaced. Rounds end when one replaces less than 2 % of the symbols.
+def _second_of_runs(on: np.ndarray) -> np.ndarray:
+    """Every other one of neighbouring places, from the second of each run on."""
+    first = np.flatnonzero(np.r_[True, np.diff(on) != 1])
+    within = np.arange(len(on)) - np.repeat(first, np.diff(np.r_[first, len(on)]))
+    return on[within % 2 == 1]
+
+
+def _ranks(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The place of each key in pairs (all different), len(pairs) if it isn't there."""
+    top, bits = len(pairs), max(18, (16 * len(pairs)).bit_length())
+    kind, down = keys.dtype.type, keys.dtype.type(8 * keys.itemsize - bits)
+    held, rank, left, spread = np.append(pairs, kind(0)), None, np.arange(top, dtype=np.int32), 0x9E3779B97F4A7C15
+    while len(left):
+        table = np.full(1 << bits, top, np.int32)
+        factor = kind(spread & ((1 << 8 * keys.itemsize) - 1) | 1)
+        slots = held[left] * factor >> down
+        table[slots] = left
+        if rank is None:
+            rank = table[keys * factor >> down]
+            rank[held[rank] != keys] = top
+        else:
+            rest = np.flatnonzero(rank == top)
+            found = table[keys[rest] * factor >> down]
+            good = held[found] == keys[rest]
+            rank[rest[good]] = found[good]
+        left, spread = left[table[slots] != left], spread * 0xD6E8FEB86659FD93 >> 1 & ((1 << 64) - 1)  # those that lost their slot
+    return rank
+
+
+def compress(ids: np.ndarray, least: int = 12, rounds: int | None = None) -> bytes:
+    """The grammar blob of a sequence of ids. No pair stands `least` times or more without overlap in what remains.
+
+    In each round every pair is counted. Those counted `least` times or more are ranked, the most frequent first; a
+    place is replaced if its pair ranks before the pairs it overlaps with, and if the pair has `least` such places. So
+    the first pair of a round loses no place, and the rounds end with the first that finds no pair. After a round only
+    places that can have come to hold a repeating pair are counted again: those beside new symbols, and those of ranked
+    pairs that were not replaced. A rule takes 12 bytes and each place saves two: `least` below seven doesn't pay.
+    `rounds` is a faster mode, which ends earlier.
     """
-    alphabet = np.flatnonzero(np.bincount(ids)) if len(ids) and ids.max() < 1 << 20 else np.unique(ids)
-    if len(alphabet) and alphabet[-1] < 1 << 20:
+    if len(ids) and ids.max() < 1 << 20:
+        alphabet = np.flatnonzero(np.bincount(ids))
         index = np.zeros(int(alphabet[-1]) + 1, np.uint32)
         index[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
         seq = index[ids]
     else:
-        seq = np.searchsorted(alphabet, ids).astype(np.uint32)
+        alphabet, seq = np.unique(ids, return_inverse=True)
+        seq = seq.astype(np.uint32)
     left, right, lengths = [], [], np.ones(len(alphabet), np.int64)
-    for m in _MULTIPLIERS[:rounds]:
-        if len(seq) < 2 * least:
+    places = None  # where pairs are counted; None: everywhere
+    while len(seq) >= 2 * least and len(left) != rounds:
+        on = np.arange(len(seq) - 1) if places is None else places
+        a, b = (seq[:-1], seq[1:]) if places is None else (seq[on], seq[on + 1])
+        wide = len(lengths) > 1 << 16
+        kind, half = (np.uint64, 32) if wide else (np.uint32, 16)
+        keys = a.astype(kind) << kind(half) | b
+        odd = np.zeros(0, np.int64)
+        if (same := a == b).any():
+            odd = np.searchsorted(on, _second_of_runs(on[same]))
+        counted = np.sort(np.delete(keys, odd) if len(odd) else keys)
+        at = np.flatnonzero(np.r_[True, counted[1:] != counted[:-1]]) if len(counted) else odd
+        n = np.diff(at, append=len(counted))
+        often = np.flatnonzero(n >= least)
+        if not len(often):
             break
-        if len(lengths) <= 1 << 16:
-            keys = (seq[:-1] << np.uint32(16)) | seq[1:]
-            h = ((keys * np.uint32(m & 0xFFFFFFFF)) >> np.uint32(32 - bits)).astype(np.int64)
-        else:
-            keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-            h = ((keys * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64)
-        seen = np.empty(1 << bits, keys.dtype)
-        seen[h] = keys
-        same = seen[h] == keys
-        counts = np.bincount(h[same], minlength=1 << bits)
-        chosen = np.flatnonzero(counts >= least)
-        if len(chosen) > most_rules:
-            chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:most_rules]]
-        if not len(chosen):
-            break
-        rule = np.full(1 << bits, -1, np.int32)
-        rule[chosen] = np.arange(len(chosen), dtype=np.int32)
-        at = np.flatnonzero(same)
-        named = rule[h[at]]
-        at, named = at[named >= 0], named[named >= 0]
-        begins = np.r_[True, np.diff(at) != 1]
-        first = np.flatnonzero(begins)
-        within = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
-        keep = within % 2 == 0
-        at, named = at[keep], named[keep]
+        often = often[np.argsort(-n[often], kind="stable")]
+        pairs = counted[at[often]]
+        rank, whole = _ranks(keys, pairs), np.full(len(seq) + 1, len(pairs), np.int32)
+        ranked = np.flatnonzero(rank < len(pairs))
+        again = np.zeros(len(seq), bool)
+        again[on[ranked]] = True
+        rank[odd] = len(pairs)
+        whole[on + 1 if places is not None else slice(1, -1)] = rank  # one place on, so that each has a neighbour
+        put, rank = on[ranked], rank[ranked]
+        best = np.flatnonzero((rank < len(pairs)) & (rank < whole[put]) & (rank <= whole[put + 2]))
+        put, rank = put[best], rank[best]
+        used = np.bincount(rank, minlength=len(pairs)) >= least
+        put, rank, pairs = put[used[rank]], rank[used[rank]], pairs[used]
         size = len(lengths)
-        pairs = seen[chosen]
-        half = 4 * keys.itemsize
-        a, b = (pairs >> keys.dtype.type(half)).astype(np.uint32), (pairs & keys.dtype.type((1 << half) - 1)).astype(np.uint32)
-        left.append(a)
-        right.append(b)
-        lengths = np.r_[lengths, lengths[a] + lengths[b]]
+        x, y = (pairs >> kind(half)).astype(np.uint32), (pairs & kind((1 << half) - 1)).astype(np.uint32)
+        left.append(x)
+        right.append(y)
+        lengths = np.r_[lengths, lengths[x] + lengths[y]]
+        seq[put] = (np.cumsum(used) - 1 + size).astype(np.uint32)[rank]
         stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        before = len(seq)
-        seq[at] = named.astype(np.uint32) + np.uint32(size)
+        stay[put + 1] = False
         seq = seq[stay]
-        if len(seq) > 0.98 * before:
-            break
+        new = seq >= size
+        places = np.flatnonzero(new[:-1] | new[1:] | again[stay][:-1])
+        if 3 * len(places) > len(seq):
+            places = None
     rules = np.stack([np.concatenate(left), np.concatenate(right)], 1) if left else np.empty((0, 2), np.uint32)
     narrow = len(lengths) <= 1 << 16
     counts = np.array([len(alphabet), len(rules), len(seq)], "<u4")
@@ -121,7 +154,7 @@ class Grammar:
                 sym = rules[start - n : stop - n, half]
                 size = self.lengths[sym]
                 to = self.places[start:stop] + (self.lengths[rules[start - n : stop - n, 0]] if shift else 0)
-                self.flat[_ranges(to, size)] = self.flat[_ranges(self.places[sym], size)]
+                self.flat[ranges(to, size)] = self.flat[ranges(self.places[sym], size)]
             start = stop
 
     def __len__(self) -> int:
@@ -133,23 +166,11 @@ class Grammar:
             return np.empty(0, np.uint32)
         i, j = np.searchsorted(self.ends, [start, end - 1], side="right")
         sym = self.seq[i : j + 1]
-        out = self.flat[_ranges(self.places[sym], self.lengths[sym])]
+        out = self.flat[ranges(self.places[sym], self.lengths[sym])]
         skip = start - int(self.ends[i] - self.lengths[self.seq[i]])
         return out[skip : skip + end - start]
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0]+1, .. (sizes[0] numbers), starts[1], .."""
-    out = np.ones(int(sizes.sum()), np.int64)
-    full = sizes > 0
-    starts, sizes = starts[full], sizes[full]
-    if not len(starts):
-        return out
-    heads = np.r_[0, np.cumsum(sizes)[:-1]]
-    out[heads] = np.r_[starts[0], starts[1:] - starts[:-1] - sizes[:-1] + 1]
-    return np.cumsum(out, out=out)
-
-
 FILE = "part int, shard int, base long, doc_ids array<bigint>, sizes array<bigint>, blob binary"
 
 
@@ -165,39 +186,42 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2
 
     def run(batches):
         part, shard, base = TaskContext.get().partitionId(), 0, 0
-        names, pieces, held = [], [], 0
+        names, sizes, pieces, held = [], [], [], 0
         tok = tokenizer_of(tokenizer)
-        tail = [] if end_id is None else [end_id]
 
         def flush():
-            nonlocal shard, base, names, pieces, held
-            sizes = [len(x) for x in pieces]
+            nonlocal shard, base, names, sizes, pieces, held
             cols = [[part], [shard], [base], [names], [sizes], [compress(np.concatenate(pieces))]]
             out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "shard", "base", "doc_ids", "sizes", "blob"])
-            shard, base, names, pieces, held = shard + 1, base + held, [], [], 0
+            shard, base, names, sizes, pieces, held = shard + 1, base + held, [], [], [], 0
             return out
 
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         for b in batches:
-            texts, ids = strings_of(b.column(1)), b.column(0).to_pylist()
-            for at in range(0, len(texts), 500):
-                for d, x in zip(ids[at : at + 500], tok.encode(texts[at : at + 500]), strict=True):
-                    names.append(d)
-                    pieces.append(np.append(x, tail).astype(x.dtype) if tail else x)
-                    held += len(pieces[-1])
-                    if held >= shard_ids:
-                        yield flush()
+            ids, size = tok.encode_bytes(texts_of(b.column(1)), end_id)
+            docs, ends = b.column(0).to_pylist(), np.r_[0, np.cumsum(size)]
+            at = 0
+            while at < len(docs):
+                to = min(len(docs), int(np.searchsorted(ends, ends[at] + shard_ids - held)))
+                names += docs[at:to]
+                sizes += size[at:to].tolist()
+                pieces.append(ids[ends[at] : ends[to]])
+                held += len(pieces[-1])
+                at = to
+                if held >= shard_ids:
+                    yield flush()
         if names:
             yield flush()
 
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    text_batches(ordered).mapInArrow(run, FILE).write.option("compression", "zstd").parquet(path)
+    map_texts(ordered, run, FILE, 1).write.option("compression", "zstd").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """(doc_id, start long, n_tokens long, ids_crc32 long[, ids array<int>]) of each document in the file set at path.
 
-    start counts the ids of all documents before it. Only the totals of the parts are gathered to order them.
+    start counts the ids of all documents before it. Only the totals of the parts are gathered to order them. Null
+    doc_ids and repeated ones are as many rows, in the order they were written; a file set without shards gives none.
     """
     files = spark.read.schema(FILE).parquet(path)
     totals = files.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
@@ -225,7 +249,10 @@ def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
 
 def read_range(spark: SparkSession, path: str, doc_id: int, start: int = 0, end: int | None = None) -> np.ndarray:
-    """Ids start..end of one document, decoded from the symbols that cover them only (empty if there is none)."""
+    """Ids start..end of one document, decoded from the symbols that cover them only.
+
+    Empty if there is no such document; of a doc_id that repeats, the first document in the file that holds it counts.
+    """
     row = spark.read.schema(FILE).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select("doc_ids", "sizes", "blob").first()
     if row is None:
         return np.empty(0, np.uint32)

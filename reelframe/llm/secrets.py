@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings_of, text_batches
+from .common import map_texts, strings_of
 
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 BASE = KINDS[:3]
@@ -20,7 +20,7 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+_DOTTED = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)*+")
 _RUN64 = re.compile(r"M[A-I][A-Za-z0-9+/]{38,}={0,2}")  # base64 of 0x30 and a length byte
 _RUN16 = re.compile(r"30[0-9A-Fa-f]{78,}")
 _SSH = re.compile(r"b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/\s]*={0,2}")  # base64 of "openssh-key-v1" and a zero byte
@@ -133,6 +133,28 @@ def is_signed_token(text: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict) and len(_decode64(sign, True) or b"") >= 16
 
 
+def _three_parts(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping spans of eyJ[A-Za-z0-9_-]+, a dot, a run of such characters, a dot and one more run.
+
+    Each maximal dotted chain of runs is matched once and its parts are then looked at in order, so that a long run
+    without a dot isn't tried from each of its places.
+    """
+    out = []
+    for m in _DOTTED.finditer(text):
+        if "eyJ" not in m[0]:
+            continue
+        parts, at, i = m[0].split("."), m.start(), 0
+        while i + 2 < len(parts):
+            begin = parts[i].find("eyJ")
+            if 0 <= begin < len(parts[i]) - 3:
+                end = at + len(parts[i]) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+                out.append((at + begin, end))
+                at, i = end + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+    return out
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, end exclusive, by start and then by KINDS.
 
@@ -147,7 +169,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     if "eyJ" in text:
-        out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+        out += [("jwt", start, end) for start, end in _three_parts(text) if is_signed_token(text[start:end])]
     der = set()
     if "M" in text:
         for m in _RUN64.finditer(text):
@@ -184,7 +206,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_secrets(t)] for t in strings_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id long, spans {SPANS}", 1)
 
 
 def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[secret]") -> str:
@@ -216,4 +238,4 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                     cols[size_at] = pa.array([len(t) if s else n for t, s, n in zip(clean, spans, old, strict=True)], b.column(size_at).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return text_batches(docs).mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema, text_at)

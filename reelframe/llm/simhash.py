@@ -13,10 +13,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, connected_components, cut, key_bits, text_batches, texts_of
+from .common import Forest, connected_components, cut, key_bits, map_texts, texts_of
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _ONES = np.uint64(0x0101010101010101)
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(t, words, seed) for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, fp long")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long", 1)
 
 
 def bucket_edges(fps: np.ndarray, most: int, dense: int = 1024) -> list[tuple[int, int]]:
@@ -136,7 +136,7 @@ def link_fingerprints(distinct: DataFrame, most: int = 3) -> DataFrame:
     rows = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key").sortWithinPartitions("key", "fp")
-    return connected_components(rows.mapInArrow(lambda it: _link(it, most), "u long, v long"))
+    return connected_components(rows, link=lambda batches: _link(batches, most))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, seed: int = 42) -> DataFrame:
@@ -159,11 +159,28 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> Data
     """docs without all but one row of each near-duplicate group: the row of the smallest doc_id stays, whole.
 
     Of several rows with that doc_id the one that is first by its columns stays; rows without a doc_id all stay, as
-    nothing tells them apart. Columns are those of docs.
+    nothing tells them apart. Columns are those of docs, whatever their names; an empty table gives no rows.
+
+    Rows of ids that occur once, the usual case, pass a semi-join with the ids that stay, without being sorted. Only
+    repeated ids are ranked: each is dealt to several tasks first, whose first rows are then compared.
     """
-    found = near_duplicates(docs, words=words, most=most)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
-    order = [F.col(c) for c, kind in docs.dtypes if c != "doc_id" and not kind.startswith(("map", "variant"))] or [F.lit(0)]
-    first = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where("_rank = 1").drop("_rank")
-    return first.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    ids = near_duplicates(docs, words=words, most=most).where("doc_id IS NOT NULL").groupBy("doc_id")
+    ids = cut(ids.agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("stays"))
+    once = ids.where("n = 1").select(F.col("doc_id").alias("id")).hint("shuffle_hash")
+    key = docs["doc_id"].cast("long")
+    out = docs.where(docs["doc_id"].isNull()).union(docs.join(once, key == once["id"], "left_semi"))
+    if ids.where("n > 1").isEmpty():
+        return out
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    parts = 16
+    rows = docs.toDF(*names)
+    at = names[docs.columns.index("doc_id")]
+    again = ids.where("n > 1").select(F.col("doc_id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    rows = rows.withColumn("part", F.floor(F.rand(7) * parts).cast("int"))
+    rows = rows.join(again, (rows[at].cast("long") == again["id"]) & (rows["part"] == again["part"])).select("id", again["part"], *names)
+    whole = F.struct(*names)
+    sortable = all(not kind.startswith(("map", "variant")) for _, kind in docs.dtypes)
+    first = F.min(whole) if sortable else F.min_by(whole, F.xxhash64(F.to_json(whole)))
+    one = rows.groupBy("id", "part").agg(first.alias("row"))
+    one = one.groupBy("id").agg((F.min("row") if sortable else F.min_by("row", F.xxhash64(F.to_json("row")))).alias("row"))
+    return out.union(one.select(*(F.col(f"row.{c}").alias(n) for c, n in zip(names, docs.columns, strict=True))))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches, texts_of
+from .common import cut, map_texts, texts_of
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -122,7 +122,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, le
                 yield pa.RecordBatch.from_arrays(cols, names=["word", "clean", "toxic"])
 
     sizes = Counter(picked.values())
-    told = text_batches(rows.select("toxic", "text")).mapInArrow(count, "word binary, clean long, toxic long")
+    told = map_texts(rows.select("toxic", "text"), count, "word binary, clean long, toxic long", 1)
     told = told.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = (F.col("clean") + F.col("toxic")) / F.lit(float(sum(sizes.values())))
     gap, spread = F.col("toxic") / F.lit(float(sizes[1])) - F.col("clean") / F.lit(float(sizes[0])), F.sqrt(share * (1 - share) * F.lit(1 / sizes[1] + 1 / sizes[0]))
@@ -141,7 +141,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, le
                 packed.append(np.array(found, "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "found"])
 
-    sample = rows.select("doc_id", "toxic", "text").mapInArrow(pack, "doc_id long, toxic int, found binary").orderBy("doc_id").toArrow()
+    sample = map_texts(rows.select("doc_id", "toxic", "text"), pack, "doc_id long, toxic int, found binary", 2).orderBy("doc_id").toArrow()
     y, found = sample["toxic"].to_numpy(), [np.frombuffer(x, "<i4").reshape(-1, 2) for x in sample["found"].to_pylist()]
     rows = np.repeat(np.arange(len(y)), [len(x) for x in found])
     cols, counts = np.concatenate(found).T.astype(np.int64)
@@ -179,7 +179,7 @@ def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id"
             kinds = (pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "p_grade", "severity", "grade", "toxic"])
 
-    return text_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, SCORES)
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCORES, 1)
 
 
 def drop_toxic(docs: DataFrame, model: SeverityModel) -> DataFrame:
@@ -192,4 +192,4 @@ def drop_toxic(docs: DataFrame, model: SeverityModel) -> DataFrame:
             keep = pa.array([not (t and _judge(sent.value, t)[3]) for t in texts_of(b.column(at))], pa.bool_())
             yield pa.RecordBatch.from_arrays(b.columns, names=names).filter(keep)
 
-    return text_batches(docs).mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema, at)

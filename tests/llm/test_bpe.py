@@ -34,6 +34,18 @@ def test_odd_texts(both):
     same(both, ODD)
 
 
+def test_every_code_point(both):
+    """Alone, and after a combining mark: Unicode versions differ in letters, cases and the order of marks."""
+    model, lib, _ = both
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("a{}b ", "A\u0323{}\u0301 "):
+        texts = ["".join(form.format(chr(c)) for c in points[i : i + 400]) for i in range(0, len(points), 400)]
+        for t in texts:
+            want = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(t) if lib.normalizer else t)
+            assert list(map(model.symbols, model.words(model.normal(t)))) == [w for w, _ in want], t
+        same(both, texts[::97])
+
+
 def test_random_texts(both):
     rng = random.Random(1)
     letters = "abcdefghijklmnopqrstuvwxyzéüñß ABC'.,-0123\n\tаб中Σ"

@@ -2,12 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from reelframe.llm.common import work_dir
 from reelframe.llm.queries import op6_repair
 from reelframe.llm.repair import Grammar, compress, read_ids, read_range, write_ids
+from reelframe.llm.tokens import tokenizer_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 RNG = np.random.default_rng(0)
@@ -28,6 +30,34 @@ def test_grammar_round_trip(ids):
         assert left == right == g.places[k + 1] - g.places[k]
 
 
+@pytest.mark.parametrize("least", [2, 3, 12])
+def test_no_pair_repeats_in_the_end(least):
+    rng = np.random.default_rng(least)
+    for ids in (rng.integers(0, 30, 20_000), rng.zipf(1.3, 30_000).clip(0, 50_000), np.repeat(rng.integers(0, 5, 3000), rng.integers(1, 9, 3000)), np.tile(rng.integers(0, 50_000, 700), 30), np.arange(70_000) % 66_000):
+        g = Grammar(compress(ids, least))
+        assert (g.ids() == ids).all()
+        counts, last, seq = {}, {}, g.seq.tolist()
+        for i, pair in enumerate(zip(seq, seq[1:], strict=False)):
+            if last.get(pair) != i - 1 or pair[0] != pair[1]:  # pairs of equal symbols don't overlap
+                counts[pair] = counts.get(pair, 0) + 1
+                last[pair] = i
+        assert not counts or max(counts.values()) < least
+
+
+def test_copies_of_a_long_document():
+    """Many copies of one document shrink to about a symbol each."""
+    one = np.random.default_rng(1).integers(0, 50_000, 3000)
+    g = Grammar(compress(np.tile(one, 300)))
+    assert len(g.seq) <= 300 + 12 and len(g) == 900_000
+
+
+def test_real_ids():
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    ids, _ = tokenizer_of(PATH).encode_bytes([t.encode() for t in texts], 2)
+    blob = compress(ids)
+    assert (Grammar(blob).ids() == ids).all() and len(blob) < 0.7 * 2 * len(ids)
+
+
 def test_repetition_is_compressed():
     ids = np.tile(RNG.integers(0, 50_000, 500), 200)
     assert len(compress(ids)) < len(ids) * 2 / 6
