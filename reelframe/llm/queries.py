@@ -52,7 +52,7 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"))
+    return top_k(table(spark, sf_dir, "embeddings")).drop("wide_score")
 
 
 def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

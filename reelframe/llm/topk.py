@@ -9,8 +9,11 @@ lie, and all rows down to there are resolved exactly.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,54 +137,92 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0) & fine & F.col("id").isNotNull())
 
 
-def top_k(vectors: DataFrame, k: int = 10, query_mod: int = 100, scale: int = 1024, block: int = 8192, query_block: int = 64, drop: int = 4, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows of largest integer inner product for each query.
+def _matrices(table: pa.Table, scale: int):
+    """(ids, forms, int64 rows) and (ids, forms, rows of Python integers) by length; the latter may overflow 64 bits.
+
+    A pair of the former can't: its components are at most the root of 2**62 over the length.
+    """
+    out: dict[int, tuple] = {}
+    ids, forms = table["id"].to_numpy(), table["form"].to_numpy()
+    lists = table["v"].combine_chunks()
+    sizes, flat = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        x = flat[starts[at, None] + np.arange(d)]
+        with np.errstate(over="ignore"):
+            ints = np.floor(x * scale)
+        narrow = (np.abs(ints) <= (2**62 / d) ** 0.5).all(1)
+        wide = np.flatnonzero(~narrow)
+        big = np.array([[math.floor(c) * scale if abs(c) >= 2**53 else math.floor(c * scale) for c in row] for row in x[wide].tolist()], object).reshape(-1, d)
+        out[d] = (ids[at[narrow]], forms[at[narrow]], ints[narrow].astype(np.int64)), (ids[at[wide]], forms[at[wide]], big)
+    return out
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
+    return sorted(zip(ids.tolist(), scores.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def _ordered(score: int) -> tuple[int, int, str | None]:
+    """(-1, 0 or 1: below, within or above 64 bits; the score if within; else a text that sorts as the score does)."""
+    if -(2**63) <= score < 2**63:
+        return 0, score, None
+    text = str(abs(score))
+    text = f"{len(text):05d}{text}"
+    return (1, 0, text) if score > 0 else (-1, 0, text.translate({48 + i: 57 - i for i in range(10)}))
+
+
+def top_k(vectors: DataFrame, k: int = 10, query_mod: int = 100, scale: int = 1024, block: int = 8192, query_block: int = 8192, drop: int = 4, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score, wide_score): the k rows of largest integer inner product for each query.
 
     Components are floor(scale * x). Queries are the rows whose id is divisible by query_mod, candidates all rows but
     those with the query's id. Ties go to the smaller id. Vectors that are null, empty or hold null or non-finite
     components, and rows without id, take no part; nor do candidates whose length differs from the query's. Repeated
     ids are as many candidates; as queries they give one list for each different vector. An empty table: no rows.
+    Vectors with components so large that a product could leave 64 bits are multiplied as Python integers and ranked
+    with the others; a score that does leave them is null, and wide_score, else null, is its text.
 
-    Rows are dealt evenly into blocks, and every block of rows meets every block of queries once; at most k rows of
-    each meeting go on to the final ranking.
+    Rows are dealt evenly into blocks, whatever repeats in them, and so are queries; every block of rows meets every
+    block of queries once, in a task that holds these two only. At most k rows of each meeting go on to the ranking.
     """
-    spark = vectors.sparkSession
-    ints = F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
-    rows = cut(usable(vectors, id_col, vec_col).select("id", ints.alias("v")))
-    total = rows.count()
-    queries = rows.where(F.col("id") % query_mod == 0).distinct()
-    n_rows, n_queries = max(1, -(-total // block)), max(1, -(-queries.count() // query_block))
-
-    def pack(table: pa.Table) -> pa.Table:
-        return pa.table({"part": table["part"][:1], "ids": [table["id"].to_pylist()], "vs": [table["v"].to_pylist()]}, schema=pa.schema([("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("vs", pa.list_(pa.list_(pa.int64())))]))
-
-    def blocks(df: DataFrame, n: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
-        return df.select(part.alias("part"), "id", "v").groupBy("part").applyInArrow(pack, "part int, ids array<bigint>, vs array<array<bigint>>")
-
-    asked = blocks(queries, n_queries).select(F.col("part").alias("qpart"), F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("part"), "qpart", "qids", "qvs")
+    found = usable(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id())
+    rows = cut(found.withColumn("form", F.xxhash64("v")))
+    queries = rows.where(F.col("id") % query_mod == 0).select("id", "form", "v").distinct()
+    blocks = lambda df, most: max(1, -(-df.count() // most))
+    n_rows, n_queries = blocks(rows, block), blocks(queries, query_block)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = rows.select(F.pmod(F.xxhash64("row"), F.lit(n_rows)).cast("int").alias("part"), each(n_queries).alias("asked"), "id", "form", "v")
+    asked = queries.select(each(n_rows).alias("part"), F.pmod(F.xxhash64("id", "form"), F.lit(n_queries)).cast("int").alias("asked"), "id", "form", "v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int, int]] = []
+        out: list[tuple] = []
         if len(left) and len(right):
-            groups: dict[int, tuple[list, list]] = {}
-            for i, v in zip(left["ids"][0].as_py(), left["vs"][0].as_py(), strict=True):
-                a, b = groups.setdefault(len(v), ([], []))
-                a.append(i)
-                b.append(v)
-            index = {n: SlicedBlock(np.array(a), np.array(b), drop) for n, (a, b) in groups.items()}
-            at = 0
-            for qids, qvs in zip(right["qids"].to_pylist(), right["qvs"].to_pylist(), strict=True):
-                for q, v in zip(qids, qvs, strict=True):
-                    if len(v) in index:
-                        ids, scores = index[len(v)].top(np.array(v), k, q)
-                        key = hash(tuple(v))
-                        found += [(q, key, i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
-                at += 1
-        cols = list(zip(*found, strict=True)) or [()] * 4
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "form", "vec_id", "score"), cols, strict=True)})
-
-    met = blocks(rows, n_rows).groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(meet, "query_id long, form long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "form").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            candidates = _matrices(left, scale)
+            for d, (narrow, wide) in _matrices(right, scale).items():
+                if d not in candidates:
+                    continue
+                (ids, _, ints), (big_ids, _, big) = candidates[d]
+                index = SlicedBlock(ids, ints, drop) if len(ids) else None
+                for q, form, v in zip(*narrow, strict=True):
+                    best = list(zip(*(x.tolist() for x in index.top(v, k, q)), strict=True)) if index else []
+                    if len(big_ids):
+                        other = big_ids != q
+                        best += _best(big_ids[other], big[other] @ v.astype(object), k)
+                    out += [(q, form, i, *_ordered(s)) for i, s in best]
+                for q, form, v in zip(*wide, strict=True):
+                    best = []
+                    for some, them in ((ids, ints), (big_ids, big)):
+                        for at in range(0, len(some), 512):
+                            part = np.flatnonzero(some[at : at + 512] != q) + at
+                            best = sorted(best + _best(some[part], them[part].astype(object) @ v, k), key=lambda x: (-x[1], x[0]))[:k]
+                    out += [(q, form, i, *_ordered(s)) for i, s in best]
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        kinds = dict(zip(("query_id", "form", "vec_id", "over", "score", "text"), (*[pa.int64()] * 3, pa.int32(), pa.int64(), pa.string()), strict=True))
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), cols, strict=True)})
+
+    met = held.groupBy("part", "asked").cogroup(asked.groupBy("part", "asked")).applyInArrow(meet, "query_id long, form long, vec_id long, over int, score long, text string")
+    order = Window.partitionBy("query_id", "form").orderBy(F.desc("over"), F.desc("score"), F.desc("text"), "vec_id")
+    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    digits = F.substring("text", 6, 100_000)
+    wide = F.when(F.col("over") > 0, digits).when(F.col("over") < 0, F.concat(F.lit("-"), F.translate(digits, "0123456789", "9876543210")))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.when(F.col("over") == 0, F.col("score")).alias("score"), wide.alias("wide_score"))
