@@ -112,3 +112,11 @@ def test_place_with_few_documents_each(spark):
     df = spark.range(1000).selectExpr("id AS name", "CAST(1 + id % 7 AS int) AS length").repartition(5)
     rows = place(df, Limits(100, 4, 10_000)).collect()
     assert max(Counter(r.sequence_id for r in rows).values()) == 4 and len({r.sequence_id for r in rows}) == 250
+
+
+def test_columns_of_any_name(spark):
+    rows = [(7, 300, "a", 1, None, 5), (8, 300, "b", 2, 3, 6), (8, 1000, "c", 3, 4, 7), (None, 24, None, None, None, None)]
+    df = spark.createDataFrame(rows, "_part int, length int, rank string, part int, offset int, c0 int")
+    got = place(df)
+    assert got.columns == ["_part", "length", "rank", "part", "c0", "sequence_id", "offset"]
+    assert sorted((r._part or 0, r.length, r["rank"], r.part, r.c0) for r in got.collect()) == sorted((a or 0, b, c, d, f) for a, b, c, d, _, f in rows)

@@ -1,10 +1,12 @@
 import base64
 import hashlib
 import json
+import random
 import re
+import time
 
 from reelframe.llm.queries import secret_digest
-from reelframe.llm.secrets import KINDS, find_secrets, is_private_key, redact_secrets, scan_secrets
+from reelframe.llm.secrets import KINDS, _three_parts, find_secrets, is_private_key, redact_secrets, scan_secrets
 
 
 def der(tag, *parts):
@@ -86,3 +88,18 @@ def test_redaction(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert scan_secrets(df).count() == redact_secrets(df).count() == 0
+
+
+def test_dotted_chains_equal_the_pattern():
+    rng = random.Random(5)
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    for _ in range(4000):
+        text = "".join(rng.choice(["eyJ", "eyJ", ".", ".", "a", "-", " ", "ey", "é", "eyJx.y.z"]) for _ in range(rng.randrange(25)))
+        assert _three_parts(text) == [m.span() for m in plain.finditer(text)], text
+
+
+def test_very_long_texts_take_linear_time():
+    start = time.process_time()
+    for text in ("eyJ" * 3_500_000, "eyJ." * 2_500_000, "-----BEGIN PRIVATE KEY-----" * 400_000, "MIIB" * 2_500_000, "30" * 5_000_000, "password " * 1_000_000, "AKIA" * 2_500_000):
+        find_secrets(text)
+    assert time.process_time() - start < 90

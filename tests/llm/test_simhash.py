@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
+from reelframe.llm.common import connected_components, slices
+from reelframe.llm.queries import op9_simhash
 from reelframe.llm.simhash import BLOCKS, bucket_edges, drop_near_duplicates, fingerprint, near_duplicates
 
 
@@ -92,3 +95,44 @@ def test_large_bucket_equals_full_comparison():
 
     small = bucket_edges(fps, 3, dense=10**9)
     assert trees(bucket_edges(fps, 3, dense=64)) == trees(small)
+
+
+def test_query(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = sorted((rows[k][0], f"{f:016x}", c) for k, (f, c) in slow_components(rows).items())
+    assert sorted(map(tuple, op9_simhash(spark, sf).collect())) == want
+
+
+def test_columns_of_any_name(spark):
+    """Columns named like those that the operator makes, repeated ids, a hot id, a null id."""
+    rows = [(5, "one two three four", 7, 1, "b"), (5, "one two three four", 7, 0, "a"), (5, "one two three four", None, 9, "z"), (6, "one two three four", 1, 1, "c"), (None, "x", 2, 2, "n"), (9, "other words stand here", 3, 3, "o")]
+    rows += [(7, f"hot id {i} {i} {i}", i, i, "h") for i in range(300)]
+    df = spark.createDataFrame([(d, t, a, b, c, a) for d, t, a, b, c in rows], "doc_id long, text string, _rank int, part int, id string, n int").repartition(3)
+    got = drop_near_duplicates(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    got = got.collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 5, 7, 9]
+    assert next(tuple(r) for r in got if r.doc_id == 5) == (5, "one two three four", None, 9, "z", None)
+    assert next(r._rank for r in got if r.doc_id == 7) == 0
+
+
+def test_hubs_of_the_component_search(spark):
+    """Stars with more edges than a hub may have, chains between them, and a long path."""
+    edges = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(5001, 9000)] + [(2999, 5001)] + [(10_000 + i, 10_001 + i) for i in range(300)] + [(20_000, 20_000), (None, 3)]
+    rng = random.Random(0)
+    edges = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in edges]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long").repartition(6)).collect()))
+    assert got == {**dict.fromkeys([*range(3000), *range(5000, 9000)], 0), **dict.fromkeys(range(10_000, 10_301), 10_000)}
+
+
+def test_the_session_is_left_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    near_duplicates(spark.createDataFrame(make_rows(), "doc_id long, text string")).count()
+    assert spark.conf.get(key) == before
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * 10, None, "", "b" * 100, "c", "é" * 3]})
+    assert [[len((x or "").encode()) for x in s.column(0).to_pylist()] for s in slices(batch, 0, 12)] == [[10, 0, 0], [100], [1, 6]]
+    assert list(slices(batch.slice(0, 0), 0)) == []

@@ -1,5 +1,9 @@
+import math
+from collections import Counter
+
 import numpy as np
 
+from reelframe.llm.queries import op10_toxicity
 from reelframe.llm.toxicity import SeverityModel, drop_toxic, fit_cumulative, fit_severity, score_severity, words_of
 
 
@@ -73,3 +77,53 @@ def test_rarer_sure_words_come_before_frequent_unsure_ones(spark):
     docs = spark.createDataFrame([(i, text(i)) for i in range(1000)], "doc_id long, text string")
     labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
     assert set(fit_severity(docs, labels, most_features=1).weights) == {b"zog "}
+
+
+def test_query_equals_plain_computation(spark):
+    """Features, selection, grades, logits, probabilities and severity again, text by text, on whole tables."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    toxic = {r.doc_id: int(r.toxic > 0) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and r.doc_id in docs}
+
+    def features(text):
+        out, word = Counter(), []
+        for c in [*text.encode(), 32]:
+            if chr(c).isascii() and not chr(c).isalpha():
+                if word:
+                    w = bytes(word).lower()
+                    out[w + b" "] += 1
+                    out.update(w[:k] for k in (4, 5, 6, 7) if k < len(w))
+                word = []
+            else:
+                word.append(c)
+        return out
+
+    ids = sorted(toxic)
+    found = {d: features(docs[d]) for d in ids}
+    sizes = Counter(toxic.values())
+    held = [Counter(w for d in ids if toxic[d] == y for w in found[d]) for y in (0, 1)]
+    chosen = []
+    for w in held[0].keys() | held[1].keys():
+        a, b = held[0][w], held[1][w]
+        share, gap = (a + b) / len(ids), b / sizes[1] - a / sizes[0]
+        spread = math.sqrt(share * (1 - share) * (1 / sizes[1] + 1 / sizes[0]))
+        if a + b >= 5 and abs(gap) >= 7 * spread:
+            chosen.append((-(abs(gap) / spread if spread > 0 else 0.0), w, gap))
+    chosen = sorted(chosen)[:4096]
+    place, leans = {w: i for i, (_, w, _) in enumerate(chosen)}, {w: g for _, w, g in chosen}
+    heavy = [sum(n for w, n in found[d].items() if leans.get(w, 0) > 0) for d in ids]
+    middle = np.median([h for d, h in zip(ids, heavy) if toxic[d]])
+    grades = np.array([0 if not toxic[d] else 1 + (h > middle) for d, h in zip(ids, heavy)])
+    cells = [(i, place[w], 1 + math.log(n)) for i, d in enumerate(ids) for w, n in found[d].items() if w in place]
+    weights, cuts = fit_cumulative(*(np.array(c) for c in zip(*cells)), grades, len(place))
+    got = {r.doc_id: r for r in op10_toxicity(spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    for d, text in docs.items():
+        z = sum(weights[place[w]] * (1 + math.log(n)) for w, n in features(text).items() if w in place)
+        above = [1 - 1 / (1 + math.exp(z - c)) for c in cuts]
+        p = [1 - above[0], above[0] - above[1], above[1]]
+        assert np.allclose(got[d].p_grade, p, atol=1e-6) and abs(got[d].severity - (p[1] + 2 * p[2])) < 1e-6
+        if abs(above[0] - 0.5) > 1e-6:
+            assert got[d].toxic == (above[0] >= 0.5)
+        if sorted(p)[2] - sorted(p)[1] > 1e-6:
+            assert got[d].grade == int(np.argmax(p))
