@@ -18,6 +18,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,15 +99,32 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int | None = None) -> np.n
     return cls
 
 
-def place(n: np.ndarray, after: np.ndarray, before: np.ndarray, own: float) -> int:
-    """The class of the largest exchange gain for a word that n (class bigrams) holds among the other words, last but one."""
-    classes = len(n) - 2
-    rows, cols = n.sum(1), n.sum(0)  # of the classes it may take: their neighbours stay their neighbours
-    n = n.copy()
-    n[classes] -= after
-    n[:, classes] -= before
-    n[classes, classes] -= own
-    return int(_gains(n, rows, cols, after, before, own, classes).argmax())
+def place(n: np.ndarray, word: np.ndarray, slot: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
+    """The class of the largest exchange gain for each of `words` words, each for itself.
+
+    n, the class bigrams, holds them among the other words, last but one. Rows (word, slot, count), ordered by word, tell
+    a word's pairs: by the class after it, by the class before it (from k = len(n) on) and with itself (2 k).
+    """
+    k, classes = len(n), len(n) - 2
+    table = np.zeros((words, 2 * k + 1))
+    table[word, slot] = counts
+    after, before, own = table[:, :k], table[:, k : 2 * k], table[:, 2 * k :]
+    gain = np.zeros((words, classes))
+    for part, by, across in ((slot < k, n, before), ((slot >= k) & (slot < 2 * k), n.T, after)):
+        if not part.any():
+            continue
+        w, x, c = word[part], slot[part] % k, counts[part][:, None]
+        now = by[:classes, x].T.copy()
+        other = np.flatnonzero(x == classes)
+        now[other] -= across[w[other], :classes]  # the word itself doesn't stand there any more
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        gain[w[first]] += np.add.reduceat(_xlogx(now + c) - _xlogx(now), first)
+    d, rows, cols = np.diagonal(n)[:classes], n.sum(1)[:classes], n.sum(0)[:classes]
+    a, b = after[:, :classes], before[:, :classes]
+    gain -= _xlogx(d + a) + _xlogx(d + b) - _xlogx(d + a + b + own) - _xlogx(d)
+    for sums, side in ((rows, after), (cols, before)):  # of the classes: a word's neighbours stay its neighbours
+        gain -= _xlogx(sums + side.sum(1, keepdims=True) + own) - _xlogx(sums)
+    return gain.argmax(1)
 
 
 @dataclass
@@ -148,32 +166,28 @@ def _counted(held: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
 
-def _most(counts: DataFrame, by_count: list[tuple[int, int]], most: int) -> tuple[dict[bytes, int], int]:
+def _most(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     """The words of the highest counts, whole counts only, so that there are at most `most`; and the least count taken."""
-    least, taken = (by_count[0][0] + 1 if by_count else 1), 0
-    for c, n in by_count:
-        if taken + n > most:
-            break
-        least, taken = c, taken + n
-    found = counts.where(F.col("c") >= least).toArrow()
-    return dict(sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))), least
+    rows = counts.orderBy(F.desc("c"), "word").limit(most + 1).toArrow()
+    found = list(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True))
+    least = found[-1][1] + 1 if len(found) > most else 1
+    return {w: c for w, c in found if c >= least}, least
 
 
 def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, clustered: int = 1024, frequent: int = 200_000, mix: float = 0.9, add: float = 0.5) -> BrownModel:
     """Learn from all texts of docs (null: empty): counts and classes of all words, and the transitions of all tokens.
 
     The `clustered` most frequent words are exchanged with each other, all later ones placed by the same gain. The driver
-    gets the numbers of words by count, at most `frequent` words and at most (clustered + 2) squared pair counts; what
-    grows with the vocabulary stays in tables. An empty table gives a model that knows no word.
+    gets at most `frequent` words and one more, and at most (clustered + 2) squared pair counts; what grows with the
+    vocabulary stays in tables. An empty table gives a model that knows no word.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
     path = work_dir(spark, "word-counts")
     map_texts(texts, _count, "word binary, n long", 0).groupBy("word").agg(F.sum("n").alias("c")).write.parquet(path)
     counts = spark.read.schema("word binary, c long").parquet(path)
-    by_count = sorted(((r.c, r.n) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
-    tokens, distinct = sum(c * n for c, n in by_count), sum(n for _, n in by_count)
-    known, least = _most(counts, by_count, frequent)
+    tokens, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
+    known, least = _most(counts, frequent)
     names = [w for w in known if w != END][:clustered]
     m, k = len(names), classes + 2
     sent = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
@@ -245,15 +259,12 @@ def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, cluste
     def placed(batches):
         n = core.value[2]
         for b in batches:
-            out: list[tuple[int, int]] = []
-            for found in b.column(1).to_pylist():
-                by = np.zeros(2 * k + 1)
-                for x in found:
-                    by[x["slot"]] = x["n"]
-                after, before, own = by[:k], by[k : 2 * k], by[2 * k]
-                out.append((int(after.sum() + own), place(n, after, before, own)))
-            c, to = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(to, pa.int32())], names=["word", "c", "class"])
+            sizes, rows = pc.list_value_length(b.column(1)).to_numpy(), b.column(1).flatten()
+            word, counts = np.repeat(np.arange(len(sizes)), sizes), rows.field("n").to_numpy().astype(np.float64)
+            slot = rows.field("slot").to_numpy()
+            to = place(n, word, slot, counts, len(sizes))
+            c = np.bincount(word[(slot < k) | (slot == 2 * k)], counts[(slot < k) | (slot == 2 * k)], len(sizes))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.astype(np.int64)), pa.array(to.astype(np.int32))], names=["word", "c", "class"])
 
     kind = "word binary, c long, class int"
     path = work_dir(spark, "word-classes")

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from reelframe.llm.brown import END, exchange, fit_brown, score_brown
+from reelframe.llm.brown import END, exchange, fit_brown, place, score_brown
 from reelframe.llm.queries import op4_brown
 
 
@@ -35,6 +35,32 @@ def test_exchange_reaches_a_local_best():
             assert likelihood(pairs, other, 5) <= best + 1e-6
 
 
+def test_place_takes_the_class_of_the_best_likelihood():
+    rng = np.random.default_rng(3)
+    m, k = 12, 3
+    pairs = rng.integers(0, 6, (m + 2, m + 2)) * (rng.random((m + 2, m + 2)) < 0.5)
+    cls = np.r_[rng.integers(0, k, m - 4), [k] * 4, k, k + 1]  # four words to place
+    n = np.zeros((k + 2, k + 2))
+    np.add.at(n, (cls[:, None], cls[None]), pairs)
+    rows = []
+    for i, w in enumerate(range(m - 4, m)):
+        slots = np.zeros(2 * (k + 2) + 1)
+        for o in range(m + 2):
+            if o != w:
+                slots[cls[o]] += pairs[w, o]
+                slots[k + 2 + cls[o]] += pairs[o, w]
+        slots[-1] = pairs[w, w]
+        rows += [(i, j, slots[j]) for j in np.flatnonzero(slots)]
+    got = place(n, *(np.array(x) for x in zip(*rows)), 4)
+    for i, w in enumerate(range(m - 4, m)):
+        found = []
+        for c in range(k):
+            other = cls.copy()
+            other[w] = c
+            found.append(likelihood(pairs, other, k + 2))
+        assert found[got[i]] >= max(found) - 1e-9
+
+
 def test_exchange_finds_planted_classes():
     group = np.arange(20) % 2
     pairs = np.where(group[:, None] != group[None, :], 50, 1)
