@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..functions.bits import BitReader, BitWriter, crc
 
@@ -121,6 +123,15 @@ def residuals(x: np.ndarray, order: int) -> np.ndarray:
     return np.diff(np.asarray(x, np.int64), order)
 
 
+def residual_column(samples: Column | str, order: int) -> Column:
+    """The same of an array column: one difference after the other, in the JVM."""
+    c = F.col(samples) if isinstance(samples, str) else samples
+    for _ in range(order):
+        n = F.greatest(F.size(c) - 1, F.lit(0))
+        c = F.zip_with(F.slice(c, 2, n), F.slice(c, 1, n), lambda b, a: b - a)
+    return c
+
+
 def rice_parameter(e: np.ndarray) -> int:
     mean = float(np.abs(e).mean()) if len(e) else 0.0
     return max(0, min(14, int(mean).bit_length()))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..operators.video import FORMATS, plane_shape
 
 #: Codec -> (bytes a sample, NumPy type; None: 24 bits).
-CODECS = {"pcm_u8": (1, "u1"), "pcm_s16le": (2, "<i2"), "pcm_s16be": (2, ">i2"), "pcm_s24le": (3, None), "pcm_s32le": (4, "<i4"), "pcm_f32le": (4, "<f4")}
+CODECS = {
+    "pcm_u8": (1, "u1"), "pcm_s16le": (2, "<i2"), "pcm_s16be": (2, ">i2"), "pcm_s24le": (3, None), "pcm_s24be": (3, None), "pcm_s32le": (4, "<i4"),
+    "pcm_s32be": (4, ">i4"), "pcm_f32le": (4, "<f4"), "pcm_f32be": (4, ">f4"),
+}
 
 
 def decode(data: bytes, codec: str, channels: int = 1) -> np.ndarray:
@@ -17,7 +22,7 @@ def decode(data: bytes, codec: str, channels: int = 1) -> np.ndarray:
         raise ValueError("the packet isn't a whole number of blocks")
     if kind:
         return np.frombuffer(data, kind).reshape(-1, channels)
-    b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
+    b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)[:, :: -1 if codec.endswith("be") else 1]
     v = b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16
     return (v - ((v >> 23) << 24)).reshape(-1, channels)
 
@@ -27,7 +32,13 @@ def encode(samples: np.ndarray, codec: str) -> bytes:
     kind = CODECS[codec][1]
     if kind:
         return np.ascontiguousarray(samples).astype(kind).tobytes()
-    return np.ascontiguousarray(samples).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    low = np.ascontiguousarray(samples).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return (low[:, ::-1] if codec.endswith("be") else low).tobytes()
+
+
+def sign_extended(raw: Column, bits: int) -> Column:
+    """An unsigned number of so many bits as the signed one, as a column."""
+    return F.when(raw >= 1 << (bits - 1), raw - (1 << bits)).otherwise(raw)
 
 
 def decode_raw(data: bytes, fmt: str, width: int, height: int) -> list[np.ndarray]:

@@ -32,13 +32,19 @@ def parse_srt(tracks: DataFrame) -> DataFrame:
 def strip_ass_tags(text: Column | str) -> Column:
     """Without {\\...} override blocks; other braces stay; an unclosed block takes the rest of the text.
 
-    A block may hold braces of its own, up to three deep.
+    A block may hold braces of its own, however deep: the text is cut before each brace and folded with the depth.
     """
     c = F.col(text) if isinstance(text, str) else text
-    inner = r"[^{}]*"
-    for _ in range(3):
-        inner = rf"(?:[^{{}}]|\{{{inner}\}})*"
-    return F.regexp_replace(c, rf"(?s)\{{\\{inner}(?:\}}|$)", "")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
+
+    def step(s, part):
+        opens, closes, inside = part.startswith("{"), part.startswith("}"), s["depth"] > 0
+        kept = F.when(inside & closes & (s["depth"] == 1), F.substring(part, 2, 2**31 - 1)).when(inside | part.startswith("{\\"), F.lit("")).otherwise(part)
+        depth = F.when(inside, s["depth"] + opens.cast("int") - closes.cast("int")).otherwise(part.startswith("{\\").cast("int"))
+        return F.struct(F.concat(s["out"], kept).alias("out"), depth.alias("depth"))
+
+    folded = F.aggregate(F.split(c, r"(?=[{}])"), start, step)["out"]
+    return F.when(c.contains("{\\"), folded).otherwise(c)
 
 
 def split_dialogue(line: Column) -> Column:
@@ -47,11 +53,21 @@ def split_dialogue(line: Column) -> Column:
 
 
 def parse_ass(tracks: DataFrame) -> DataFrame:
-    """tracks (track, content) as events (track, line_no, start_ms, end_ms, text, style); lines with bad times are skipped."""
-    lines = tracks.select("track", F.posexplode(F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n")).alias("line_no", "line"))
-    events = lines.where(F.col("line").startswith("Dialogue:"))
-    f = split_dialogue(F.substring(F.col("line"), 10, 1_000_000))
-    out = events.select("track", "line_no", ass_time(F.get(f, 1)).alias("start_ms"), ass_time(F.get(f, 2)).alias("end_ms"), strip_ass_tags(F.regexp_replace(F.get(f, 9), r"\\[Nn]", "\n")).alias("text"), F.get(f, 3).alias("style"))
+    """tracks (track, content) as events (track, line_no, start_ms, end_ms, text, style); lines with bad times are skipped.
+
+    The columns of [Events] are those of its Format line, if it has one; the text, which may hold commas, is the last.
+    """
+    body = F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), "^\ufeff", "")
+    names = F.transform(F.split(F.lower(F.regexp_extract(body, r"(?ms)^\[Events\][^\[]*?^Format:([^\n]*)$", 1)), ","), lambda x: F.trim(x))
+    named = F.size(names) > 1
+    at = lambda name, usual: F.when(named & (F.array_position(names, name) > 0), F.array_position(names, name).cast("int") - 1).otherwise(F.lit(usual))
+    places = F.named_struct(F.lit("start"), at("start", 1), F.lit("end"), at("end", 2), F.lit("style"), at("style", 3), F.lit("text"), at("text", 9))
+    rows = tracks.select("track", places.alias("p"), F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
+    rows = rows.where(F.col("line").startswith("Dialogue:")).withColumn("rest", F.substring("line", 10, 2**31 - 1))
+    f = F.transform(F.split("rest", ",", F.col("p.text") + 1), lambda x: F.trim(x))
+    field = lambda name: F.get(f, F.col(f"p.{name}"))
+    text = strip_ass_tags(F.regexp_replace(field("text"), r"\\[Nn]", "\n"))
+    out = rows.select("track", "line_no", ass_time(field("start")).alias("start_ms"), ass_time(field("end")).alias("end_ms"), text.alias("text"), field("style").alias("style"))
     return out.where("start_ms IS NOT NULL AND end_ms IS NOT NULL")
 
 
@@ -125,10 +141,14 @@ def parse_size(text: str) -> tuple[int, int] | None:
     return (int(parts[0]), int(parts[1])) if len(parts) == 2 and all(p.isdigit() for p in parts) else None
 
 
-def is_url(path: Column) -> Column:
-    return F.lower(path).rlike("^https?://")
+def is_url(path: Column | str) -> Column:
+    return (F.col(path) if isinstance(path, str) else path).rlike("^https?://")
 
 
-def file_name(path: Column) -> Column:
-    """What follows the last slash, without a query."""
-    return F.regexp_extract(F.regexp_replace(path, r"[?#].*$", ""), r"([^/\\]*)$", 1)
+def file_name(path: Column | str) -> Column:
+    """What follows the last slash, of an address without its query; without a name (a trailing slash of a path is none
+    of it) the whole."""
+    c = F.col(path) if isinstance(path, str) else path
+    url = F.regexp_extract(c, r"([^/?]*)(?:\?[^/]*)?$", 1)
+    name = F.regexp_extract(F.regexp_replace(c, "/+$", ""), r"([^/]*)$", 1)
+    return F.when(is_url(c), url).when(name.isin("", ".", ".."), c).otherwise(name)

@@ -36,13 +36,32 @@ def rational_reduce(num: C, den: C) -> Column:
     return F.struct(part(num).alias("num"), part(den).alias("den"))
 
 
+def rational_invert(num: C, den: C) -> Column:
+    """struct<num,den> of den/num."""
+    return F.struct(_c(den).cast("long").alias("num"), _c(num).cast("long").alias("den"))
+
+
+def rational_multiply(num: C, den: C, other_num: C, other_den: C) -> Column:
+    """struct<num,den> of the product, in lowest terms; as longs, so that ints don't overflow."""
+    return rational_reduce(_c(num).cast("long") * _c(other_num), _c(den).cast("long") * _c(other_den))
+
+
+_WRAP = 1 << 64
+
+
 def rescale(pts: C, num: C, den: C, new_num: C, new_den: C) -> Column:
-    """pts in the new time base, truncated toward zero; null where a base is invalid or pts is null."""
+    """pts in the new time base, truncated toward zero; null where a base is invalid or pts is null.
+
+    What doesn't fit in 64 bits wraps.
+    """
     d = lambda x: _c(x).cast("decimal(19,0)")
-    top = (d(pts) * d(num)).cast("decimal(38,0)") * d(new_den)
-    low = F.nullif((d(den) * d(new_num)).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
-    top = top.cast("decimal(38,0)")
-    return ((top - top % low) / low).cast("decimal(38,0)").cast("long")
+    n = lambda x: F.lit(str(x)).cast("decimal(38,0)")
+    top = ((d(pts) * d(num)).cast("decimal(38,0)") * d(new_den)).cast("decimal(38,0)")
+    low = F.nullif((d(den) * d(new_num)).cast("decimal(38,0)"), n(0))
+    whole = ((top - top % low) / low).cast("decimal(38,0)")
+    rest = whole % n(_WRAP)
+    signed = F.when(rest >= n(_WRAP // 2), rest - n(_WRAP)).when(rest < n(-_WRAP // 2), rest + n(_WRAP)).otherwise(rest)
+    return signed.cast("decimal(20,0)").cast("long")
 
 
 def seconds(pts: C, num: C, den: C) -> Column:
@@ -107,13 +126,21 @@ def sexagesimal(sec: C) -> Column:
     return F.concat(F.when(_c(sec) < 0, F.lit("-")).otherwise(F.lit("")), body)
 
 
-def rate_text(rate: C, base: int = 1000) -> Column:
-    """A bit rate with its prefix: 1.500 Mb/s; base 1000 or 1024 (Kib, Mib, Gib)."""
-    names = ("", "K", "M", "G") if base == 1000 else ("", "Ki", "Mi", "Gi")
-    r = _c(rate).cast("double")
-    out = F.format_string(f"%.3f {names[3]}b/s", r / base**3)
+def time_value_text(sec: C, in_sexagesimal: bool = False, unit: bool = False) -> Column:
+    """A time of a report: H:MM:SS.uuuuuu if asked for, else six decimals, with its unit if asked for."""
+    return sexagesimal(sec) if in_sexagesimal else F.format_string("%.6f s" if unit else "%.6f", _c(sec))
+
+
+def rate_text(rate: C, base: int = 1000, unit: bool = True, prefix: bool = True) -> Column:
+    """A bit rate of a report: 1.500 Mb/s; base 1000 or 1024 (Kib, Mib, Gib). Without unit the space goes; without
+    prefix it is the whole number."""
+    if not prefix:
+        return F.concat(_c(rate).cast("long").cast("string"), F.lit(" b/s" if unit else ""))
+    names = ("", "k", "M", "G") if base == 1000 else ("", "Ki", "Mi", "Gi")
+    r, gap = _c(rate).cast("double"), " " if unit else ""
+    out = F.format_string(f"%.3f{gap}{names[3]}b/s", r / base**3)
     for k in (2, 1, 0):
-        out = F.when(r < base ** (k + 1), F.format_string(f"%.3f {names[k]}b/s", r / base**k)).otherwise(out)
+        out = F.when(r < base ** (k + 1), F.format_string(f"%.3f{gap}{names[k]}b/s", r / base**k)).otherwise(out)
     return out
 
 
@@ -129,6 +156,15 @@ def hms_millis(sec: C) -> Column:
     return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
 
 
+def progress_text(sec: C, total: C) -> Column:
+    """Time played of total time; an unknown total is dashes."""
+    return F.concat(hms_millis(sec), F.lit("/"), F.when(_c(total) > 0, hms_millis(total)).otherwise(F.lit("--:--:--.---")))
+
+
+def volume_text(level: C, muted: C) -> Column:
+    return F.when(_c(muted), F.lit("MUTE")).otherwise(F.format_string("VOL %d%%", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(level))) * 100).cast("long")))
+
+
 def parse_rate(text: C) -> Column:
     """struct<num,den> of a/b, or of a decimal in thousandths; null unless both are positive."""
     t = F.trim(_c(text))

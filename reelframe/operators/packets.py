@@ -6,6 +6,7 @@ columns; windows are by file or track, so files are processed side by side.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +92,52 @@ def keyframe_before(index: DataFrame) -> DataFrame:
     return index.withColumn("keyframe", F.coalesce(last, F.lit(0)))
 
 
+def sample_chunks(index: DataFrame, runs: DataFrame, chunks: int | None = None) -> DataFrame:
+    """Sample table (track, idx) with chunk and in_chunk, from runs (track, first_chunk from 1, samples_per_chunk).
+
+    A run goes on to the next one's first chunk, the last to `chunks` (null: on and on). Samples are merged with the
+    starts of the runs in order, as every run begins where the samples of those before it end; samples beyond the last
+    chunk, and those of tracks without runs, are in chunk 0 as its first.
+    """
+    w = Window.partitionBy("track").orderBy("first_chunk")
+    span = F.lead("first_chunk").over(w) - F.col("first_chunk")
+    starts = runs.withColumn("span", span).withColumn("n", F.coalesce(F.col("span") * F.col("samples_per_chunk"), F.lit(0)))
+    starts = starts.withColumn("idx", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = starts.where("span IS NULL OR n > 0").select("track", "idx", F.lit(0).alias("k"), F.struct(F.col("idx").alias("from"), F.col("first_chunk").alias("chunk"), F.col("samples_per_chunk").alias("each")).alias("run"))
+    both = starts.unionByName(index.select("track", "idx", F.lit(1).alias("k"), F.lit(None).cast(starts.schema["run"].dataType).alias("run")))
+    run = F.last("run", ignorenulls=True).over(Window.partitionBy("track").orderBy("idx", "k").rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("run", run).where("k = 1")
+    place = F.col("idx") - F.col("run.from")
+    chunk = F.col("run.chunk") - 1 + F.floor(place / F.nullif(F.col("run.each"), F.lit(0)))
+    out = rows.withColumn("chunk", chunk).withColumn("in_chunk", place % F.nullif(F.col("run.each"), F.lit(0)))
+    inside = F.col("chunk").isNotNull() & (F.lit(True) if chunks is None else F.col("chunk") < chunks)
+    return out.select("track", "idx", F.when(inside, F.col("chunk")).otherwise(0).cast("long").alias("chunk"), F.when(inside, F.col("in_chunk")).otherwise(0).cast("long").alias("in_chunk"))
+
+
+def sync_samples(index: DataFrame, syncs: DataFrame) -> DataFrame:
+    """Sample table (track, idx) with sync: whether syncs (track, idx) names it; tracks that syncs doesn't have: all are."""
+    marked = syncs.select("track", "idx").distinct().withColumn("named", F.lit(True))
+    listed = syncs.select("track").distinct().withColumn("listed", F.lit(True))
+    rows = index.join(marked, ["track", "idx"], "left").join(listed, "track", "left")
+    return rows.withColumn("sync", F.col("named").isNotNull() | F.col("listed").isNull()).drop("named", "listed")
+
+
+def keyframe_entry(entries: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets (path, stream_index, target: n-th packet) with entry: where reading starts in an index of packets.
+
+    entries are (path, pos, stream_index, media_type, is_keyframe). Video starts at the last keyframe at or before the
+    target, or at the last of all if the target lies beyond the end; other streams at the target itself, or at entry 0.
+    """
+    w = Window.partitionBy("path", "stream_index").orderBy("pos")
+    rows = entries.withColumn("n", F.row_number().over(w) - 1)
+    rows = rows.withColumn("last_key", F.last(F.when(F.col("is_keyframe"), F.col("pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy("path", "stream_index").agg(F.max("media_type").alias("media"), F.max("n").alias("most"), F.max(F.when(F.col("is_keyframe"), F.col("pos"))).alias("final_key"))
+    out = targets.join(ends, ["path", "stream_index"], "left").join(rows.select("path", "stream_index", F.col("n").alias("target"), "pos", "last_key"), ["path", "stream_index", "target"], "left")
+    video = F.col("media") == "video"
+    entry = F.when(video, F.when(F.col("target") > F.col("most"), F.col("final_key")).otherwise(F.col("last_key"))).otherwise(F.col("pos"))
+    return out.select("path", "stream_index", "target", F.coalesce(entry, F.lit(0)).cast("long").alias("entry"))
+
+
 def seek(times: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (track, target) with sample: the last one whose dts is not after target, in its run by whole deltas.
 
@@ -121,9 +168,19 @@ def chapter_ends(chapters: DataFrame, total: DataFrame | None = None) -> DataFra
 
 
 def chapter_at(chapters: DataFrame, times: DataFrame) -> DataFrame:
-    """times (path, time) with the idx of the first chapter that holds each (start <= time < end, null: open)."""
-    hit = times.join(chapters, "path", "left").where((F.coalesce("start", F.lit(0.0)) <= F.col("time")) & (F.col("time") < F.coalesce("end", F.lit(float("inf")))))
-    return hit.groupBy("path", "time").agg(F.min("idx").alias("chapter"))
+    """times (path, time) with the idx of the first chapter that holds each (start <= time < end, null: open), else null.
+
+    Chapters follow each other in time, so the one that holds a time is the last that starts at or before it (of several
+    with one start the first that ends later): both sides are merged in order, none is crossed with the other.
+    """
+    begin = F.coalesce("start", F.lit(0.0)).cast("double")
+    until = F.coalesce("end", F.lit(float("inf"))).cast("double")
+    held = chapters.select("path", begin.alias("t"), until.alias("until"), "idx").where("t < until").groupBy("path", "t").agg(F.min_by(F.struct("idx", "until"), "idx").alias("c"))
+    kind = held.schema["c"].dataType
+    both = held.select("path", "t", F.lit(0).alias("k"), "c").unionByName(times.select("path", F.col("time").cast("double").alias("t"), F.lit(1).alias("k"), F.lit(None).cast(kind).alias("c")))
+    last = F.last("c", ignorenulls=True).over(Window.partitionBy("path").orderBy("t", "k").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("c", last).where("k = 1")
+    return found.select("path", F.col("t").alias("time"), F.when(F.col("t") < F.col("c.until"), F.col("c.idx")).alias("chapter"))
 
 
 def typed_index(streams: DataFrame) -> DataFrame:
@@ -147,24 +204,30 @@ def continuity(packets: DataFrame) -> DataFrame:
 def clusters(packets: DataFrame, threshold_ms: int = 5000) -> DataFrame:
     """(path, seq, cluster): a new cluster starts when a packet lies threshold_ms or more after the cluster's start.
 
-    Every start depends on the one before, so each file is folded in order, as a stream of batches with its own state;
-    a file is read once and only the running start is kept.
+    Packets without a time stay in the running cluster. Every start depends on the one before, so files are folded in
+    order: rows come sorted by file and place, batch by batch, and only the running start is kept.
     """
-    import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        start, cluster, out = None, -1, []
-        for t in pdf["ms"].tolist():
-            if start is None or t - start >= threshold_ms:
-                start, cluster = t, cluster + 1
-            out.append(cluster)
-        return pdf[["path", "seq"]].assign(cluster=out)
+    def run(batches):
+        path, start, cluster = object(), None, -1
+        for b in batches:
+            out = []
+            for p, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if p != path:
+                    path, start, cluster = p, None, -1
+                if cluster < 0 or None not in (t, start) and t - start >= threshold_ms:
+                    start, cluster = t, cluster + 1
+                elif start is None:
+                    start = t
+                out.append(cluster)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], names=["path", "seq", "cluster"])
 
     ms = rescale("pts", F.col("tb_num"), F.col("tb_den"), F.lit(1), F.lit(1000))
     rows = packets.select("path", "seq", ms.alias("ms"))
     kinds = dict(rows.dtypes)
-    return rows.groupBy("path").applyInPandas(run, f"path {kinds['path']}, seq {kinds['seq']}, cluster int")
+    parts = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "path").sortWithinPartitions("path", "seq")
+    return rows.mapInArrow(run, f"path {kinds['path']}, seq {kinds['seq']}, cluster int")
 
 
 def reassemble(fragments: DataFrame) -> DataFrame:

@@ -5,9 +5,7 @@ A document is long-form rows: path, section, number (of the section in the docum
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Letters of stream specifiers.
@@ -52,10 +50,10 @@ def show_entries(fields: DataFrame, text: str) -> DataFrame:
 
 
 def flags_table(readers: DataFrame, writers: DataFrame) -> DataFrame:
-    """Names with D and E flags for being in the first and the second list."""
+    """Names with D and E flags for being in the first and the second list, a dot where they aren't, by name."""
     a, b = readers.select("name").distinct().withColumn("_d", F.lit("D")), writers.select("name").distinct().withColumn("_e", F.lit("E"))
     both = a.join(b, "name", "full_outer")
-    return both.select("name", F.concat(F.coalesce("_d", F.lit(" ")), F.coalesce("_e", F.lit(" "))).alias("flags"))
+    return both.select("name", F.concat(F.coalesce("_d", F.lit(".")), F.coalesce("_e", F.lit("."))).alias("flags")).orderBy("name")
 
 
 #: JSON names of sections that differ, and those that are arrays whatever their number.
@@ -73,8 +71,53 @@ def _xml(c):
     return c
 
 
-def write_report(fields: DataFrame, form: str) -> DataFrame:
-    """(path, report): each document as text: default, compact, csv, flat, ini, json or xml.
+def _json_string(c: Column) -> Column:
+    """A JSON string; what must be escaped is, nothing else."""
+    whole = F.to_json(F.array(c))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
+#: Fields that are strings in JSON whatever their type.
+_FORCED = {"format": ("start_time", "duration", "size", "bit_rate"), "stream": ("sample_rate", "time_base", "start_time", "duration", "bit_rate", "r_frame_rate", "avg_frame_rate")}
+
+
+def _write_json(rows: DataFrame, compact: bool) -> DataFrame:
+    """Sections by their JSON names in order, those that are lists as arrays, fields in order.
+
+    A field with the value_type (an optional column) integer, unsigned, float or boolean is written bare unless its key
+    is one of those that are always strings.
+    """
+    low, nl = F.lower("section"), (lambda n: F.lit("" if compact else "\n" + " " * n))
+    forced = F.lit(False)
+    for section, keys in _FORCED.items():
+        forced = forced | ((low == section) & F.col("key").isin(*keys))
+    plain = F.col("value_type").isin("integer", "unsigned", "float", "boolean") & ~forced if "value_type" in rows.columns else F.lit(False)
+    colon = F.lit(":" if compact else ": ")
+    field = F.concat(_json_string(F.col("key")), colon, F.coalesce(F.when(plain, F.col("value")).otherwise(_json_string(F.col("value"))), F.lit("null")))
+    name = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in _JSON.items() for x in pair)), low), low)
+    last = rows.withColumn("name", name).groupBy("path", "name", "number", "key").agg(F.max_by(F.struct("ordinal", field.alias("t")), "ordinal").alias("f"), F.min("ordinal").alias("ordinal"))
+    parts = last.groupBy("path", "name", "number").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col("f.t").alias("t")))).alias("f"))
+    array = F.col("name").isin(*sorted(_ARRAYS))
+    body = lambda pad: F.concat(F.lit("{"), nl(pad + 4), F.array_join(F.transform("f", lambda x: x["t"]), "," if compact else ",\n" + " " * (pad + 4)), nl(pad), F.lit("}"))
+    groups = parts.groupBy("path", "name").agg(F.array_sort(F.collect_list(F.struct("number", body(8).alias("deep"), body(4).alias("flat")))).alias("s"))
+    many = F.concat(F.lit("["), nl(8), F.array_join(F.transform("s", lambda x: x["deep"]), "," if compact else ",\n        "), nl(4), F.lit("]"))
+    entry = F.concat(_json_string(F.col("name")), colon, F.when(array | (F.size("s") > 1), many).otherwise(F.get("s", F.lit(0))["flat"]))
+    whole = groups.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", entry.alias("e")))), lambda x: x["e"]), "," if compact else ",\n    ").alias("b"))
+    return whole.select("path", F.concat(F.lit("{"), nl(4), "b", nl(0), F.lit("}\n")).alias("report"))
+
+
+def output_format(text: str | None) -> tuple[str, dict[str, str]]:
+    """'json=compact=1' or 'csv:nk=1' as a form and its options; an option without a value is '1'; None is default."""
+    parts = ("default" if text is None else text).split(":")
+    name, eq, first = parts[0].partition("=")
+    if name not in ("default", "compact", "csv", "flat", "ini", "json", "xml"):
+        raise ValueError(f"Unknown output format with name '{name}'")
+    found = [p.partition("=") for p in [first, *parts[1:]] if p]
+    return name, {k: v if e else "1" for k, e, v in found}
+
+
+def write_report(fields: DataFrame, form: str, compact: bool = False) -> DataFrame:
+    """(path, report): each document as text: default, compact, csv, flat, ini, json (compact: in one line) or xml.
 
     Sections are put together by their number and fields by their ordinal; documents are groups of their own, so this is
     two aggregations with partial ones before the shuffle.
@@ -94,19 +137,7 @@ def write_report(fields: DataFrame, form: str) -> DataFrame:
     if form not in line:
         raise ValueError(form)
     if form == "json":
-        pairs = rows.groupBy("path", "number", "section").agg(F.array_sort(F.collect_list(F.struct("ordinal", "key", "value"))).alias("f"))
-        docs = pairs.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("number", "section", "f"))).alias("s"))
-
-        @F.udf("string")
-        def render(sections):
-            root: dict[str, list] = {}
-            for s in sections:
-                name = s["section"].lower()
-                root.setdefault(_JSON.get(name, name), []).append({x["key"]: x["value"] for x in s["f"]})
-            whole = {k: v if k in _ARRAYS or len(v) > 1 else v[0] for k, v in sorted(root.items())}
-            return json.dumps(whole, indent=4, ensure_ascii=False) + "\n"
-
-        return docs.select("path", render("s").alias("report"))
+        return _write_json(rows, compact)
     lines = rows.select("path", "number", "section", F.struct("ordinal", line[form].alias("l")).alias("x"))
     parts = lines.groupBy("path", "number", "section").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]).alias("l"))
     body = F.array_join("l", "|" if form == "compact" else "\n")
@@ -159,4 +190,4 @@ def describe(streams: DataFrame, probed: DataFrame, sizes: DataFrame, packets: D
     top = (("filename", F.col("path")), ("nb_streams", text(F.col("n"))), ("format_name", F.col("format")), ("duration", F.format_string("%.6f", F.when(F.col("sec") > 0, F.col("sec")))), ("size", text(F.col("size"))), ("bit_rate", rate), ("probe_score", text(F.col("score"))))
     bad = streams.where("status = 'error'")
     out = rows(whole, "FORMAT", F.lit(0), top).union(rows(ok, "STREAM", F.col("index") + 1, pairs)).union(rows(bad, "ERROR", F.lit(0), (("string", F.col("error")),)))
-    return out.where(F.col("value") != "null")
+    return out.where(F.col("value").isNotNull())

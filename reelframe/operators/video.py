@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pixel format -> (bytes a pixel of the first plane, chroma shift x, chroma shift y, planes).
@@ -128,11 +128,25 @@ def rgb_to_yuv420(x: np.ndarray) -> list[np.ndarray]:
     return [_bytes(_weigh(x, _Y))[..., None], _bytes(_weigh(blocks, _CB) + 128)[..., None], _bytes(_weigh(blocks, _CR) + 128)[..., None]]
 
 
-def yuv_to_rgb(planes: list[np.ndarray], sx: int = 1, sy: int = 1) -> np.ndarray:
-    """Studio-range planes to rgb; every pixel takes the chroma of its own block."""
+def yuv_to_rgb(planes: list[np.ndarray], sx: int = 1, sy: int = 1, compat: bool = False) -> np.ndarray:
+    """Studio-range planes to rgb; every pixel takes the chroma of its own block.
+
+    compat (of 2x2 blocks): as some libraries do it in groups of four columns, a group takes the mean of the row's first
+    chroma value and that of the group's third column, the first group the first value alone; columns after the last
+    whole group take their own.
+    """
     y = planes[0][..., 0].astype(np.int32)
     h, w = y.shape[1:]
     up = [np.repeat(np.repeat(p[..., 0].astype(np.int32), 1 << sy, 1), 1 << sx, 2)[:, :h, :w] for p in planes[1:]]
+    if compat:
+        if (sx, sy) != (1, 1):
+            raise ValueError("compat is for 4:2:0")
+        third = np.arange(w) // 4 * 4 + 2
+        for p in up:
+            first = p[:, :, :1].copy()
+            groups = w // 4 * 4
+            mixed = np.where(third[:groups] > 2, (first + p[:, :, third[:groups]]) // 2, first)
+            p[:, :, :groups] = mixed
     c, d, e = 298 * (y - 16), up[0] - 128, up[1] - 128
     return np.stack([_bytes((c + 409 * e + 128) >> 8), _bytes((c - 100 * d - 208 * e + 128) >> 8), _bytes((c + 516 * d + 128) >> 8)], -1)
 
@@ -168,6 +182,12 @@ CONVERSIONS = frozenset(
 )
 
 
+def is_supported(source: Column | str, target: Column | str) -> Column:
+    """Whether frames of one pixel format can be converted to another, or are of it already."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (source, target))
+    return (a == b) | F.concat_ws(">", a, b).isin(*sorted(f"{x}>{y}" for x, y in CONVERSIONS))
+
+
 def convert_planes(planes: list[np.ndarray], source: str, target: str) -> list[np.ndarray]:
     if source == target:
         return planes
@@ -234,10 +254,16 @@ def scale_lanczos(x: np.ndarray, width: int, height: int, a: int = 3) -> np.ndar
     return _scale_kernel(x, width, height, np.arange(1 - a, a + 1), weight)
 
 
-def scale_bicubic(x: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Catmull-Rom weights."""
+def scale_bicubic(x: np.ndarray, width: int, height: int, compat: bool = False) -> np.ndarray:
+    """Catmull-Rom weights; compat: those of a known integer form, in which the middle term counts twice."""
 
     def weight(t):
+        if compat:
+            t = np.abs(t)
+            t2 = t * t >> 8
+            t3 = t2 * t >> 8
+            double = np.where(t <= 256, 3 * t3 - 10 * t2 + 512, np.where(t <= 512, -t3 + 5 * t2 - 8 * t + 1024, 0))
+            return np.sign(double) * (np.abs(double) // 2)  # toward zero
         t = np.abs(t) / 256
         w = np.where(t < 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0))
         return half_up(w * 256).astype(np.int64)
@@ -285,15 +311,14 @@ def map_pixels(frames: DataFrame, column: str, shape: tuple[int, int, int], kern
 
     def run(batches):
         for b in batches:
-            rows = b.column(at).to_pylist()
-            full = [i for i, r in enumerate(rows) if r is not None]
-            result: list = [None] * len(rows)
-            if full:
-                y = kernel(np.array([rows[i] for i in full], np.uint8).reshape(len(full), *shape))
-                for i, r in zip(full, y.reshape(len(full), -1), strict=True):
-                    result[i] = r.astype(np.int32)
-            cols = [b.column(names.index(n)) for n in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(result, pa.list_(pa.int32()))], names=[*kept, out])
+            cells = b.column(at)
+            full = cells.is_valid().to_numpy(zero_copy_only=False)
+            n = int(full.sum())
+            y = kernel(cells.flatten().to_numpy().astype(np.uint8).reshape(n, *shape)) if n else np.empty((0, 1), np.uint8)
+            flat, size = y.reshape(-1).astype(np.int32), y.size // n if n else 0
+            ends = np.r_[0, np.cumsum(full * size)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~full, False)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in kept), lists], names=[*kept, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema if f.name != out)
     return frames.mapInArrow(run, f"{fields}, `{out}` array<int>")
@@ -329,3 +354,18 @@ def explode_pixels(frames: DataFrame, column: str, width: int, channels: int = 1
     rows = frames.select("frame_no", F.posexplode(column).alias("_i", name))
     cols = ["frame_no", F.floor(i / (width * channels)).cast("int").alias("y"), (F.floor(i / channels) % width).cast("int").alias("x")]
     return rows.select(*cols, *([(i % channels).alias("c")] if channels > 1 else []), name)
+
+
+def explode_planes(frames: DataFrame, column: str, sizes: list[tuple[int, int]], name: str = "v") -> DataFrame:
+    """One row for each value: frame_no, y, x, v, plane; the column holds planes of (height, width) one after the other."""
+    i, at = F.col("_i"), 0
+    rows = frames.select("frame_no", F.posexplode(column).alias("_i", name))
+    y = x = plane = F.lit(None).cast("int")
+    for k, (h, w) in reversed(list(enumerate(sizes))):
+        at = sum(a * b for a, b in sizes[:k])
+        here = i >= at
+        place = i - at
+        y = F.when(here & plane.isNull(), F.floor(place / w).cast("int")).otherwise(y)
+        x = F.when(here & plane.isNull(), place % w).otherwise(x)
+        plane = F.when(here & plane.isNull(), F.lit(k)).otherwise(plane)
+    return rows.select("frame_no", y.alias("y"), x.cast("int").alias("x"), name, plane.alias("plane"))

@@ -98,7 +98,7 @@ def mix_stereo_three(spark, d):
 
 @query(_sql("flatten(list_transform(range(10), lambda i: [samples[6 * i + k] + samples[6 * i + 3] * 0.70710677 + samples[6 * i + 4 + k] * 0.70710677 for k in [1, 2]]))"))
 def downmix51(spark, d):
-    return _rows(V.audio(spark, d), A.downmix(F.slice("samples", 1, 60), 6))
+    return _rows(V.audio(spark, d), A.downmix("samples", 6))
 
 
 @query(_sql("flatten(list_transform(range(8), lambda i: [samples[8 * i + k] + samples[8 * i + 3] * 0.70710677 + samples[8 * i + 4 + k] * 0.70710677 + samples[8 * i + 6 + k] * 0.5 for k in [1, 2]]))"))

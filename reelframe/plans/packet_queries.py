@@ -43,7 +43,7 @@ def sexagesimal(spark, d):
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN r < 1e3 THEN printf('%.3f b/s', r) WHEN r < 1e6 THEN printf('%.3f Kb/s', r / 1e3) WHEN r < 1e9 THEN printf('%.3f Mb/s', r / 1e6) ELSE printf('%.3f Gb/s', r / 1e9) END AS rate
+    """SELECT o_orderkey, CASE WHEN r < 1e3 THEN printf('%.3f b/s', r) WHEN r < 1e6 THEN printf('%.3f kb/s', r / 1e3) WHEN r < 1e9 THEN printf('%.3f Mb/s', r / 1e6) ELSE printf('%.3f Gb/s', r / 1e9) END AS rate
     FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * 64 AS DOUBLE) AS r FROM orders)"""
 )
 def rate_prefix(spark, d):
@@ -137,9 +137,9 @@ def default_streams(spark, d):
     return P.default_streams(V.streams(spark, d)).select("path", "stream_index", "media_type")
 
 
-@query(f"{_S} SELECT s.path, s.stream_index, media_type, coalesce(n, 0) AS nb_read_packets FROM streams s LEFT JOIN (SELECT path, stream_index, count(*) AS n FROM packets WHERE is_keyframe GROUP BY ALL) p ON p.path = s.path AND p.stream_index = s.stream_index")
+@query(f"{_S} SELECT s.path, s.stream_index, media_type, coalesce(n, 0) AS nb_read_packets FROM streams s LEFT JOIN (SELECT path, stream_index, count(*) AS n FROM packets GROUP BY ALL) p ON p.path = s.path AND p.stream_index = s.stream_index")
 def packet_count_by_stream(spark, d):
-    return P.count_by_stream(V.streams(spark, d), V.packets(spark, d).where("is_keyframe")).select("path", "stream_index", "media_type", "nb_read_packets")
+    return P.count_by_stream(V.streams(spark, d), V.packets(spark, d)).select("path", "stream_index", "media_type", "nb_read_packets")
 
 
 @query(f"{_P} SELECT path, seq, stream_index + 10 AS stream_index, pts, size FROM packets WHERE stream_index < 3")
@@ -208,10 +208,10 @@ def chapter_lead(spark, d):
     return P.chapter_ends(ch, ch.groupBy("path").agg((F.max("start") + 60).alias("duration"))).select("path", "idx", "start", "end")
 
 
-@query(f"{_C}, e AS (SELECT *, lead(start) OVER (PARTITION BY path ORDER BY idx) AS stop FROM chapters), t AS (SELECT DISTINCT path, start + 5000 AS time FROM chapters) SELECT t.path, t.time, CAST(min(idx) AS INT) AS chapter FROM t JOIN e ON e.path = t.path AND coalesce(start, 0) <= time AND time < coalesce(stop, 'inf') GROUP BY ALL")
+@query(f"{_C}, e AS (SELECT *, lead(start) OVER (PARTITION BY path ORDER BY idx) AS stop FROM chapters), t AS (SELECT DISTINCT path, start + k AS time FROM chapters, (VALUES (5000), (-5000000)) v(k)) SELECT t.path, t.time, CAST(min(idx) AS INT) AS chapter FROM t LEFT JOIN e ON e.path = t.path AND coalesce(start, 0) <= time AND time < coalesce(stop, 'inf') GROUP BY ALL")
 def chapter_lookup_range(spark, d):
     ch = V.chapters(spark, d)
-    return P.chapter_at(P.chapter_ends(ch), ch.select("path", (F.col("start") + 5000).alias("time")).distinct())
+    return P.chapter_at(P.chapter_ends(ch), ch.select("path", F.explode(F.array(F.col("start") + 5000, F.col("start") - 5_000_000)).alias("time")).distinct())
 
 
 @query(f"{_P} SELECT path, seq, seq % 40 = 0 AS psi FROM packets")

@@ -43,10 +43,11 @@ def format_from_extension(spark, d):
     return V.table(spark, d, "part").select("p_partkey", name.alias("name")).withColumn("format", X.format_of_name("name"))
 
 
-@query("SELECT coalesce(a.n, b.n) AS name, (CASE WHEN a.n IS NULL THEN ' ' ELSE 'D' END) || (CASE WHEN b.n IS NULL THEN ' ' ELSE 'E' END) AS flags FROM (SELECT DISTINCT p_brand AS n FROM part WHERE p_size < 2) a FULL JOIN (SELECT DISTINCT p_brand AS n FROM part WHERE p_size > 49) b ON a.n = b.n")
+@query("WITH n AS (SELECT p_brand || ' ' || p_size AS n, p_retailprice AS r FROM part) SELECT coalesce(a.n, b.n) AS name, (CASE WHEN a.n IS NULL THEN '.' ELSE 'D' END) || (CASE WHEN b.n IS NULL THEN '.' ELSE 'E' END) AS flags FROM (SELECT DISTINCT n FROM n WHERE r < 1400) a FULL JOIN (SELECT DISTINCT n FROM n WHERE r >= 1200) b ON a.n = b.n")
 def codec_dim_full_outer(spark, d):
-    p = V.table(spark, d, "part")
-    return R.flags_table(p.where("p_size < 2").select(F.col("p_brand").alias("name")), p.where("p_size > 49").select(F.col("p_brand").alias("name")))
+    """Names of the cheaper and of the dearer parts, which overlap, as lists of readers and writers."""
+    p = V.table(spark, d, "part").select(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("name"), "p_retailprice")
+    return R.flags_table(p.where("p_retailprice < 1400"), p.where("p_retailprice >= 1200"))
 
 
 _S = V.duck("packets", "streams")
@@ -59,7 +60,7 @@ def select_streams(spark, d):
 
 def _fields(spark, d):
     """Report fields of the packets' streams: path, section, number, ordinal, key, value."""
-    s = P.typed_index(V.streams(spark, d)).where("path < 40")
+    s = P.typed_index(V.streams(spark, d))
     pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for k, c in (("index", "stream_index"), ("codec_type", "media_type"), ("tag", "note"))))
     s = s.withColumn("note", F.concat(F.lit('say "hi", '), F.col("media_type")))
     s = s.withColumn("number", F.expr("CAST(row_number() OVER (PARTITION BY path ORDER BY stream_index) - 1 AS INT)"))
@@ -67,7 +68,7 @@ def _fields(spark, d):
 
 
 _F = f"""{_S}, f AS (SELECT path, 'STREAM' AS section, CAST(row_number() OVER (PARTITION BY path ORDER BY stream_index) - 1 AS INT) AS number,
-    stream_index, media_type FROM streams WHERE path < 40), l AS (SELECT path, section, number, 0 AS ordinal, 'index' AS key, CAST(stream_index AS VARCHAR) AS value FROM f
+    stream_index, media_type FROM streams), l AS (SELECT path, section, number, 0 AS ordinal, 'index' AS key, CAST(stream_index AS VARCHAR) AS value FROM f
     UNION ALL SELECT path, section, number, 1, 'codec_type', media_type FROM f UNION ALL SELECT path, section, number, 2, 'tag', 'say "hi", ' || media_type FROM f)"""
 
 
@@ -107,9 +108,23 @@ def writer_xml(spark, d):
     return R.write_report(_fields(spark, d), "xml")
 
 
-@query()
+_JSON = f"""{_F}, s AS (SELECT path, number, string_agg('            "' || key || '": ' || CASE WHEN key = 'index' THEN value ELSE '"' || replace(value, '"', '\\"') || '"' END, ',' || chr(10) ORDER BY ordinal) AS b FROM l GROUP BY path, number),
+    j AS (SELECT path, '{{' || chr(10) || '    "streams": [' || chr(10) || string_agg('        {{' || chr(10) || b || chr(10) || '        }}', ',' || chr(10) ORDER BY number) || chr(10) || '    ]' || chr(10) || '}}' || chr(10) AS report FROM s GROUP BY path)"""
+
+
+def _typed(spark, d):
+    return _fields(spark, d).withColumn("value_type", F.when(F.col("key") == "index", "unsigned").otherwise("string"))
+
+
+@query(f"{_JSON} SELECT path, report FROM j")
 def writer_json(spark, d):
-    return R.write_report(_fields(spark, d), "json")
+    return R.write_report(_typed(spark, d), "json")
+
+
+@query(f"{_JSON} SELECT path, json(report) || chr(10) AS report FROM j")
+def writer_json_compact(spark, d):
+    form, options = R.output_format("json=compact=1")
+    return R.write_report(_typed(spark, d), form, options.get("compact") == "1")
 
 
 def _cues(spark, d):
@@ -182,14 +197,13 @@ def pcm_roundtrip(spark, d):
 
 @query("SELECT event_id, CASE WHEN v >= 8388608 THEN v - 16777216 ELSE v END AS v FROM (SELECT event_id, event_id * 2654435 % 16777216 AS v FROM events)")
 def pcm_s24_extend(spark, d):
-    rows = V.table(spark, d, "events").select("event_id", (F.col("event_id") * 2654435 % 16777216).alias("raw"))
-    return _kernel(rows, "raw", lambda v: int(pcm.decode(int(v).to_bytes(3, "little"), "pcm_s24le")[0, 0])).select("event_id", F.col("out").alias("v"))
+    raw = F.col("event_id") * 2654435 % 16777216
+    return V.table(spark, d, "events").select("event_id", pcm.sign_extended(raw, 24).alias("v"))
 
 
 @query(f"{_A}, o AS (SELECT frame_no, {_S16} AS s FROM audio) SELECT frame_no, CAST(i AS INT) AS i, s[i + 3] - 2 * s[i + 2] + s[i + 1] AS v FROM o, range(62) t(i)")
 def flac_fixed_residuals(spark, d):
-    out = _kernel(_s16(spark, d), "s", lambda s: flac.residuals(s, 2), "array<bigint>")
-    return out.select("frame_no", F.posexplode("out").alias("i", "v"))
+    return _s16(spark, d).select("frame_no", F.posexplode(flac.residual_column("s", 2)).alias("i", "v"))
 
 
 @query()
@@ -211,14 +225,14 @@ def rice_fold(spark, d):
 
 def _crc_sql(width: int, poly: int) -> str:
     bit = f"CASE WHEN v & {1 << (width - 1)} <> 0 THEN xor((v << 1) & {(1 << width) - 1}, {poly}) ELSE (v << 1) & {(1 << width) - 1} END"
-    return f"""WITH RECURSIVE t AS (SELECT event_id, CAST(event_id AS VARCHAR) AS s FROM events WHERE event_id < 2000),
+    return f"""WITH RECURSIVE t AS (SELECT event_id, CAST(event_id AS VARCHAR) AS s FROM events),
         c AS (SELECT event_id, s, 0 AS step, CAST(0 AS BIGINT) AS v FROM t UNION ALL
         SELECT event_id, s, step + 1, CASE WHEN step % 9 = 0 THEN xor(v, CAST(ascii(substr(s, step // 9 + 1, 1)) AS BIGINT) << {width - 8}) ELSE {bit} END FROM c WHERE step < 9 * length(s))
         SELECT event_id, v AS crc FROM c WHERE step = 9 * length(s)"""
 
 
 def _crc(spark, d, width):
-    rows = V.table(spark, d, "events").where("event_id < 2000").withColumn("s", F.col("event_id").cast("string"))
+    rows = V.table(spark, d, "events").withColumn("s", F.col("event_id").cast("string"))
     codes = F.transform(F.split("s", ""), lambda x: F.ascii(x))
     return rows.select("event_id", B.crc_fold(F.filter(codes, lambda x: x > 0), width).alias("crc"))
 

@@ -73,12 +73,10 @@ def _yuv(u: str, v: str, size: int) -> str:
     return f"{_R}, grid AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range(8) a(y), range(8) b(x)) {each('least(255, greatest(0, (' + _luma('y', 'x') + ')))', 0)} UNION ALL {each(u, 1)} UNION ALL {each(v, 2)}"
 
 
-def _planes(spark, d, kernel, sizes):
-    rows, frames = None, _rgb(spark, d)
-    for k, size in enumerate(sizes):
-        out = K.explode_pixels(K.map_pixels(frames, "px", (8, 8, 3), lambda x, k=k: kernel(x)[k]), "px", size).withColumn("plane", F.lit(k))
-        rows = out if rows is None else rows.union(out)
-    return rows
+def _planes(frames, shape, kernel, sizes):
+    """One row for each value of all planes, (height, width) in sizes; the kernel runs once."""
+    whole = K.map_pixels(frames, "px", shape, lambda x: np.concatenate([p.reshape(len(x), -1) for p in kernel(x)], 1))
+    return K.explode_planes(whole, "px", sizes)
 
 
 _CB, _CR = (-43, -85, 128), (128, -107, -21)
@@ -88,12 +86,12 @@ _M = [f"(({_at('2 * y', '2 * x', c)} + {_at('2 * y', '2 * x + 1', c)} + {_at('2
 
 @query(_yuv(_chroma(_CB, *_P), _chroma(_CR, *_P), 8))
 def rgb_to_yuv444(spark, d):
-    return _planes(spark, d, K.rgb_to_yuv444, (8, 8, 8))
+    return _planes(_rgb(spark, d), (8, 8, 3), K.rgb_to_yuv444, [(8, 8)] * 3)
 
 
 @query(_yuv(_chroma(_CB, *_M), _chroma(_CR, *_M), 4))
 def rgb_to_yuv420(spark, d):
-    return _planes(spark, d, K.rgb_to_yuv420, (8, 4, 4))
+    return _planes(_rgb(spark, d), (8, 8, 3), K.rgb_to_yuv420, [(8, 8), (4, 4), (4, 4)])
 
 
 @query(f"{_R}, grid AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range(8) a(y), range(8) b(x)) " + " UNION ALL ".join(f"SELECT frame_no, y, x, {k} AS c, {_at('y', 'x', n)} AS v FROM rgb, grid" for k, n in enumerate("bgr")))
@@ -103,8 +101,7 @@ def bgr_swap(spark, d):
 
 @query(f"{_G}, grid AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range(8) a(y), range(4) b(x)) SELECT frame_no, y, x, {_at('y', '2 * x')} AS v, 0 AS plane FROM gray, grid UNION ALL SELECT frame_no, y, x, {_at('y', '2 * x + 1')}, 1 FROM gray, grid")
 def nv12_split(spark, d):
-    one = lambda k: K.explode_pixels(K.map_pixels(V.gray(spark, d), "px", (8, 4, 2), lambda x: K.split_nv12(x)[k]), "px", 4).withColumn("plane", F.lit(k))
-    return one(0).union(one(1))
+    return _planes(V.gray(spark, d), (8, 4, 2), K.split_nv12, [(8, 4)] * 2)
 
 
 @query(_pixels(_at("y * 8 // 5", "x * 8 // 11"), 11, 5))
@@ -130,22 +127,86 @@ def scale_area(spark, d):
     return _gray(spark, d, lambda x: K.scale_area(x, 5, 3), 5)
 
 
-@query()
+def _kernel_sql(taps: tuple[int, int], weight: str) -> str:
+    """Scaling 8x8 to 11x5 by separable weights: `weight` is of t, the distance in 256ths."""
+    def axis(v: str, n: int) -> str:
+        return f"""{v}p AS (SELECT {v}, (({v} * 2 + 1) * 1024 // {n}) - 128 AS pos FROM range({n}) r({v})), {v}k AS (SELECT {v}, greatest(0, least(7, lo + k)) AS s{v}, abs(k * 256 - (pos - lo * 256)) AS t
+            FROM (SELECT *, CAST(floor(pos / 256.0) AS BIGINT) AS lo FROM {v}p), range({taps[0]}, {taps[1]}) t(k)), {v}w AS (SELECT {v}, s{v}, {weight} AS w FROM {v}k)"""
+    return f"""{_G}, {axis("y", 5)}, {axis("x", 11)}, w AS (SELECT y, x, sy, sx, CAST(floor(yw.w * xw.w / 256.0) AS BIGINT) AS w FROM yw, xw),
+        s AS (SELECT frame_no, y, x, CAST(sum(px[sy * 8 + sx + 1] * w) AS BIGINT) AS total, CAST(sum(w) AS BIGINT) AS norm FROM gray, w GROUP BY ALL)
+        SELECT frame_no, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(CASE WHEN norm > 0 THEN greatest(0, least(255, floor((total + norm // 2) / CAST(norm AS DOUBLE)))) ELSE 0 END AS INT) AS v FROM s"""
+
+
+_T2, _T3 = "(t * t >> 8)", "((t * t >> 8) * t >> 8)"
+_U = "(t / 256.0)"
+
+
+@query(_kernel_sql((-1, 3), f"CAST(round(256 * CASE WHEN t < 256 THEN 1.5 * {_U} * {_U} * {_U} - 2.5 * {_U} * {_U} + 1 WHEN t < 512 THEN -0.5 * {_U} * {_U} * {_U} + 2.5 * {_U} * {_U} - 4 * {_U} + 2 ELSE 0 END) AS BIGINT)"))
 def scale_bicubic(spark, d):
     return _gray(spark, d, lambda x: K.scale_bicubic(x, 11, 5), 11)
 
 
-@query()
+@query(_kernel_sql((-1, 3), f"CAST(trunc(CASE WHEN t <= 256 THEN 3 * {_T3} - 10 * {_T2} + 512 WHEN t <= 512 THEN 5 * {_T2} - {_T3} - 8 * t + 1024 ELSE 0 END / 2.0) AS BIGINT)"))
+def scale_bicubic_compat(spark, d):
+    return _gray(spark, d, lambda x: K.scale_bicubic(x, 11, 5, True), 11)
+
+
+_V = "(pi() * greatest(t, 1) / 256)"
+
+
+@query(_kernel_sql((-2, 4), f"CASE WHEN t = 0 THEN 256 WHEN t >= 768 THEN 0 ELSE CAST(trunc(sin({_V}) / {_V} * sin({_V} / 3) / ({_V} / 3) * 256) AS BIGINT) END"))
 def scale_lanczos(spark, d):
     return _gray(spark, d, lambda x: K.scale_lanczos(x, 11, 5), 11)
 
 
-@query()
+def _back_sql(group: str) -> str:
+    """Planes of 4:2:0 and back; `group`: the two chroma columns of which a pixel takes the mean."""
+    value = lambda e: f"least(255, greatest(0, ({e} + 128) >> 8))"
+    return f"""{_R}, grid AS (SELECT y, x FROM range(8) a(y), range(8) b(x)), half AS (SELECT y, x FROM range(4) a(y), range(4) b(x)),
+        l AS (SELECT frame_no, y, x, least(255, greatest(0, {_luma('y', 'x')})) AS l FROM rgb, grid),
+        c AS (SELECT frame_no, y AS cy, x AS cx, {_chroma(_CB, *_M)} - 128 AS u, {_chroma(_CR, *_M)} - 128 AS v FROM rgb, half),
+        p AS (SELECT l.frame_no, y, x, 298 * (l - 16) AS s, (a.u + b.u + 256) // 2 - 128 AS u, (a.v + b.v + 256) // 2 - 128 AS v
+            FROM l JOIN c a ON a.frame_no = l.frame_no AND a.cy = y // 2 AND a.cx = {group.split(';')[0]} JOIN c b ON b.frame_no = l.frame_no AND b.cy = y // 2 AND b.cx = {group.split(';')[1]})
+        SELECT frame_no, CAST(y AS INT) AS y, CAST(x AS INT) AS x, c, CAST(CASE c WHEN 0 THEN {value('s + 409 * v')} WHEN 1 THEN {value('s - 100 * u - 208 * v')} ELSE {value('s + 516 * u')} END AS INT) AS v FROM p, (VALUES (0), (1), (2)) k(c)"""
+
+
+@query(_back_sql("x // 2; x // 2"))
 def yuv420_to_rgb(spark, d):
     back = K.map_pixels(_rgb(spark, d), "px", (8, 8, 3), lambda x: K.yuv_to_rgb(K.rgb_to_yuv420(x)))
     return K.explode_pixels(back, "px", 8, 3)
 
 
+@query(_back_sql("0; CASE WHEN x >= 4 THEN 3 ELSE 0 END"))
+def yuv420_to_rgb_compat(spark, d):
+    back = K.map_pixels(_rgb(spark, d), "px", (8, 8, 3), lambda x: K.yuv_to_rgb(K.rgb_to_yuv420(x), compat=True))
+    return K.explode_pixels(back, "px", 8, 3)
+
+
+@query(f"{_G}, p AS (SELECT frame_no, i // 8 AS y, i % 8 AS x, px[i + 1] AS v FROM gray, range(64) t(i)), s AS (SELECT frame_no, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, CAST((sum(v) + 2) // 4 AS INT) AS v FROM p GROUP BY ALL) SELECT frame_no, y, x, c, v FROM s, (VALUES (0), (1), (2)) k(c)")
+def scale_and_convert(spark, d):
+    """Scaled in the source format by half, then converted."""
+    back = K.map_pixels(V.gray(spark, d), "px", (8, 8, 1), lambda x: K.scale_and_convert([x], "gray8", 4, 4, "rgb24", "area")[0])
+    return K.explode_pixels(back, "px", 4, 3)
+
+
+@query(f"{_G}, q AS (SELECT frame_no, px FROM gray), l AS (SELECT frame_no, y, x, px[CAST(y * 2 * 8 + x * 2 + 1 AS INT)] AS v, 0 AS plane FROM q, range(4) a(y), range(4) b(x)), c AS (SELECT frame_no, y, x, px[CAST(p * 16 + y * 2 * 4 + x * 2 + 1 AS INT)] AS v, p AS plane FROM q, range(2) a(y), range(2) b(x), (VALUES (1), (2)) k(p)) SELECT frame_no, CAST(y AS INT) AS y, CAST(x AS INT) AS x, v, plane FROM l UNION ALL SELECT frame_no, CAST(y AS INT), CAST(x AS INT), v, plane FROM c")
+def scale_planes(spark, d):
+    """Luma of 8x8 and chroma planes of 4x4 (taken from the second and third row quarter) to half their size."""
+    def kernel(x):
+        planes = [x, x.reshape(len(x), 64)[:, 16:32].reshape(-1, 4, 4, 1), x.reshape(len(x), 64)[:, 32:48].reshape(-1, 4, 4, 1)]
+        return K.scale_planes(planes, "yuv420p", 4, 4, "nearest")
+
+    return _planes(V.gray(spark, d), (8, 8, 1), kernel, [(4, 4), (2, 2), (2, 2)])
+
+
+@query("WITH f(name) AS (VALUES ('yuv420p'), ('yuv422p'), ('yuv444p'), ('nv12'), ('nv21'), ('rgb24'), ('bgr24'), ('rgba'), ('bgra'), ('argb'), ('gray8')), p(source, target) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in sorted(K.CONVERSIONS)) + ") SELECT a.name AS source, b.name AS target, a.name = b.name OR p.source IS NOT NULL AS supported FROM f a CROSS JOIN f b LEFT JOIN p ON p.source = a.name AND p.target = b.name")
+def conversion_supported(spark, d):
+    """Every pair of pixel formats (a fixed list) with whether the first can be converted to the second."""
+    names = spark.createDataFrame([(n,) for n in K.FORMATS], "source string")
+    pairs = names.select("source", F.explode(F.array(*map(F.lit, K.FORMATS))).alias("target"))
+    return pairs.withColumn("supported", K.is_supported("source", "target"))
+
+
 @query(
     f"""{_G}, q AS (SELECT a.frame_no, list_transform(range(64), lambda i: a.px[i + 1] - b.px[i + 1]) AS e FROM gray a JOIN gray b ON b.frame_no = a.frame_no + 1),
     m AS (SELECT frame_no, list_max(list_transform(e, lambda x: abs(x))) AS max_error, CAST(list_sum(list_transform(e, lambda x: x * x)) AS DOUBLE) / 64 AS mse FROM q)
