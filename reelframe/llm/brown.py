@@ -12,7 +12,6 @@ the rest is joined.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -24,15 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, texts_of, work_dir
+from .wordarrays import Interner, WordIndex, Words
 
 END = b""  # no word is empty
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text, A-Z lower-cased: what stands between space, tab, line feed, vertical tab, form feed and return."""
-    return text.lower().split()
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -99,22 +94,20 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int | None = None) -> np.n
     return cls
 
 
-def place(n: np.ndarray, word: np.ndarray, slot: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
-    """The class of the largest exchange gain for each of `words` words, each for itself.
+def place(n: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of the largest exchange gain for each word, each for itself, a word for each row of table.
 
-    n, the class bigrams, holds them among the other words, last but one. Rows (word, slot, count), ordered by word, tell
-    a word's pairs: by the class after it, by the class before it (from k = len(n) on) and with itself (2 k).
+    n, the class bigrams, holds them among the other words, last but one. A row holds a word's pairs: by the class after
+    it, by the class before it (from k = len(n) on) and with itself (2 k).
     """
-    k, classes = len(n), len(n) - 2
-    table = np.zeros((words, 2 * k + 1))
-    table[word, slot] = counts
+    k, classes, words = len(n), len(n) - 2, len(table)
     after, before, own = table[:, :k], table[:, k : 2 * k], table[:, 2 * k :]
     gain = np.zeros((words, classes))
-    for part, by, across in ((slot < k, n, before), ((slot >= k) & (slot < 2 * k), n.T, after)):
-        if not part.any():
+    for side, by, across in ((after, n, before), (before, n.T, after)):
+        w, x = np.nonzero(side)
+        if not len(w):
             continue
-        w, x, c = word[part], slot[part] % k, counts[part][:, None]
-        now = by[:classes, x].T.copy()
+        now, c = by[:classes, x].T.copy(), side[w, x][:, None]
         other = np.flatnonzero(x == classes)
         now[other] -= across[w[other], :classes]  # the word itself doesn't stand there any more
         first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
@@ -134,9 +127,10 @@ class BrownModel:
     counts: DataFrame  # word binary, c long, class int: all training words, and END
     tokens: int
     distinct: int
-    frequent: dict[bytes, int]  # every word counted at least `least` times, in no more than a fixed number
+    frequent: pa.Array  # every word counted at least `least` times, in no more than a fixed number; without END
+    c: np.ndarray  # their counts
+    group: np.ndarray  # their classes
     least: int
-    known: dict[bytes, int]  # frequent word -> class
     transitions: np.ndarray  # smoothed P(class | class before), (classes + 2) squared; the last two: unseen words, END
     sizes: np.ndarray  # training tokens of each class
     mix: float = 0.9
@@ -148,33 +142,102 @@ class BrownModel:
 
 
 def _count(batches):
-    held: Counter[bytes] = Counter()
-    texts = 0
+    """(word, n) of each partition, and of END a row with the number of texts."""
+    local, held, texts = Interner(), np.zeros(0, np.int64), 0
     for b in batches:
-        for t in texts_of(b.column(0)):
-            held.update(words_of(t))
-            texts += 1
-            if len(held) > 400_000:
-                yield _counted(held)
-                held = Counter()
-    if texts:
-        held[END] += texts
-    yield _counted(held)
+        words = Words(texts_of(b.column(0)))
+        ids = local(words, np.arange(len(words.starts)))
+        held = np.pad(held, (0, local.n - len(held))) + np.bincount(ids, minlength=local.n)
+        texts += b.num_rows
+        if local.n > 2_000_000:
+            yield _counted(local, held)
+            local, held = Interner(), np.zeros(0, np.int64)
+    yield _counted(local, held)
+    yield pa.RecordBatch.from_arrays([pa.array([END] if texts else [], pa.binary()), pa.array([texts] if texts else [], pa.int64())], names=["word", "n"])
+
+
+def _counted(local: Interner, held: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(held)
+    return pa.RecordBatch.from_arrays([local.words(at), pa.array(held[at])], names=["word", "n"])
+
 
+_SLOT = np.dtype([("slot", "<u2"), ("n", "<u4")])
 
-def _counted(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
+def _sequence(ids: np.ndarray, words: Words, end: int) -> np.ndarray:
+    """Numbers of all words with `end` before the first text and after each."""
+    return np.insert(ids, words.bounds, end)
 
-def _most(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
-    """The words of the highest counts, whole counts only, so that there are at most `most`; and the least count taken."""
-    rows = counts.orderBy(F.desc("c"), "word").limit(most + 1).toArrow()
-    found = list(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True))
-    least = found[-1][1] + 1 if len(found) > most else 1
-    return {w: c for w, c in found if c >= least}, least
 
+def _around(batches, index: WordIndex, cls: np.ndarray, k: int):
+    """(word, slots) for words that index doesn't hold, of each partition: counts by the class after, before and with itself."""
+    local, held, size, side = Interner(), [], 0, 2 * k + 1
 
-def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, clustered: int = 1024, frequent: int = 200_000, mix: float = 0.9, add: float = 0.5) -> BrownModel:
+    def told():
+        keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
+        cells = np.empty(len(keys), _SLOT)
+        cells["slot"], cells["n"] = keys % side, n
+        who, first = np.unique(keys // side, return_index=True)
+        ends = np.append(first, len(keys)).astype(np.int32) * _SLOT.itemsize
+        blobs = pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(ends), pa.py_buffer(cells.tobytes())])
+        return pa.RecordBatch.from_arrays([local.words(who), blobs], names=["word", "slots"])
+
+    for b in batches:
+        words = Words(texts_of(b.column(0)))
+        known = index(words)
+        later = np.flatnonzero(known < 0)
+        by = np.where(known < 0, k - 2, np.r_[cls, 0][known])
+        own = np.full(len(known), -1, np.int64)
+        own[later] = local(words, later)
+        by, own = _sequence(by, words, k - 1), _sequence(own, words, -1)
+        at = np.flatnonzero(own >= 0)
+        base = own[at] * side
+        held += [base + np.where(own[at + 1] == own[at], 2 * k, by[at + 1]), (base + k + by[at - 1])[own[at - 1] != own[at]]]
+        size += len(at)
+        if size >= 4_000_000:
+            yield told()
+            local, held, size = Interner(), [], 0
+    yield told()
+
+
+def _placed(batches, n: np.ndarray):
+    """(word, c, class) of _around's rows, which come sorted by word, a word's in one partition."""
+    k = len(n)
+    side, last, sums = 2 * k + 1, None, None
+
+    def told(words: pa.Array, table: np.ndarray):
+        c = table[:, :k].sum(1) + table[:, 2 * k]
+        return pa.RecordBatch.from_arrays([words, pa.array(c.astype(np.int64)), pa.array(place(n, table).astype(np.int32))], names=["word", "c", "class"])
+
+    for b in batches:
+        words, blobs = b.column(0), b.column(1)
+        first = np.flatnonzero(np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]) if len(words) else []
+        if not len(first):
+            continue
+        cells = np.frombuffer(b"".join(blobs.to_pylist()), _SLOT)
+        row = np.repeat(np.cumsum(np.isin(np.arange(len(words)), first)) - 1, pc.binary_length(blobs).to_numpy() // _SLOT.itemsize)
+        table = np.bincount(row * side + cells["slot"], cells["n"], len(first) * side).reshape(-1, side)
+        if last is not None and words[0].as_py() == last:
+            table[0] += sums
+        elif last is not None:
+            yield told(pa.array([last], pa.binary()), sums[None])
+        yield told(words.take(pa.array(first[:-1])), table[:-1])
+        last, sums = words[int(first[-1])].as_py(), table[-1]
+    if last is not None:
+        yield told(pa.array([last], pa.binary()), sums[None])
+
+
+def _most(counts: DataFrame, most: int) -> tuple[pa.Array, np.ndarray, int]:
+    """The words of the highest counts, whole counts only, so that there are at most `most`; their counts; the least one."""
+    rows = counts.orderBy(F.desc("c"), "word").limit(most + 1).toArrow().combine_chunks()
+    words, c = (rows[x].combine_chunks() if rows[x].num_chunks else pa.array([], rows[x].type) for x in ("word", "c"))
+    c = c.to_numpy()
+    least = int(c[-1]) + 1 if len(c) > most else 1
+    taken = int((c >= least).sum())
+    return words.slice(0, taken), c[:taken], least
+
+
+def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, clustered: int = 1024, frequent: int = 500_000, mix: float = 0.9, add: float = 0.5) -> BrownModel:
     """Learn from all texts of docs (null: empty): counts and classes of all words, and the transitions of all tokens.
 
     The `clustered` most frequent words are exchanged with each other, all later ones placed by the same gain. The driver
@@ -187,35 +250,19 @@ def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, cluste
     map_texts(texts, _count, "word binary, n long", 0).groupBy("word").agg(F.sum("n").alias("c")).write.parquet(path)
     counts = spark.read.schema("word binary, c long").parquet(path)
     tokens, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    known, least = _most(counts, frequent)
-    names = [w for w in known if w != END][:clustered]
-    m, k = len(names), classes + 2
-    sent = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+    known, known_c, least = _most(counts, frequent)
+    named = np.flatnonzero(pc.binary_length(known).to_numpy() > 0)[:clustered]  # END is empty
+    names, m, k = known.take(pa.array(named)), len(named), classes + 2
+    sent = spark.sparkContext.broadcast(WordIndex(names))
 
     def pairs_of(batches):
-        index, side = sent.value, m + 2
-        total, flat, size = np.zeros(side * side, np.int64), [], 0
-
-        def add_up():
-            nonlocal flat, size
-            if flat:
-                seq = np.concatenate(flat)
-                total[:] += np.bincount(seq[:-1] * side + seq[1:], minlength=side * side)
-                total[(m + 1) * side + m + 1] -= marks  # where one text ends and the next begins
-            flat, size = [], 0
-
-        marks = 0
+        side = m + 2
+        total = np.zeros(side * side, np.int64)
         for b in batches:
-            for t in texts_of(b.column(0)):
-                words = words_of(t)
-                ids = np.fromiter((index.get(w, m) for w in words), np.int64, len(words))
-                flat.append(np.r_[m + 1, ids, m + 1])
-                size += len(words)
-                if size >= 2_000_000:
-                    marks = len(flat) - 1
-                    add_up()
-        marks = len(flat) - 1
-        add_up()
+            words = Words(texts_of(b.column(0)))
+            ids = sent.value(words)
+            seq = _sequence(np.where(ids < 0, m, ids), words, m + 1)
+            total += np.bincount(seq[:-1] * side + seq[1:], minlength=side * side)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((at // side).astype(np.int32)), pa.array((at % side).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
 
@@ -225,88 +272,43 @@ def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, cluste
     cls = exchange(pairs, classes)
     member = np.zeros((m + 2, k))
     member[np.arange(m + 2), cls] = 1
-    core = spark.sparkContext.broadcast(({w: i for i, w in enumerate(names)}, cls, member.T @ pairs @ member))
-
-    def around(batches):
-        """Of each later word: counts by the class after it, by the class before it (from k on), and with itself (2 k)."""
-        index, cls, _ = core.value
-        local: dict[bytes, int] = {}
-        flat: list[np.ndarray] = []
-        size = 0
-
-        def add_up():
-            keys, n = np.unique(np.concatenate(flat), return_counts=True) if flat else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            names = pa.array(list(local), pa.binary())
-            return pa.RecordBatch.from_arrays([names.take(pa.array(keys // (2 * k + 1))), pa.array((keys % (2 * k + 1)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "slot", "n"])
-
-        for b in batches:
-            for t in texts_of(b.column(0)):
-                words = words_of(t)
-                ids = np.fromiter((index[w] if w in index else -1 - local.setdefault(w, len(local)) for w in words), np.int64, len(words))
-                ids = np.r_[m + 1, ids, m + 1]
-                at = np.flatnonzero(ids < 0)
-                if len(at):
-                    by = np.where(ids < 0, classes, cls[np.maximum(ids, 0)])
-                    base = (-1 - ids[at]) * (2 * k + 1)
-                    other = ids[at - 1] != ids[at]
-                    flat += [base + np.where(ids[at + 1] == ids[at], 2 * k, by[at + 1]), (base + k + by[at - 1])[other]]
-                    size += len(at)
-                if size >= 500_000:
-                    yield add_up()
-                    local, flat, size = {}, [], 0
-        yield add_up()
-
-    def placed(batches):
-        n = core.value[2]
-        for b in batches:
-            sizes, rows = pc.list_value_length(b.column(1)).to_numpy(), b.column(1).flatten()
-            word, counts = np.repeat(np.arange(len(sizes)), sizes), rows.field("n").to_numpy().astype(np.float64)
-            slot = rows.field("slot").to_numpy()
-            to = place(n, word, slot, counts, len(sizes))
-            c = np.bincount(word[(slot < k) | (slot == 2 * k)], counts[(slot < k) | (slot == 2 * k)], len(sizes))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.astype(np.int64)), pa.array(to.astype(np.int32))], names=["word", "c", "class"])
-
+    n = member.T @ pairs @ member
     kind = "word binary, c long, class int"
     path = work_dir(spark, "word-classes")
-    later = map_texts(texts, around, "word binary, slot int, n long", 0).groupBy("word", "slot").agg(F.sum("n").alias("n"))
-    later = later.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("found"))
-    later.mapInArrow(placed, kind).write.parquet(path)
-    first = [(bytearray(w), known[w], int(cls[i])) for i, w in enumerate(names)]
+    later = map_texts(texts, lambda batches: _around(batches, sent.value, cls, k), "word binary, slots binary", 0)
+    later = later.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")
+    later.mapInArrow(lambda batches: _placed(batches, n), kind).write.parquet(path)
+    first = [(bytearray(w), int(c), int(g)) for w, c, g in zip(names.to_pylist(), known_c[named].tolist(), cls[:m].tolist(), strict=True)]
     if tokens:
-        texts_n = int(pairs[m + 1].sum())
-        first.append((bytearray(END), texts_n, classes + 1))
+        first.append((bytearray(END), int(pairs[m + 1].sum()), classes + 1))
     spark.createDataFrame(first, kind).coalesce(1).write.mode("append").parquet(path)
     counts = spark.read.schema(kind).parquet(path)
-    by_class = counts.where(F.col("c") >= least).toArrow()
-    class_of = dict(zip(by_class["word"].to_pylist(), by_class["class"].to_pylist(), strict=True))
-    whole = spark.sparkContext.broadcast(class_of)
+    rows = counts.where((F.col("c") >= least) & (F.length("word") > 0)).orderBy("word").toArrow().combine_chunks()
+    words, c, group = (rows[x].combine_chunks() if rows[x].num_chunks else pa.array([], rows[x].type) for x in ("word", "c", "class"))
+    whole = spark.sparkContext.broadcast((WordIndex(words), group.to_numpy().astype(np.int64)))
 
     def moves_of(batches):
         """Class bigrams; where a word wasn't sent, it stands in the place of its class."""
-        index, total = whole.value, np.zeros(k * k, np.int64)
-        held: Counter[tuple[bytes | None, bytes | None, int, int]] = Counter()
-
-        def told():
-            a, b, ka, kb = zip(*held, strict=True) if held else ((), (), (), ())
-            cols = [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(ka, pa.int32()), pa.array(kb, pa.int32()), pa.array(list(held.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "ka", "kb", "n"])
-
+        index, group = whole.value
+        total, schema = np.zeros(k * k, np.int64), pa.schema([("a", pa.binary()), ("b", pa.binary()), ("ka", pa.int32()), ("kb", pa.int32()), ("n", pa.int64())])
         for b in batches:
-            for t in texts_of(b.column(0)):
-                words = words_of(t)
-                by = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-                by = np.r_[classes + 1, by, classes + 1]
-                x, y = by[:-1], by[1:]
-                sure = (x >= 0) & (y >= 0)
-                total += np.bincount(x[sure] * k + y[sure], minlength=k * k)
-                for i in np.flatnonzero(~sure).tolist():
-                    held[words[i - 1] if x[i] < 0 else None, words[i] if y[i] < 0 else None, int(x[i]), int(y[i])] += 1
-                if len(held) > 200_000:
-                    yield told()
-                    held = Counter()
-        for i in np.flatnonzero(total).tolist():
-            held[None, None, i // k, i % k] = int(total[i])
-        yield told()
+            words = Words(texts_of(b.column(0)))
+            ids = index(words)
+            by = _sequence(np.where(ids < 0, -1, np.r_[group, 0][ids]), words, k - 1)
+            place = _sequence(np.arange(len(ids)), words, -1)
+            x, y = by[:-1], by[1:]
+            sure = (x >= 0) & (y >= 0)
+            total += np.bincount(x[sure] * k + y[sure], minlength=k * k)
+            at = np.flatnonzero(~sure)
+            if len(at):
+                ends = [words.array(np.maximum(place[at + i], 0)) if len(ids) else None for i in (0, 1)]
+                a, b2 = (pc.if_else(pa.array(by[at + i] < 0), w, pa.scalar(None, pa.binary())) for i, w in enumerate(ends))
+                told = pa.table([a, b2, pa.array(x[at].astype(np.int32)), pa.array(y[at].astype(np.int32))], names=["a", "b", "ka", "kb"])
+                told = told.group_by(["a", "b", "ka", "kb"]).aggregate([([], "count_all")]).rename_columns(["a", "b", "ka", "kb", "n"])
+                yield from told.cast(schema).to_batches()
+        at = np.flatnonzero(total)
+        none = pa.nulls(len(at), pa.binary())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[at])], schema=schema)
 
     found = map_texts(texts, moves_of, "a binary, b binary, ka int, kb int, n long", 0)
     if len(known) < distinct:
@@ -320,7 +322,7 @@ def fit_brown(docs: DataFrame, text_col: str = "text", classes: int = 48, cluste
     moves = np.zeros((k, k))
     for r in found.groupBy("ka", "kb").agg(F.sum("n").alias("n")).collect():
         moves[r.ka, r.kb] = r.n
-    return BrownModel(counts, tokens, distinct, known, least, class_of, (moves + add) / (moves.sum(1, keepdims=True) + add * k), moves.sum(0), mix)
+    return BrownModel(counts, tokens, distinct, words, c.to_numpy(), group.to_numpy(), least, (moves + add) / (moves.sum(1, keepdims=True) + add * k), moves.sum(0), mix)
 
 
 def score_brown(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,51 +334,67 @@ def score_brown(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text
     of counts and classes, once for each text they stand in, if the table holds more words than were sent.
     """
     spark = docs.sparkSession
-    words = [w for w in model.frequent if w != END]
-    index = {w: i for i, w in enumerate(words)}
     other = len(model.transitions) - 2
-    cls = np.array([model.known[w] for w in words] + [other, other + 1], np.int64)
-    c = np.array([model.frequent[w] for w in words] + [0, model.frequent.get(END, 0)], np.float64)
-    whole, more = model.tokens + model.distinct + 1, len(model.frequent) < model.distinct
+    cls = np.r_[model.group, other, other + 1].astype(np.int64)  # frequent words, others, END
+    c = np.r_[model.c, 0, 0].astype(np.float64)
+    whole = model.tokens + model.distinct + 1
+    ends = int(model.sizes[other + 1])  # texts seen in training
+    c[-1] = ends
+    more = len(model.frequent) + (ends > 0) < model.distinct
     emit = c / np.maximum(model.sizes[cls], 1)
     emit[-2:] = 1.0  # unseen words count as one
-    sent = spark.sparkContext.broadcast((index, cls, c, emit, model.transitions, model.sizes, model.mix, whole))
+    sent = spark.sparkContext.broadcast((WordIndex(model.frequent), cls, c, emit, model.transitions, model.sizes, model.mix, whole))
     term = np.dtype([("a", "<i4"), ("b", "<i4"), ("emit", "<f8"), ("base", "<f8")])  # a, b: class, or -1 - place of a word
+    names = ["row", "doc_id", "word", "n_tokens", "n_known", "base_score", "score", "terms", "place", "tf"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64())
 
     def run(batches):
         index, cls, c, emit, trans, _, mix, whole = sent.value
         n, end, other = len(index), len(index) + 1, len(trans) - 2
         log_c, row = np.log10(c + 1), TaskContext.get().partitionId() << 33
         for b in batches:
-            out: list[list] = [[] for _ in range(10)]
-            for d, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-                words = words_of(t)
-                ids = np.append(np.fromiter((index.get(w, n) for w in words), np.int64, len(words)), end)
-                k = cls[ids]
+            words = Words(texts_of(b.column(1)))
+            ids = index(words)
+            bounds, size = words.bounds, np.diff(words.bounds) + 1
+            text = np.repeat(np.arange(len(size)), size)
+            seq = np.insert(np.where(ids < 0, n, ids), bounds[1:], end)
+            first = np.cumsum(size) - size
+            k = cls[seq]
+            before = np.r_[other + 1, k[:-1]]
+            before[first] = other + 1
+            p = mix * trans[before, k] * emit[seq] + (1 - mix) * (c[seq] + 1) / whole
+            base = np.bincount(text, log_c[seq], len(size)) - size * np.log10(whole)
+            known = np.bincount(text, c[seq] > 0, len(size)).astype(np.int64)
+            terms = [None] * len(size)
+            rest = []
+            if more and (ids < 0).any():
+                rare = np.flatnonzero(ids < 0)  # among the words; text t's stand t places further on in seq
+                at = rare + np.searchsorted(bounds[1:], rare, side="right")
+                local = Interner()
+                who = text[at] * (len(rare) + 1) + local(words, rare)
+                same, inverse, tf = np.unique(who, return_inverse=True, return_counts=True)
+                some = np.empty(len(same), np.int64)
+                some[inverse] = rare  # one place of each word of a text
+                owner = same // (len(rare) + 1)
+                place = np.arange(len(same)) - np.searchsorted(owner, owner)
+                k = k.copy()
+                k[at] = -1 - place[inverse]
                 before = np.r_[other + 1, k[:-1]]
-                p = mix * trans[before, k] * emit[ids] + (1 - mix) * (c[ids] + 1) / whole
-                base = log_c[ids].sum() - len(ids) * np.log10(whole)
-                terms, tail = None, Counter()
-                rare = np.flatnonzero(ids == n) if more else ()
-                if len(rare):
-                    seen = [words[i] for i in rare.tolist()]
-                    tail = Counter(seen)
-                    place = {w: -1 - i for i, w in enumerate(tail)}
-                    k = k.copy()
-                    k[rare] = [place[w] for w in seen]
-                    before = np.r_[other + 1, k[:-1]]
-                    late = (k < 0) | (before < 0)
-                    found = np.zeros(late.sum(), term)
-                    found["a"], found["b"], found["emit"], found["base"] = before[late], k[late], emit[ids[late]], (c[ids[late]] + 1) / whole
-                    p[late], terms = 1.0, found.tobytes()
-                for col, x in zip(out, (row, d, None, len(ids), int((c[ids] > 0).sum()), float(base), float(np.log10(p).sum()), terms, None, None), strict=True):
-                    col.append(x)
-                size = len(tail)
-                for col, xs in zip(out, ([row] * size, [d] * size, tail.keys(), *([[None] * size] * 5), range(size), tail.values()), strict=True):
-                    col.extend(xs)
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["row", "doc_id", "word", "n_tokens", "n_known", "base_score", "score", "terms", "place", "tf"])
+                before[first] = other + 1
+                late = np.flatnonzero((k < 0) | (before < 0))
+                found = np.zeros(len(late), term)
+                found["a"], found["b"], found["emit"], found["base"] = before[late], k[late], emit[seq[late]], (c[seq[late]] + 1) / whole
+                p[late] = 1.0
+                cut = np.searchsorted(text[late], np.arange(len(size) + 1))
+                terms = [found[i:j].tobytes() if j > i else None for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                owned = b.column(0).take(pa.array(owner))
+                none = [pa.nulls(len(same), t) for t in kinds]
+                rest = [pa.RecordBatch.from_arrays([pa.array(row + owner), owned, words.array(some), *none[3:8], pa.array(place.astype(np.int32)), pa.array(tf.astype(np.int64))], names=names)]
+            score = np.bincount(text, np.log10(p), len(size))
+            cols = [pa.array(row + np.arange(len(size))), b.column(0), pa.nulls(len(size), pa.binary()), pa.array(size), pa.array(known), pa.array(base), pa.array(score), pa.array(terms, pa.binary()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield from rest
+            row += len(size)
 
     def finish(batches):
         _, _, _, _, trans, sizes, mix, whole = sent.value

@@ -162,7 +162,7 @@ class WordTable:
         return slot
 
     def add(self, low: np.ndarray, high: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
-        """Words that aren't held yet, each once."""
+        """Words that aren't held yet; of one that repeats, one of its places counts."""
         if (self.n + len(low)) * 3 > 2 << self.bits:
             full = np.flatnonzero(self.high)
             old = self.low[full], self.high[full], self.at[full], self.size[full]
@@ -170,13 +170,15 @@ class WordTable:
             self.n = 0
             self.add(*old)
         left = np.arange(len(low))
-        self.n += len(low)
         while len(left):
             slot = self.find(low[left], high[left])
+            free = self.high[slot] == 0  # else it came in meanwhile
+            left, slot = left[free], slot[free]
             self.high[slot] = left  # of words that want one slot the last gets it
             won = self.high[slot] == left
             mine, slot = left[won], slot[won]
             self.low[slot], self.high[slot], self.at[slot], self.size[slot] = low[mine], high[mine], at[mine], size[mine]
+            self.n += len(mine)
             left = left[~won]
 
     def keep(self, ids: bytes) -> int:
