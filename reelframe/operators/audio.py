@@ -79,12 +79,20 @@ def loudness(square: Column) -> Column:
 def loudnorm(frames: DataFrame, target: float = -23.0, peak: float = -1.0) -> DataFrame:
     """Frames (stream, frame_no, samples) with lufs and gain of the running loudness, and samples under that gain.
 
-    The loudness covers all frames of the stream up to and with the current one; the result is clamped to the peak.
+    The loudness covers all frames of the stream up to and with the current one; the result is clamped to the peak. A
+    stream may be as long as the whole table: its frames are cut into runs of 4,096 numbers, whose sums (a row each) are
+    added up first, so that no task has more than a run of samples at once. Repeated frame numbers are as one place.
     """
     limit = 10 ** (peak / 20)
-    w = Window.partitionBy("stream").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
     energy = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x)
-    out = frames.withColumn("lufs", loudness(F.sum(energy).over(w) / F.sum(F.size("samples")).over(w)))
+    rows = frames.withColumns({"_run": F.floor(F.col("frame_no") / 4096), "_energy": energy, "_count": F.size("samples").cast("long")})
+    sums = rows.groupBy("stream", "_run").agg(F.sum("_energy").alias("_e"), F.sum("_count").alias("_n"))
+    before = Window.partitionBy("stream").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("stream", "_run", F.coalesce(F.sum("_e").over(before), F.lit(0.0)).alias("_e"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    w = Window.partitionBy("stream", "_run").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(sums, ["stream", "_run"])
+    out = out.withColumn("lufs", loudness((F.col("_e") + F.sum("_energy").over(w)) / (F.col("_n") + F.sum("_count").over(w))))
+    out = out.select(*frames.columns, "lufs")
     out = out.withColumn("gain", F.pow(F.lit(10.0), (F.lit(target) - F.col("lufs")) / 20))
     return out.withColumn("samples", _each("samples", lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), x * F.col("gain")))))
 
@@ -103,6 +111,19 @@ def mix(samples: Column | str, source: int, target: int) -> Column:
     return F.flatten(F.transform(frames, pick))
 
 
+def mix_any(samples: Column | str, source: Column, target: int) -> Column:
+    """mix() where the number of channels is a column, so that frames of all kinds go through one expression."""
+    s = F.col(samples) if isinstance(samples, str) else samples
+    frames = F.when(F.size(s) >= source, F.sequence(F.lit(0), (F.size(s) / source).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda i, c: F.get(s, (i * source + c).cast("int"))
+    if target == 1:
+        mixed = F.transform(frames, lambda i: F.aggregate(F.sequence(F.lit(1), source), F.lit(0.0), lambda a, c: a + at(i, c - 1)) / source)
+    else:
+        pick = lambda i: F.array(*(F.when(source == 1, at(i, F.lit(0))).when(source > c, at(i, F.lit(c))).otherwise(F.lit(0.0)) for c in range(target)))
+        mixed = F.flatten(F.transform(frames, pick))
+    return F.when(source == target, s).otherwise(mixed)
+
+
 _CENTRE, _SIDE, _LFE = 0.70710677, 0.5, 0.1
 
 
@@ -130,9 +151,14 @@ def upmix(samples: Column | str) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(s) / 2).cast("int") - 1), six))
 
 
-def resample(samples: Column | str, source_rate: int, target_rate: int, channels: int = 1) -> Column:
-    """Linear interpolation of each frame by itself: ceil(n * target / source) samples, the last index clamped."""
+def resample(samples: Column | str, source_rate: int | Column, target_rate: int, channels: int | Column = 1) -> Column:
+    """Linear interpolation of each frame by itself: ceil(n * target / source) samples, the last index clamped.
+
+    The source rate and the number of channels may be columns.
+    """
     s = F.col(samples) if isinstance(samples, str) else samples
+    if isinstance(source_rate, Column) or isinstance(channels, Column):
+        return _resample_any(s, F.lit(source_rate), target_rate, F.lit(channels))
     if source_rate == target_rate:
         return s
     n = (F.size(s) / channels).cast("int")
@@ -148,6 +174,21 @@ def resample(samples: Column | str, source_rate: int, target_rate: int, channels
     return F.flatten(F.transform(F.sequence(F.lit(0), count - 1), one))
 
 
+def _resample_any(s: Column, rate: Column, target: int, channels: Column) -> Column:
+    n = (F.size(s) / channels).cast("int")
+    count = F.ceil(n.cast("double") * target / rate).cast("int")
+    at = lambda i, c: F.get(s, (i * channels + c).cast("int"))
+
+    def one(i):
+        pos = i * (rate.cast("double") / target)
+        low = F.floor(pos).cast("int")
+        high = F.least(low + 1, n - 1)
+        return F.transform(F.sequence(F.lit(0), channels - 1), lambda c: at(low, c) + (at(high, c) - at(low, c)) * (pos - low))
+
+    out = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), one))).otherwise(s)
+    return F.when(rate == target, s).otherwise(out)
+
+
 def peaking(frequency: float, gain_db: float, q: float, rate: int) -> tuple[float, float, float, float, float]:
     """Coefficients b0, b1, b2, a1, a2 of a peaking equaliser band."""
     a, w = 10 ** (gain_db / 40), 2 * math.pi * frequency / rate

@@ -68,18 +68,75 @@ def mp4_roundtrip(spark, d):
     return _back(spark, d, "mp4", "mp4").select("path", "stream_index", "pts", "is_keyframe", "size")
 
 
-@query(V.duck("audio") + ", o AS (SELECT frame_no // 10 AS f, frame_no, list_transform(samples, lambda x: round(greatest(-32768, least(32767, round(x * 32768))) / 32768, 9)) AS s FROM audio) SELECT CAST(f AS VARCHAR) AS path, frame_no % 10 * 64 + i AS i, s[i + 1] + 0.0 AS v FROM o, range(64) t(i)")
-def wav_roundtrip(spark, d):
-    """Ten frames a file, written as 16-bit WAV, probed, read and decoded again."""
+def _one_kind(spark, d, fmt, codec, media="audio"):
+    """Packets of one stream of a codec for each path, written and read again."""
+    p = _packets(spark, d, 1)
+    s = p.select("path").distinct()
+    video = media == "video"
+    cells = {"index": 0, "media_type": media, "codec": codec, "tb_num": 1, "tb_den": 1000 if video else 44100, "rate": 0 if video else 44100, "channels": 0 if video else 2, "bits": 0 if video else 16, "width": 64 if video else 0, "height": 48 if video else 0}
+    s = s.select("path", *(F.lit(v).alias(k) for k, v in cells.items()), F.lit(None).cast("binary").alias("extra"))
+    return M.packets(M.mux(s, p, fmt), fmt).where("status = 'ok'")
+
+
+@query(f"{_sql(1)} SELECT path, row_number() OVER (PARTITION BY path ORDER BY seq) - 1 AS pts, is_keyframe, size FROM n")
+def avi_roundtrip(spark, d):
+    """Video of one stream; times count frames."""
+    return _one_kind(spark, d, "avi", "h264", "video").select("path", "pts", "is_keyframe", "size")
+
+
+@query(f"{_sql(1)} SELECT path, 1024 * (row_number() OVER (PARTITION BY path ORDER BY seq) - 1) AS pts, size FROM n")
+def adts_roundtrip(spark, d):
+    """Packets of AAC; times count 1,024 samples for each."""
+    return _one_kind(spark, d, "aac", "aac").select("path", "pts", "size")
+
+
+@query(f"{_sql(1)} SELECT path, pts + 1 AS pts, size FROM n")
+def ogg_roundtrip(spark, d):
+    """A packet a page, whose granule is where the packet ends."""
+    head = b"OpusHead\x01\x02" + bytes(9)
+    p = _packets(spark, d, 1)
+    s = p.select("path").distinct().select("path", F.lit(0).alias("index"), F.lit("audio").alias("media_type"), F.lit("opus").alias("codec"), F.lit(1).alias("tb_num"), F.lit(48000).alias("tb_den"), F.lit(bytearray(head)).alias("extra"), F.lit(48000).alias("rate"), F.lit(2).alias("channels"), F.lit(0).alias("bits"), F.lit(0).alias("width"), F.lit(0).alias("height"))
+    tags = p.select("path").distinct().select("path", F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("stream_index"), F.lit(0).cast("long").alias("pts"), F.lit(0).cast("long").alias("dts"), F.lit(0).cast("long").alias("duration"), F.lit(True).alias("is_keyframe"), F.lit(bytearray(b"OpusTags")).alias("data"))
+    return M.packets(M.mux(s, p.unionByName(tags), "ogg"), "ogg").where("status = 'ok'").select("path", "pts", "size")
+
+
+def _samples(spark, d, fmt, codec, bits=16):
+    """Ten frames a file, written with a codec in a format, probed, read and decoded again: (path, i, v)."""
     n = F.col("frame_no")
     frames = V.audio(spark, d).select(F.floor(n / 10).cast("string").alias("path"), F.lit(0).alias("stream_index"), n.alias("frame_no"), (n % 10 * 64).alias("pts"), F.lit(64).alias("nb_samples"), F.lit(44100).alias("rate"), F.lit(1).alias("channels"), "samples")
-    heads = frames.select("path").distinct()
-    streams = heads.select("path", F.lit(0).alias("index"), F.lit("audio").alias("media_type"), F.lit("pcm_s16le").alias("codec"), F.lit(1).alias("tb_num"), F.lit(44100).alias("tb_den"), F.lit(None).cast("binary").alias("extra"), F.lit(44100).alias("rate"), F.lit(1).alias("channels"), F.lit(16).alias("bits"), F.lit(0).alias("width"), F.lit(0).alias("height"))
-    files = M.mux(streams, M.encode_audio(frames, "pcm_s16le"), "wav")
-    back = M.decode_audio(M.packets(files), M.streams(files))
+    cells = {"index": 0, "media_type": "audio", "codec": codec, "tb_num": 1, "tb_den": 44100, "rate": 44100, "channels": 1, "bits": bits, "width": 0, "height": 0}
+    streams = frames.select("path").distinct().select("path", *(F.lit(v).alias(k) for k, v in cells.items()), F.lit(None).cast("binary").alias("extra"))
+    files = M.mux(streams, M.encode_audio(frames, codec), fmt)
+    back = M.decode_audio(M.packets(files), M.streams(files)).where("status = 'ok'")
     return back.select("path", "pts", F.posexplode("samples").alias("i", "v")).select("path", (F.col("pts") + F.col("i")).alias("i"), (F.round("v", 9) + F.lit(0.0)).alias("v"))
 
 
+def _samples_sql(bits=16):
+    full = 1 << (bits - 1)
+    return V.duck("audio") + f", o AS (SELECT frame_no // 10 AS f, frame_no, list_transform(samples, lambda x: round(greatest(-{full}, least({full - 1}, round(x * {full}))) / {full}, 9)) AS s FROM audio) SELECT CAST(f AS VARCHAR) AS path, frame_no % 10 * 64 + i AS i, s[i + 1] + 0.0 AS v FROM o, range(64) t(i)"
+
+
+@query(_samples_sql())
+def aiff_roundtrip(spark, d):
+    return _samples(spark, d, "aiff", "pcm_s16be")
+
+
+@query(_samples_sql(24))
+def aiff24_roundtrip(spark, d):
+    return _samples(spark, d, "aiff", "pcm_s24be", 24)
+
+
+@query(_samples_sql())
+def flac_file_roundtrip(spark, d):
+    return _samples(spark, d, "flac", "flac")
+
+
+@query(V.duck("audio") + ", o AS (SELECT frame_no // 10 AS f, frame_no, list_transform(samples, lambda x: round(greatest(-32768, least(32767, round(x * 32768))) / 32768, 9)) AS s FROM audio) SELECT CAST(f AS VARCHAR) AS path, frame_no % 10 * 64 + i AS i, s[i + 1] + 0.0 AS v FROM o, range(64) t(i)")
+def wav_roundtrip(spark, d):
+    """Ten frames a file, written as 16-bit WAV, probed, read and decoded again."""
+    return _samples(spark, d, "wav", "pcm_s16le")
+
+
 @query(V.duck("gray") + ", grid AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range(8) a(y), range(8) b(x)) SELECT frame_no, y, x, CASE WHEN (x IN (1, 5) AND y BETWEEN 1 AND 7) OR (y = 4 AND x BETWEEN 1 AND 5) THEN 255 ELSE px[y * 8 + x + 1] END AS v FROM gray, grid")
 def drawtext(spark, d):
     """The letter H of a given font on gray frames read as rgb."""

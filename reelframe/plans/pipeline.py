@@ -60,31 +60,29 @@ class Transcode:
         return self
 
     def frames(self) -> DataFrame:
-        """Decoded and filtered frames; frames of one file must share their channel count and rate."""
+        """Decoded and filtered frames, of any rate and number of channels; packets that can't be decoded are left out."""
         p = M.packets(self.media).where("status = 'ok'")
         p = P.trim_start(p, self.ss)
         if self.t is not None:
             p = P.limit_duration(p, self.t, self.ss)
-        out = M.decode_audio(p, M.streams(self.media))
+        out = M.decode_audio(p, M.streams(self.media)).where("status = 'ok'")
         time = seconds("pts", F.lit(1), F.col("rate"))
         for f in self.filters:
             s = A.volume("samples", f[1]) if f[0] == "volume" else A.fade("samples", time, f[2], f[3], f[1])
             out = out.withColumn("samples", s)
         if self.channels:
-            mixed = F.col("samples")
-            for n in range(1, 9):
-                if n != self.channels:
-                    mixed = F.when(F.col("channels") == n, A.mix("samples", n, self.channels)).otherwise(mixed)
-            out = out.withColumn("samples", mixed).withColumn("channels", F.lit(self.channels))
+            out = out.withColumn("samples", A.mix_any("samples", F.col("channels"), self.channels)).withColumn("channels", F.lit(self.channels))
         if self.rate:
-            n = self.channels or 1
-            for source in (8000, 11025, 16000, 22050, 32000, 44100, 48000, 96000):
-                if source != self.rate:
-                    hit = F.col("rate") == source
-                    out = out.withColumn("samples", F.when(hit, A.resample("samples", source, self.rate, n)).otherwise(F.col("samples")))
-                    out = out.withColumn("pts", F.when(hit, F.floor(F.col("pts") * self.rate / source)).otherwise(F.col("pts"))).withColumn("rate", F.when(hit, self.rate).otherwise(F.col("rate")))
-            out = out.withColumn("nb_samples", (F.size("samples") / n).cast("int"))
-        return out
+            out = out.withColumn("samples", A.resample("samples", F.col("rate"), self.rate, F.col("channels")))
+            out = out.withColumn("pts", F.expr(f"pts * {self.rate} div rate")).withColumn("rate", F.lit(self.rate))
+        return out.withColumn("nb_samples", (F.size("samples") / F.col("channels")).cast("int"))
+
+    def copied(self, fmt: str) -> DataFrame:
+        """(path, content) of the files in another container, packets as they are; trimming applies, filters don't."""
+        p = P.trim_start(M.packets(self.media).where("status = 'ok'"), self.ss)
+        if self.t is not None:
+            p = P.limit_duration(p, self.t, self.ss)
+        return M.mux(M.streams(self.media).where("status = 'ok'"), p, fmt)
 
     def files(self, codec: str, fmt: str) -> DataFrame:
         """(path, content) of the transcoded files."""

@@ -80,13 +80,14 @@ def packets(media: DataFrame, forced: str | None = None) -> DataFrame:
     return media.select("path", "content").mapInArrow(run, PACKETS)
 
 
-FRAMES = "path string, stream_index int, frame_no long, pts long, nb_samples int, rate int, channels int, samples array<double>"
+FRAMES = "path string, stream_index int, frame_no long, pts long, nb_samples int, rate int, channels int, samples array<double>, status string, error string"
 
 
 def decode_audio(packets: DataFrame, streams: DataFrame) -> DataFrame:
     """Audio frames of PCM and FLAC packets as interleaved doubles in -1..1; every packet is decoded by itself.
 
-    Streams are few and joined by the planner's choice (broadcast below its threshold).
+    A packet that can't be decoded doesn't fail the job: its row has status 'error', the reason, and no samples. Streams
+    are few and joined by the planner's choice (broadcast below its threshold).
     """
     meta = streams.where("status = 'ok' AND (codec = 'flac' OR codec LIKE 'pcm%')").select("path", F.col("index").alias("stream_index"), "codec", "rate", "channels", "bits")
     rows = packets.where("status = 'ok'").select("path", "stream_index", "seq", "pts", "data").join(meta, ["path", "stream_index"])
@@ -97,31 +98,35 @@ def decode_audio(packets: DataFrame, streams: DataFrame) -> DataFrame:
             return x / float(1 << (head["bits"] - 1))
         x = pcm.decode(data, codec, channels).astype(np.float64)
         size, kind = pcm.CODECS[codec]
-        return x if kind == "<f4" else (x - 128) / 128 if codec == "pcm_u8" else x / float(1 << (8 * size - 1))
+        return x if codec.startswith("pcm_f32") else (x - 128) / 128 if codec == "pcm_u8" else x / float(1 << (8 * size - 1))
 
     def run(batches):
         for b in batches:
             out = []
             for r in b.to_pylist():
-                x = samples(r["codec"], r["data"], r["channels"], r["bits"], r["rate"])
-                out.append((r["path"], r["stream_index"], r["seq"], r["pts"], len(x), r["rate"], x.shape[1], x.reshape(-1)))
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "stream_index", "frame_no", "pts", "nb_samples", "rate", "channels", "samples"])
+                head = (r["path"], r["stream_index"], r["seq"], r["pts"])
+                try:
+                    x = samples(r["codec"], r["data"], r["channels"], r["bits"], r["rate"])
+                    out.append((*head, len(x), r["rate"], x.shape[1], x.reshape(-1), "ok", None))
+                except Exception as e:  # noqa: BLE001  a broken packet is data
+                    out.append((*head, None, r["rate"], r["channels"], None, "error", f"{type(e).__name__}: {e}"))
+            cols = list(zip(*out, strict=True)) or [()] * 10
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "stream_index", "frame_no", "pts", "nb_samples", "rate", "channels", "samples", "status", "error"])
 
     return rows.mapInArrow(run, FRAMES)
 
 
 def encode_audio(frames: DataFrame, codec: str) -> DataFrame:
     """Packets (path, seq, stream_index, pts, dts, duration, tb_num, tb_den, is_keyframe, data) of interleaved frames."""
-    bits = {"pcm_u8": 8, "pcm_s24le": 24, "pcm_s32le": 32}.get(codec, 16)
+    bits = {"pcm_u8": 8, "pcm_s24le": 24, "pcm_s24be": 24, "pcm_s32le": 32, "pcm_s32be": 32}.get(codec, 16)
 
     def run(batches):
         for b in batches:
             out = []
             for r in b.to_pylist():
                 x = np.array(r["samples"], np.float64).reshape(-1, r["channels"])
-                if codec == "pcm_f32le":
+                if codec.startswith("pcm_f32"):
                     data = pcm.encode(x, codec)
                 else:
                     full = float(1 << (bits - 1))

@@ -24,28 +24,30 @@ def _fold(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
 
 
-def reassemble(fragments: DataFrame) -> DataFrame:
+def reassemble(fragments: DataFrame, idle_ms: int = 60_000) -> DataFrame:
     """Fragments (path, stream_index, seq, start, size) as finished units; state is the open unit of each stream.
 
-    A unit comes out when the next one starts; what is open when a stream has had no rows for a while comes out then.
+    A unit comes out when the next one starts; what is open when a stream has had no rows for idle_ms comes out then, and
+    fragments that follow belong to no unit until one starts. Units are numbered on through such pauses.
     """
 
     def run(key, pdfs, state: GroupState):
         unit, first, n, size = state.get if state.exists else (0, 0, 0, 0)
         out = []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(*key, unit, n, size, first)] if unit else [], columns=names)
+        if state.hasTimedOut:  # the open unit is done; the number stays, so that later units go on from it
+            state.update((unit, 0, 0, 0))
+            yield pd.DataFrame([(*key, unit, n, size, first)] if n else [], columns=names)
             return
         for r in _fold(pdfs).itertuples(index=False):
             if r.start:
-                if unit:
+                if n:
                     out.append((*key, unit, n, size, first))
                 unit, first, n, size = unit + 1, int(r.seq), 0, 0
-            if unit:
+            if n or r.start:
                 n, size = n + 1, size + int(r.size)
         state.update((unit, first, n, size))
-        state.setTimeoutDuration(60_000)
+        if n:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=names)
 
     names = ["path", "stream_index", "unit", "fragments", "bytes", "first_seq"]
@@ -53,12 +55,30 @@ def reassemble(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy("path", "stream_index").applyInPandasWithState(run, f"path {kinds['path']}, stream_index {kinds['stream_index']}, unit long, fragments long, bytes long, first_seq long", "unit long, first long, n long, size long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def reorder(frames: DataFrame, depth: int = 4) -> DataFrame:
-    """Frames (path, seq, poc) in the order of showing: each stream holds back `depth` frames and gives out the smallest."""
+def reorder(frames: DataFrame, depth: int = 4, idle_ms: int = 60_000) -> DataFrame:
+    """Frames (path, seq, poc[, last]) in the order of showing: each stream holds back `depth` frames, the smallest go out.
+
+    All that are held go out when a frame is marked `last` (an optional column), and when a stream has had no frames for
+    idle_ms.
+    """
+    marked = "last" in frames.columns
 
     def run(key, pdfs, state: GroupState):
         held, shown = (list(zip(state.get[0], state.get[1], strict=True)), state.get[2]) if state.exists else ([], 0)
         out = []
+
+        def drain():
+            nonlocal held, shown
+            for poc, seq in sorted(held):
+                out.append((*key, seq, poc, shown))
+                shown += 1
+            held = []
+
+        if state.hasTimedOut:
+            drain()
+            state.update(([], [], shown))
+            yield pd.DataFrame(out, columns=names)
+            return
         for r in _fold(pdfs).itertuples(index=False):
             held.append((int(r.poc), int(r.seq)))
             if len(held) > depth:
@@ -66,11 +86,15 @@ def reorder(frames: DataFrame, depth: int = 4) -> DataFrame:
                 poc, seq = held.pop(0)
                 out.append((*key, seq, poc, shown))
                 shown += 1
+            if marked and r.last:
+                drain()
         state.update(([p for p, _ in held], [s for _, s in held], shown))
-        yield pd.DataFrame(out, columns=["path", "seq", "poc", "shown"])
+        if held:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=names)
 
-    kinds = dict(frames.dtypes)
-    return frames.groupBy("path").applyInPandasWithState(run, f"path {kinds['path']}, seq long, poc long, shown long", "pocs array<long>, seqs array<long>, shown long", "append", GroupStateTimeout.NoTimeout)
+    names, kinds = ["path", "seq", "poc", "shown"], dict(frames.dtypes)
+    return frames.groupBy("path").applyInPandasWithState(run, f"path {kinds['path']}, seq long, poc long, shown long", "pocs array<long>, seqs array<long>, shown long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def late_drop(frames: DataFrame, nominal: float = 0.04) -> DataFrame:
