@@ -400,24 +400,28 @@ def score_brown(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text
         _, _, _, _, trans, sizes, mix, whole = sent.value
         other = len(trans) - 2
         for b in batches:
-            known, base, score = (b.column(i).to_pylist() for i in (2, 3, 4))
-            for i, (terms, found) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)):
-                if not terms:
-                    continue
-                terms = np.frombuffer(terms, term)
-                c, k = np.zeros(len(found)), np.full(len(found), other)
-                for x in found:
-                    if x["c"]:
-                        c[x["place"]], k[x["place"]] = x["c"], x["class"]
-                        known[i] += x["tf"]
-                        base[i] += x["tf"] * float(np.log10(x["c"] + 1))
-                emit = np.where(k == other, 1.0, c / np.maximum(sizes[k], 1))
-                x, y = (np.where(t < 0, k[np.maximum(-1 - t, 0)], t) for t in (terms["a"], terms["b"]))
-                at = -1 - terms["b"]
-                mine = at >= 0
-                e, u = np.where(mine, emit[at * mine], terms["emit"]), np.where(mine, (c[at * mine] + 1) / whole, terms["base"])
-                score[i] += float(np.log10(mix * trans[x, y] * e + (1 - mix) * u).sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            n = b.num_rows
+            count = pc.fill_null(pc.list_value_length(b.column(6)), 0).to_numpy()
+            first, text = np.cumsum(count) - count, np.repeat(np.arange(n), count)
+            found = b.column(6).flatten()
+            seen = found.field("c").is_valid().to_numpy(zero_copy_only=False)
+            at = first[text] + found.field("place").to_numpy()  # a text's words by their places
+            c, k = np.zeros(len(at)), np.full(len(at), other)
+            c[at[seen]] = pc.fill_null(found.field("c"), 0).to_numpy()[seen]
+            k[at[seen]] = pc.fill_null(found.field("class"), 0).to_numpy()[seen]
+            tf = found.field("tf").to_numpy()
+            emit = np.where(k == other, 1.0, c / np.maximum(sizes[k], 1))
+            known = b.column(2).to_numpy() + np.bincount(text, tf * seen, n).astype(np.int64)
+            base = b.column(3).to_numpy() + np.bincount(text, tf * np.log10(c[at] + 1), n)
+            terms = np.frombuffer(b"".join(x or b"" for x in b.column(5).to_pylist()), term)
+            text = np.repeat(np.arange(n), pc.fill_null(pc.binary_length(b.column(5)), 0).to_numpy() // term.itemsize)
+            k, c, emit = np.append(k, other), np.append(c, 0), np.append(emit, 1.0)  # for terms that look nothing up
+            place = lambda x: np.where(x < 0, first[text] - 1 - x, len(k) - 1)
+            x, y = (np.where(t < 0, k[place(t)], t) for t in (terms["a"], terms["b"]))
+            mine, to = terms["b"] < 0, place(terms["b"])
+            e, u = np.where(mine, emit[to], terms["emit"]), np.where(mine, (c[to] + 1) / whole, terms["base"])
+            score = b.column(4).to_numpy() + np.bincount(text, np.log10(mix * trans[x, y] * e + (1 - mix) * u), n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = "row long, doc_id long, word binary, n_tokens long, n_known long, base_score double, score double, terms binary, place int, tf long"
     got = map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, kind, 1)
