@@ -3,7 +3,7 @@ from reelframe.llm.secrets import find_secrets, redact
 from reelframe.llm.toxicity import fit_severity, score_severity
 
 from .test_packing import check_rows
-from .test_simhash import slow_components
+from .test_simhash import slow_groups
 
 
 def test_each_stage_equals_its_plain_version(spark, sf):
@@ -18,7 +18,7 @@ def test_each_stage_equals_its_plain_version(spark, sf):
             want = {d: r for d, r in kept.items() if d not in toxic}
         elif name == "near_duplicates":
             rows = [(d, r.text) for d, r in kept.items()]
-            firsts = {c for _, c in slow_components(rows).values()}
+            firsts = set(slow_groups(rows))
             want = {d: r for d, r in kept.items() if d in firsts}
         else:
             want = {}

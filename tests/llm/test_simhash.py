@@ -6,7 +6,7 @@ import xxhash
 
 from reelframe.llm.common import connected_components, slices
 from reelframe.llm.queries import op9_simhash
-from reelframe.llm.simhash import BLOCKS, bucket_edges, drop_near_duplicates, fingerprint, near_duplicates
+from reelframe.llm.simhash import BLOCKS, PRINTS, bucket_edges, drop_near_duplicates, fingerprint, most_bits, near_duplicates, near_forest, print_keys, similar_documents, wide_prints
 
 
 def slow_print(text):
@@ -97,6 +97,20 @@ def test_large_bucket_equals_full_comparison():
     assert trees(bucket_edges(fps, 3, dense=64)) == trees(small)
 
 
+def test_dense_groups_of_copies(spark):
+    """Thousands of near copies of one text, which meet in the same buckets."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for i in range(3000):
+        t = list(base)
+        for _ in range(3):
+            t[rng.randrange(400)] = f"w{rng.randrange(5000)}"
+        rows.append((i, " ".join(t)))
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r.component_id for r in got.collect()} == {0}
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = sorted((rows[k][0], f"{f:016x}", c) for k, (f, c) in slow_components(rows).items())
@@ -136,3 +150,112 @@ def test_slices():
     batch = pa.RecordBatch.from_pydict({"t": ["a" * 10, None, "", "b" * 100, "c", "é" * 3]})
     assert [[len((x or "").encode()) for x in s.column(0).to_pylist()] for s in slices(batch, 0, 12)] == [[10, 0, 0], [100], [1, 6]]
     assert list(slices(batch.slice(0, 0), 0)) == []
+
+
+ONES = (1 << 64) - 1
+
+
+def slow_mixed(x):
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ x >> 29) * factor & ONES
+    return x ^ x >> 32
+
+
+def slow_wide(text, k=5):
+    """The wide print of a text, shingle by shingle and bit by bit."""
+    each = []
+    for w in (text or "").encode().lower().split():
+        low, high = int.from_bytes(w[:8], "little"), int.from_bytes(w[8:15], "little") | len(w) << 56
+        each.append(slow_mixed(low ^ slow_mixed(high)) if len(w) < 16 else xxhash.xxh64_intdigest(w, seed=42))
+    if not each:
+        return [0] * PRINTS
+    hs = []
+    for i in range(max(1, len(each) - k + 1)):
+        h = 0
+        for j in range(i, i + k):
+            h = (slow_mixed((h + 1) & ONES) + (each[j] if j < len(each) else 0)) & ONES
+        hs.append(h)
+    out = []
+    for p in range(PRINTS):
+        xs = [slow_mixed(h ^ (0x9E3779B97F4A7C15 * (2 * p + 1) & ONES)) for h in hs]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in xs) > len(xs)))
+    return out
+
+
+def slow_groups(rows):
+    """Row -> smallest id of its group: all pairs that share a bucket, by the distance of their wide prints."""
+    prints = [slow_wide(t) for _, t in rows]
+    keys = [set(print_keys(np.array([p], np.uint64))[0].tolist()) for p in prints]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if comp[i] != comp[j] and (prints[i] == prints[j] or (keys[i] & keys[j] and sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j])) <= most_bits(0.8))):
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    return [min((d for (d, _), c in zip(rows, comp, strict=True) if c == comp[k] and d is not None), default=None) for k in range(len(rows))]
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_wide_prints_equal_plain_ones():
+    texts = [t or "" for _, t in make_rows()[:60]] + ["", "a", "one two three four", "one two three four five", "averyveryverylongword " * 3, "w " * 300, "É " * 700]
+    got = wide_prints([t.encode() for t in texts])
+    assert got.tolist() == [slow_wide(t) for t in texts]
+
+
+def test_similar_documents_equal_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 90, 300]))]
+        rows.append((10 * i + 5, " ".join(base)))
+        for j in range(rng.randrange(4)):
+            for _ in range(rng.randrange(1, 2 + len(base) // 30)):
+                base[rng.randrange(len(base))] = rng.choice(words)
+            rows.append((10 * i + j, " ".join(base).upper()))
+    rows += [(1000, None), (1001, " "), (2, rows[0][1]), (2, rows[3][1]), (None, rows[5][1]), (1002, "short"), (1003, "SHORT")]
+    df = spark.createDataFrame([(d, t, 1, "k") for d, t in rows], "doc_id long, text string, node int, print string").repartition(3)
+    key = lambda r: (r[0] is None, r)
+    assert sorted(map(tuple, similar_documents(df).collect()), key=key) == sorted(((d, c) for (d, _), c in zip(rows, slow_groups(rows))), key=key)
+    assert similar_documents(df.where("false")).count() == 0
+
+
+def test_copies_by_similarity():
+    """Nearly all copies well above 0.8 are found, and what is found has about that similarity."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(4000)]
+    found, wrong, all_near = 0, 0, 0
+    for _ in range(500):
+        a = [rng.choice(words) for _ in range(rng.choice([60, 150, 400]))]
+        b = list(a)
+        for _ in range(rng.randrange(len(a) // 20)):
+            b[rng.randrange(len(b))] = rng.choice(words)
+        a, b = " ".join(a), " ".join(b)
+        j, prints = jaccard(a, b), wide_prints([a.encode(), b.encode()])
+        keys = print_keys(prints)
+        hit = bool(set(keys[0].tolist()) & set(keys[1].tolist())) and np.bitwise_count(prints[0] ^ prints[1]).sum() <= most_bits(0.8)
+        all_near, found, wrong = all_near + (j >= 0.85), found + (hit and j >= 0.85), wrong + (hit and j < 0.72)
+    assert found >= 0.97 * all_near > 50 and not wrong
+
+
+def test_near_forest_spans_what_all_pairs_do():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 60, 300):
+        base = rng.integers(0, 1 << 63, (max(1, n // 15), PRINTS), dtype=np.int64).astype(np.uint64)
+        prints = base[rng.integers(0, len(base), n)]
+        for row in prints:
+            for b in rng.integers(0, 1024, rng.integers(0, 120)):
+                row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2) <= 100
+        edges, tree = near_forest(prints, 100), list(range(n))
+        for pairs in (edges, list(zip(*np.nonzero(near)))):
+            comp = list(range(n))
+            for i, j in pairs:
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp] if a != b else comp
+            tree, last = comp, tree
+        assert last == tree and all(near[i, j] for i, j in edges)
