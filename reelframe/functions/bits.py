@@ -85,6 +85,58 @@ class BitReader:
         return v
 
 
+class ByteReader:
+    """Typed reads of either byte order, one after the other; EOFError beyond the end."""
+
+    def __init__(self, data: bytes, order: str = "little"):
+        self.data, self.at, self.order = data, 0, order
+
+    def bytes(self, n: int) -> bytes:
+        if n < 0 or self.at + n > len(self.data):
+            raise EOFError
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+    def skip(self, n: int) -> None:
+        self.bytes(n)
+
+    def number(self, size: int, signed: bool = False) -> int:
+        return int.from_bytes(self.bytes(size), self.order, signed=signed)
+
+    def u8(self) -> int:
+        return self.number(1)
+
+    def u16(self) -> int:
+        return self.number(2)
+
+    def u24(self) -> int:
+        return self.number(3)
+
+    def u32(self) -> int:
+        return self.number(4)
+
+    def i16(self) -> int:
+        return self.number(2, True)
+
+    def i32(self) -> int:
+        return self.number(4, True)
+
+    def tag(self) -> str:
+        return self.bytes(4).decode("latin-1")
+
+
+def number_column(data: Column | str, at: int, size: int, order: str = "little", signed: bool = False) -> Column:
+    """The number in `size` (up to 7) bytes at a place of a binary column, in the JVM; null beyond the end."""
+    c = F.col(data) if isinstance(data, str) else data
+    part = F.substring(c, at + 1, size)
+    digits = F.hex(part)
+    if order == "little":
+        digits = F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in range(size - 1, -1, -1)))
+    value = F.conv(digits, 16, 10).cast("long")
+    value = F.when(value >= 1 << (8 * size - 1), value - (1 << 8 * size)).otherwise(value) if signed else value
+    return F.when(F.length(c) >= at + size, value)
+
+
 class BitWriter:
     """Most significant bit first."""
 

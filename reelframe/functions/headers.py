@@ -88,3 +88,53 @@ def hevc_sps(unit: bytes) -> dict:
         sx, sy = 2 if chroma in (1, 2) else 1, 2 if chroma == 1 else 1
         width, height = width - sx * (left + right), height - sy * (top + bottom)
     return {"sps_id": number, "profile": profile, "level": level, "chroma_format": chroma, "width": width, "height": height, "bit_depth": 8 + r.ue()}
+
+
+def hevc_vps(unit: bytes) -> dict:
+    """Number, sub-layers, profile, tier and level of an HEVC video parameter set (with its two header bytes)."""
+    r = BitReader(unescape_nal(unit[2:]))
+    number = r.bits(4)
+    r.skip(2 + 6)
+    layers, nested = r.bits(3) + 1, r.flag()
+    r.skip(16 + 2)
+    tier, profile = r.flag(), r.bits(5)
+    r.skip(32 + 48)
+    return {"vps_id": number, "sub_layers": layers, "nested": nested, "profile": profile, "high_tier": tier, "level": r.bits(8)}
+
+
+def parse_hvcc(data: bytes) -> dict:
+    """Profile, level, size of lengths and units by type of an hvcC record."""
+    if len(data) < 23 or data[0] != 1:
+        raise ValueError("not an hvcC record")
+    out = {"profile": data[1] & 31, "level": data[12], "length_size": (data[21] & 3) + 1, "units": {}}
+    at = 23
+    for _ in range(data[22]):
+        kind, n, at = data[at] & 63, int.from_bytes(data[at + 1 : at + 3], "big"), at + 3
+        for _ in range(n):
+            size = int.from_bytes(data[at : at + 2], "big")
+            if at + 2 + size > len(data):
+                raise ValueError("an hvcC unit is cut off")
+            out["units"].setdefault(kind, []).append(data[at + 2 : at + 2 + size])
+            at += 2 + size
+    return out
+
+
+def build_hvcc(vps: list[bytes], sps: list[bytes], pps: list[bytes], length_size: int = 4) -> bytes:
+    """An hvcC record of parameter sets (with their header bytes); profile and level are those of the first SPS."""
+    if not sps:
+        raise ValueError("an hvcC record needs an SPS")
+    ptl = unescape_nal(sps[0][2:])[1:13]  # the general profile, tier and level, after number, layers and nesting
+    head = hevc_sps(sps[0])
+    depth = (head["bit_depth"] - 8) & 7
+    layers = (unescape_nal(sps[0][2:])[0] >> 1 & 7) + 1
+    out = b"\1" + ptl + b"\xf0\0\xfc" + bytes([0xFC | head["chroma_format"], 0xF8 | depth, 0xF8 | depth, 0, 0, layers << 3 | length_size - 1])
+    arrays = [(k, units) for k, units in ((32, vps), (33, sps), (34, pps)) if units]
+    out += bytes([len(arrays)])
+    for kind, units in arrays:
+        out += bytes([0x80 | kind]) + len(units).to_bytes(2, "big") + b"".join(len(u).to_bytes(2, "big") + u for u in units)
+    return out
+
+
+def mpeg4_user_data(data: bytes) -> list[str]:
+    """Texts of the user data sections (code B2), up to the first zero byte."""
+    return [body.split(b"\0")[0].decode("latin-1") for _, code, body in mpeg4_units(data) if code == 0xB2]

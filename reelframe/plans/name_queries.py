@@ -6,18 +6,20 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from ..functions import headers as H
 from ..functions import names as N
 from ..functions import text as X
 from ..functions import timebase as T
 from ..operators import report as R
-from ..sources.containers import vorbis_comments
+from ..registry import codecs, formats
+from ..sources.containers import amf_number, mp3_vbr, vorbis_comments
 from ..sources.probe import probe_bytes
 from . import views as V
 from .registry import query
 
 
 def _sql(v) -> str:
-    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
 
 
 def _cases(name: str, cases: list[tuple], expr) -> None:
@@ -150,3 +152,37 @@ def coded_numbers(spark, d):
     e = V.table(spark, d, "events").select("event_id", (F.col("event_id") * F.col("event_id") * 37).alias("v"))
     back = _python(lambda v: v if B.ebml_size(B.ebml_coded(v))[0] == v == B.BitReader(golomb(v)[1]).ue() else -1, "long")
     return e.select("event_id", _python(lambda v: B.ebml_coded(v).hex())("v").alias("vint"), _python(lambda v: golomb(v)[0])("v").alias("golomb"), back("v").alias("back"))
+
+
+_cases("flv_script_number", [("00086475726174696F6E" + "00" + "4028800000000000", "duration", 12.25), ("77696474680040840000000000000006", "width", 640.0), ("776964746801", "width", None), ("", "height", None), ("68656967687400" + "BFF0000000000000", "height", None)], _python(lambda h, k: amf_number(bytes.fromhex(h), k), "double"))
+_XING = "FFFB9064" + "00" * 32 + "58696E67"
+_cases("mp3_vbr_tag", [(_XING + "00000001" + "00000064" + "4C414D45" + "00" * 17 + "240" + "1FF" + "00" * 30, "100 576 511"), (_XING + "0000000F" + "00000007" + "00" * 4 + "00" * 100 + "00" * 4 + "00" * 21 + "FFF000" + "00" * 9, "7 0 0"), ("FFFB9064" + "00" * 32 + "56425249" + "00" * 10 + "0000012C" + "00" * 8, "300 0 0"), ("FFFB9064" + "00" * 60, None)], _python(lambda h: (v := mp3_vbr(bytes.fromhex(h), {"channels": 2, "mpeg1": True})) and " ".join(map(str, v))))
+_VPS = "40010C01FFFF016000000300000300000300000300" + "5D" + "AC09"
+_cases("hevc_vps", [(_VPS, "0 1 1 1 0 93")], _python(lambda h: " ".join(str(int(v)) for v in H.hevc_vps(bytes.fromhex(h)).values())))
+_cases("mpeg4_user_data", [("000001B2" + "58766964" + "0030" + "000001B6" + "10", "Xvid"), ("000001B0F5", "")], _python(lambda h: " ".join(H.mpeg4_user_data(bytes.fromhex(h)))))
+
+
+@query("SELECT o_orderkey, o_orderkey * 77 % 65536 AS u16, o_orderkey * 70001 % 16777216 AS u24, CASE WHEN o_orderkey * 77 % 65536 >= 32768 THEN o_orderkey * 77 % 65536 - 65536 ELSE o_orderkey * 77 % 65536 END AS i16 FROM orders")
+def typed_reads(spark, d):
+    """Numbers read from bytes that they were written to: two little-endian, three big-endian."""
+    key = F.col("o_orderkey")
+    text = F.concat(F.lpad(F.hex(key * 77 % 65536), 4, "0"), F.lpad(F.hex(key * 70001 % 16777216), 6, "0"))
+    data = F.unhex(F.concat(F.substring(text, 3, 2), F.substring(text, 1, 2), F.substring(text, 5, 6)))
+    rows = V.table(spark, d, "orders").select("o_orderkey", data.alias("data"))
+    return rows.select("o_orderkey", B.number_column("data", 0, 2).alias("u16"), B.number_column("data", 2, 3, "big").alias("u24"), B.number_column("data", 0, 2, signed=True).alias("i16"))
+
+
+_READ, _WRITE = formats()
+_DEC, _ENC = codecs()
+
+
+@query("SELECT name, readable, writable FROM (VALUES ('aac', true, true), ('aiff', true, true), ('avi', true, true), ('flac', true, true), ('flv', true, true), ('h264', true, false), ('m4v', true, false), ('matroska', true, true), ('mp3', true, true), ('mp4', true, true), ('mpegts', true, true), ('ogg', true, true), ('wav', true, true), ('webm', false, true)) f(name, readable, writable) ORDER BY name")
+def format_registry(spark, d):
+    names = sorted({n for n, _ in _READ.names()} | {n for n, _ in _WRITE.names()})
+    return spark.createDataFrame([(n, n in _READ, n in _WRITE) for n in names], "name string, readable boolean, writable boolean").orderBy("name")
+
+
+@query("SELECT name, flags FROM (VALUES " + ", ".join(f"('{n}', 'DE')" for n in sorted([*("pcm_" + x for x in ("u8", "s16le", "s16be", "s24le", "s24be", "s32le", "s32be", "f32le", "f32be")), "flac"])) + ") c(name, flags) ORDER BY name")
+def codec_registry(spark, d):
+    names = lambda r: spark.createDataFrame([(n,) for n, _ in r.names()], "name string")
+    return R.flags_table(names(_DEC), names(_ENC))

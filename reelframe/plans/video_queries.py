@@ -9,6 +9,7 @@ from ..functions.timebase import fade_gain
 from ..operators import metrics as M
 from ..operators import video as K
 from . import views as V
+from .pictures import Pictures
 from .registry import query
 
 _G, _R = V.duck("gray"), V.duck("gray", "rgb")
@@ -247,3 +248,13 @@ def channel_corr(spark, d):
 def best_lag(spark, d):
     t = V.audio(spark, d).withColumn("t", F.concat(F.slice("samples", 4, 61), F.slice("samples", 1, 3)))
     return t.select("frame_no", M.best_lag("samples", "t", 6).alias("lag"))
+
+
+@query(f"{_G}, grid AS (SELECT y, x FROM range(4) a(y), range(4) b(x)) SELECT frame_no, CAST(y AS INT) AS y, CAST(x AS INT) AS x, c, CASE WHEN y BETWEEN 1 AND 2 AND x BETWEEN 1 AND 2 THEN px[CAST(((y - 1) * 4 // 2 + 2) * 8 + ((x - 1) * 4 // 2 + 1) + 1 AS INT)] ELSE 0 END AS v FROM gray, grid, (VALUES (0), (1), (2)) k(c)")
+def picture_chain(spark, d):
+    """Cropped to 4x4, scaled to 2x2, converted to rgb and padded, in one pass over the frames."""
+    g = V.gray(spark, d)
+    rows = g.select("frame_no", F.lit(8).alias("width"), F.lit(8).alias("height"), F.array(F.unhex(F.array_join(F.transform("px", lambda v: F.lpad(F.hex(v), 2, "0")), ""))).alias("planes"))
+    out = Pictures(rows, "gray8").chain("crop=4:4:1:2, unknown=1").scale(2, 2, "nearest").convert("rgb24").pad(4, 4, 1, 1).run()
+    codes = F.transform(F.sequence(F.lit(0), F.lit(4 * 4 * 3 - 1)), lambda i: F.conv(F.substring(F.hex(F.col("planes")[0]), i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return K.explode_pixels(out.select("frame_no", codes.alias("px")), "px", 4, 3)

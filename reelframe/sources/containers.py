@@ -214,15 +214,36 @@ def demux_mp3(data: bytes) -> Media:
             continue
         frame = data[at : at + h["size"]]
         if first is None:
-            first = h
-            if b"Xing" in frame[:64] or b"Info" in frame[:64] or frame[36:40] == b"VBRI":
+            first, vbr = h, mp3_vbr(frame, h)
+            if vbr:
                 at += h["size"]
                 continue
         packets.append(Packet(0, n, n, frame, h["samples"], True, at))
         n, at = n + h["samples"], at + h["size"]
     if first is None:
         raise ValueError("no MP3 frame")
-    return [Stream(0, "audio", "mp3", (1, first["rate"]), b"", first["rate"], first["channels"], duration=n)], packets
+    stream = Stream(0, "audio", "mp3", (1, first["rate"]), b"", first["rate"], first["channels"], duration=n)
+    if vbr:  # what the tag says counts, without the samples that the encoder added
+        total, delay, padding = vbr
+        stream.duration = max(0, (total * first["samples"] if total else n) - delay - padding)
+        stream.metadata = {"frames": str(total or len(packets)), "encoder_delay": str(delay), "encoder_padding": str(padding)}
+    return [stream], packets
+
+
+def mp3_vbr(frame: bytes, head: dict) -> tuple[int, int, int] | None:
+    """(frames, or 0 if not told, encoder delay, padding) of a first frame that holds a Xing, Info or VBRI tag."""
+    side = (17 if head["channels"] == 1 else 32) if head["mpeg1"] else (9 if head["channels"] == 1 else 17)
+    at = 4 + side
+    if frame[at : at + 4] in (b"Xing", b"Info"):
+        flags, at = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
+        frames = int.from_bytes(frame[at : at + 4], "big") if flags & 1 else 0
+        at += 4 * (flags & 1) + 4 * (flags >> 1 & 1) + 100 * (flags >> 2 & 1) + 4 * (flags >> 3 & 1)
+        d = int.from_bytes(frame[at + 21 : at + 24], "big") if len(frame) >= at + 24 else 0
+        delay, padding = d >> 12, d & 0xFFF
+        return frames, *((delay, padding) if max(delay, padding) <= 2880 else (0, 0))
+    if frame[36:40] == b"VBRI":
+        return int.from_bytes(frame[50:54], "big"), 0, 0
+    return None
 
 
 def mux_mp3(streams: list[Stream], packets: list[Packet]) -> bytes:
@@ -484,11 +505,13 @@ FLV_VIDEO = {2: "flv1", 4: "vp6", 7: "h264", 12: "h265"}
 def demux_flv(data: bytes) -> Media:
     if data[:3] != b"FLV":
         raise ValueError("not an FLV file")
-    at, streams, packets = int.from_bytes(data[5:9], "big") + 4, {}, []
+    at, streams, packets, told = int.from_bytes(data[5:9], "big") + 4, {}, [], {}
     while at + 11 <= len(data):
         kind, size = data[at] & 31, int.from_bytes(data[at + 1 : at + 4], "big")
         time = int.from_bytes(data[at + 4 : at + 7], "big") | data[at + 7] << 24
         body = data[at + 11 : at + 11 + size]
+        if kind == 18:
+            told = {k: v for k in ("duration", "width", "height") if (v := amf_number(body, k)) is not None} | told
         if kind in (8, 9) and body:
             codec = (FLV_AUDIO.get(body[0] >> 4) if kind == 8 else FLV_VIDEO.get(body[0] & 15)) or "none"
             if kind not in streams:
@@ -509,9 +532,22 @@ def demux_flv(data: bytes) -> Media:
             else:
                 packets.append(Packet(s.index, time + cts, time, body[skip:], 0, kind == 8 or body[0] >> 4 == 1, at))
         at += 11 + size + 4
+    for kind, s in streams.items():
+        s.duration = int(told["duration"] * 1000) if "duration" in told else s.duration
+        if kind == 9:
+            s.width, s.height = int(told.get("width", s.width)), int(told.get("height", s.height))
     return list(streams.values()), packets
 
 
+def amf_number(body: bytes, key: str) -> float | None:
+    """The positive finite number that follows a key in the metadata of a script tag."""
+    at = body.find(key.encode()) + len(key)
+    if at < len(key) or len(body) < at + 9 or body[at]:
+        return None
+    value = struct.unpack(">d", body[at + 1 : at + 9])[0]
+    return value if 0 < value < float("inf") else None
+
+
 def mux_flv(streams: list[Stream], packets: list[Packet]) -> bytes:
     kinds = {s.index: 8 if s.media_type == "audio" else 9 for s in streams}
     has = sum({8: 4, 9: 1}[k] for k in set(kinds.values()))

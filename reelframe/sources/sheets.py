@@ -43,8 +43,15 @@ def next_chapter(chapters: DataFrame, now: float) -> DataFrame:
     return chapters.where(F.col("start") > now).groupBy("path").agg(F.min("start").alias("target"))
 
 
-def raw_dump(frames: DataFrame, most: int = 10) -> DataFrame:
-    """(path, content): the planes of the first `most` frames of each file one after the other."""
+def raw_dump(frames: DataFrame, most: int = 10, fmt: str | None = None) -> DataFrame:
+    """(path, content): the planes of the first `most` frames of each file one after the other.
+
+    Frames of another pixel format than yuv420p, if it is told, are converted to it.
+    """
+    if fmt not in (None, "yuv420p"):
+        from ..plans.pictures import Pictures
+
+        frames = Pictures(frames, fmt).yuv420().run()
     first = frames.withColumn("_n", F.row_number().over(_by_frame())).where(F.col("_n") <= most)
 
     def run(table: pa.Table) -> pa.Table:
