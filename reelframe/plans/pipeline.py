@@ -20,7 +20,7 @@ from ..sources import media as M
 
 @dataclass
 class Transcode:
-    """Audio transcoding of media files."""
+    """Audio transcoding of media files; in_order: of codecs whose packets depend on the ones before (Vorbis)."""
 
     media: DataFrame
     ss: float = 0.0
@@ -28,6 +28,7 @@ class Transcode:
     rate: int | None = None
     channels: int | None = None
     filters: list[tuple] = field(default_factory=list)
+    in_order: bool = False
 
     def trim(self, ss: float = 0.0, t: float | None = None) -> Transcode:
         self.ss, self.t = ss, t
@@ -65,7 +66,8 @@ class Transcode:
         p = P.trim_start(p, self.ss)
         if self.t is not None:
             p = P.limit_duration(p, self.t, self.ss)
-        out = M.decode_audio(p, M.streams(self.media)).where("status = 'ok'")
+        decode = M.decode_in_order if self.in_order else M.decode_audio
+        out = decode(p, M.streams(self.media)).where("status = 'ok'")
         time = seconds("pts", F.lit(1), F.col("rate"))
         for f in self.filters:
             s = A.volume("samples", f[1]) if f[0] == "volume" else A.fade("samples", time, f[2], f[3], f[1])
