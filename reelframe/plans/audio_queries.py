@@ -131,10 +131,24 @@ def eq_coefficients(spark, d):
     return p.select("p_partkey", *(F.round(c, 9).alias(n) for n, c in cols.items()))
 
 
-@query()
+_BANDS = [(1000.0, 6.0, 1.0), (4000.0, -3.0, 0.7)]
+
+
+def _equalizer_sql() -> str:
+    """Two bands one after the other, sample by sample along each stream."""
+    p, q = ([f"CAST({c!r} AS DOUBLE)" for c in A.peaking(*band, 44100)] for band in _BANDS)
+    first = f"({p[0]} * e.v + {p[1]} * r.x1 + {p[2]} * r.x2 - {p[3]} * r.y1 - {p[4]} * r.y2)"
+    second = f"({q[0]} * y + {q[1]} * y1 + {q[2]} * y2 - {q[3]} * z1 - {q[4]} * z2)"
+    return f"""WITH RECURSIVE {_A[5:]}, e AS (SELECT frame_no // 50 AS stream, frame_no, CAST(i AS INT) AS i, frame_no % 50 * 64 + i AS n, samples[i + 1] AS v FROM audio, range(64) t(i)),
+        r AS (SELECT stream, n, v AS x1, CAST(0 AS DOUBLE) AS x2, {p[0]} * v AS y1, CAST(0 AS DOUBLE) AS y2, {q[0]} * ({p[0]} * v) AS z1, CAST(0 AS DOUBLE) AS z2 FROM e WHERE n = 0
+            UNION ALL SELECT stream, n, v, x1, y, y1, {second}, z1 FROM (SELECT e.stream, e.n, e.v, r.x1, r.y1, r.y2, r.z1, r.z2, {first} AS y FROM r JOIN e ON e.stream = r.stream AND e.n = r.n + 1))
+        SELECT e.frame_no, e.i, round(r.z1, 6) + 0.0 AS v FROM r JOIN e ON e.stream = r.stream AND e.n = r.n"""
+
+
+@query(_equalizer_sql())
 def equalizer(spark, d):
     frames = V.audio(spark, d).withColumn("stream", F.floor(F.col("frame_no") / 50))
-    return _rows(A.equalize(frames, [(1000.0, 6.0, 1.0), (4000.0, -3.0, 0.7)]), F.col("samples"))
+    return _rows(A.equalize(frames, _BANDS), F.col("samples"))
 
 
 @query(_sql(_each("x / 8388608", _each("CAST(greatest(-2147483648.0, least(2147483647.0, round(x * 2147483648))) AS BIGINT)")), 9))

@@ -68,14 +68,28 @@ def mp4_roundtrip(spark, d):
     return _back(spark, d, "mp4", "mp4").select("path", "stream_index", "pts", "is_keyframe", "size")
 
 
-def _one_kind(spark, d, fmt, codec, media="audio"):
-    """Packets of one stream of a codec for each path, written and read again."""
+def _one_kind_files(spark, d, fmt, codec, media="audio"):
+    """Files of one stream of a codec for each path."""
     p = _packets(spark, d, 1)
     s = p.select("path").distinct()
     video = media == "video"
     cells = {"index": 0, "media_type": media, "codec": codec, "tb_num": 1, "tb_den": 1000 if video else 44100, "rate": 0 if video else 44100, "channels": 0 if video else 2, "bits": 0 if video else 16, "width": 64 if video else 0, "height": 48 if video else 0}
     s = s.select("path", *(F.lit(v).alias(k) for k, v in cells.items()), F.lit(None).cast("binary").alias("extra"))
-    return M.packets(M.mux(s, p, fmt), fmt).where("status = 'ok'")
+    return M.mux(s, p, fmt)
+
+
+def _one_kind(spark, d, fmt, codec, media="audio"):
+    return M.packets(_one_kind_files(spark, d, fmt, codec, media), fmt).where("status = 'ok'")
+
+
+@query(f"{_sql(1)}, g AS (SELECT path, count(*) AS n, max(pts) + 1 AS last FROM n GROUP BY path) SELECT path, 'matroska' AS format, last AS duration FROM g UNION ALL SELECT path, 'avi', n FROM g UNION ALL SELECT path, 'aac', 1024 * n FROM g")
+def container_durations(spark, d):
+    """Durations by the latest end, by the number of frames, and by the samples of all frames."""
+    out = None
+    for fmt, codec, media in (("matroska", "h264", "video"), ("avi", "h264", "video"), ("aac", "aac", "audio")):
+        rows = M.streams(_one_kind_files(spark, d, fmt, codec, media), fmt).select("path", "format", "duration")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 @query(f"{_sql(1)} SELECT path, row_number() OVER (PARTITION BY path ORDER BY seq) - 1 AS pts, is_keyframe, size FROM n")

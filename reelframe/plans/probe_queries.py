@@ -206,7 +206,18 @@ def flac_fixed_residuals(spark, d):
     return _s16(spark, d).select("frame_no", F.posexplode(flac.residual_column("s", 2)).alias("i", "v"))
 
 
-@query()
+def _best_order_sql() -> str:
+    """Rice bits of each order of differences: by the parameter that their mean asks for."""
+    steps = [f"r0 AS (SELECT frame_no, 0 AS ord, {_S16} AS r FROM audio)"]
+    steps += [f"r{k} AS (SELECT frame_no, {k} AS ord, list_transform(range(len(r) - 1), lambda i: r[i + 2] - r[i + 1]) AS r FROM r{k - 1})" for k in range(1, 5)]
+    union = " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(5))
+    mean = "CAST(trunc(list_avg(list_transform(r, lambda e: abs(e)))) AS BIGINT)"
+    return f"""{_A}, {", ".join(steps)}, u AS ({union}), m AS (SELECT *, {mean} AS mean FROM u), k AS (SELECT *, CASE WHEN mean = 0 THEN 0 ELSE least(14, length(bin(mean))) END AS k FROM m),
+        c AS (SELECT frame_no, ord, list_sum(list_transform(r, lambda e: (CASE WHEN e >= 0 THEN 2 * e ELSE -2 * e - 1 END) >> k)) + len(r) * (k + 1) AS bits FROM k)
+        SELECT frame_no, ord AS "order" FROM c QUALIFY row_number() OVER (PARTITION BY frame_no ORDER BY bits, ord) = 1"""
+
+
+@query(_best_order_sql())
 def flac_best_order(spark, d):
     return _kernel(_s16(spark, d), "s", lambda s: flac.best_order(np.asarray(s))[0], "int").select("frame_no", F.col("out").alias("order"))
 

@@ -881,6 +881,7 @@ def demux_avi(data: bytes) -> Media:
                 kind, code = data[at : at + 4], data[at + 4 : at + 8]
                 s.media_type = {b"vids": "video", b"auds": "audio"}.get(kind, "data")
                 scale, rate = struct.unpack("<II", data[at + 20 : at + 28])
+                s.duration = int.from_bytes(data[at + 32 : at + 36], "little") or None
                 s.tb, s.codec = (scale or 1, rate or 1), AVI_VIDEO.get(code, "none") if kind == b"vids" else "none"
             elif name == b"strf" and s.media_type == "video":
                 s.width, s.height = (abs(x) for x in struct.unpack("<ii", data[at + 4 : at + 12]))
