@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import video as K
 from ..sources import media as M
 from . import views as V
+from .pipeline import Transcode
 from .registry import query
 
 
@@ -114,13 +115,18 @@ def ogg_roundtrip(spark, d):
     return M.packets(M.mux(s, p.unionByName(tags), "ogg"), "ogg").where("status = 'ok'").select("path", "pts", "size")
 
 
-def _samples(spark, d, fmt, codec, bits=16):
-    """Ten frames a file, written with a codec in a format, probed, read and decoded again: (path, i, v)."""
+def _samples_files(spark, d, fmt, codec, bits=16):
+    """Files of ten frames each, written with a codec in a format."""
     n = F.col("frame_no")
     frames = V.audio(spark, d).select(F.floor(n / 10).cast("string").alias("path"), F.lit(0).alias("stream_index"), n.alias("frame_no"), (n % 10 * 64).alias("pts"), F.lit(64).alias("nb_samples"), F.lit(44100).alias("rate"), F.lit(1).alias("channels"), "samples")
     cells = {"index": 0, "media_type": "audio", "codec": codec, "tb_num": 1, "tb_den": 44100, "rate": 44100, "channels": 1, "bits": bits, "width": 0, "height": 0}
     streams = frames.select("path").distinct().select("path", *(F.lit(v).alias(k) for k, v in cells.items()), F.lit(None).cast("binary").alias("extra"))
-    files = M.mux(streams, M.encode_audio(frames, codec), fmt)
+    return M.mux(streams, M.encode_audio(frames, codec), fmt)
+
+
+def _samples(spark, d, fmt, codec, bits=16):
+    """The files probed, read and decoded again: (path, i, v)."""
+    files = _samples_files(spark, d, fmt, codec, bits)
     back = M.decode_audio(M.packets(files), M.streams(files)).where("status = 'ok'")
     return back.select("path", "pts", F.posexplode("samples").alias("i", "v")).select("path", (F.col("pts") + F.col("i")).alias("i"), (F.round("v", 9) + F.lit(0.0)).alias("v"))
 
@@ -145,6 +151,21 @@ def flac_file_roundtrip(spark, d):
     return _samples(spark, d, "flac", "flac")
 
 
+_POS = "(i * (CAST(44100 AS DOUBLE) / 48000))"
+_LOW = f"CAST(floor({_POS}) AS INT)"
+_PLAIN = V.duck("audio") + """, f AS (SELECT frame_no // 10 AS f, frame_no, list_transform(samples, lambda x: greatest(-32768, least(32767, round(x * 32768))) / 32768 * 0.5) AS s FROM audio),
+    w AS (SELECT f, flatten(list(s ORDER BY frame_no)) AS s, max(len(s)) * count(*) AS n FROM f GROUP BY f)"""
+
+
+@query(f"{_PLAIN}, r AS (SELECT f, i, c, s[{_LOW} + 1] + (s[least({_LOW} + 1, n - 1) + 1] - s[{_LOW} + 1]) * ({_POS} - {_LOW}) AS v FROM w, range(697) t(i), (VALUES (0), (1)) k(c)) SELECT CAST(f AS VARCHAR) AS path, 2 * i + c AS i, round(greatest(-32768, least(32767, round(v * 32768))) / 32768, 9) + 0.0 AS v FROM r")
+def transcode_flac(spark, d):
+    """WAV files of 640 samples: halved, to stereo, to 48 kHz, into FLAC files, and these decoded."""
+    plan = Transcode(_samples_files(spark, d, "wav", "pcm_s16le")).chain("volume=0.5").resample(48000, 2)
+    files = plan.files("flac", "out.flac")
+    back = M.decode_audio(M.packets(files), M.streams(files)).where("status = 'ok'")
+    return back.select("path", (F.col("pts") * 2).alias("first"), F.posexplode("samples").alias("i", "v")).select("path", (F.col("first") + F.col("i")).alias("i"), (F.round("v", 9) + F.lit(0.0)).alias("v"))
+
+
 @query(V.duck("audio") + ", o AS (SELECT frame_no // 10 AS f, frame_no, list_transform(samples, lambda x: round(greatest(-32768, least(32767, round(x * 32768))) / 32768, 9)) AS s FROM audio) SELECT CAST(f AS VARCHAR) AS path, frame_no % 10 * 64 + i AS i, s[i + 1] + 0.0 AS v FROM o, range(64) t(i)")
 def wav_roundtrip(spark, d):
     """Ten frames a file, written as 16-bit WAV, probed, read and decoded again."""

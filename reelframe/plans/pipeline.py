@@ -11,13 +11,21 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_filter_chain
+from ..functions.text import EXTENSIONS, parse_filter_chain
 from ..functions.timebase import seconds
 from ..operators import audio as A
 from ..operators import packets as P
 from ..sources import media as M
 
 
+def container_of(name: str) -> str:
+    """The format that a name means: its own, or that of a file name's extension; a ValueError if none can be written."""
+    found = name if name in M.MUXERS else next((fmt for fmt, exts in EXTENSIONS.items() if name.rsplit(".", 1)[-1].lower() in exts), None)
+    if found not in M.MUXERS:
+        raise ValueError(f"{name}: no format that can be written")
+    return found
+
+
 @dataclass
 class Transcode:
     """Audio transcoding of media files; in_order: of codecs whose packets depend on the ones before (Vorbis)."""
@@ -81,13 +89,15 @@ class Transcode:
 
     def copied(self, fmt: str) -> DataFrame:
         """(path, content) of the files in another container, packets as they are; trimming applies, filters don't."""
+        fmt = container_of(fmt)
         p = P.trim_start(M.packets(self.media).where("status = 'ok'"), self.ss)
         if self.t is not None:
             p = P.limit_duration(p, self.t, self.ss)
         return M.mux(M.streams(self.media).where("status = 'ok'"), p, fmt)
 
     def files(self, codec: str, fmt: str) -> DataFrame:
-        """(path, content) of the transcoded files."""
+        """(path, content) of the transcoded files, in a format by its name or by that of a file."""
+        fmt = container_of(fmt)
         frames = self.frames()
         bits = {"pcm_u8": 8, "pcm_s24le": 24, "pcm_s32le": 32, "pcm_f32le": 32}.get(codec, 16)
         heads = frames.groupBy("path").agg(F.max("rate").alias("rate"), F.max("channels").alias("channels"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..codecs.pcm import encode_raw
 from ..functions.text import decode_sheet, parse_cue
+from ..operators.packets import chapter_at
 from . import media as M
 
 
@@ -32,6 +33,16 @@ def read_cues(media: DataFrame) -> DataFrame:
     return chapters.join(s, "audio", "left").withColumn("end", F.coalesce("end", "_total")).drop("_total", "file")
 
 
+def cue_packets(media: DataFrame) -> DataFrame:
+    """Packets of the audio files that sheets refer to, under the sheet's path, each with the chapter that it begins in."""
+    chapters = read_cues(media).where("codec IS NOT NULL")
+    sheets = chapters.select(F.col("path").alias("sheet"), F.col("audio").alias("path")).distinct()
+    p = M.packets(media.where(~F.lower("path").endswith(".cue"))).where("status = 'ok'").join(sheets, "path")
+    p = p.withColumn("time", F.col("pts") * F.col("tb_num") / F.col("tb_den")).drop("path").withColumnRenamed("sheet", "path")
+    at = chapter_at(chapters.select("path", "idx", "start", "end"), p.select("path", "time").distinct())
+    return p.join(at, ["path", "time"], "left").drop("time")
+
+
 def previous_chapter(chapters: DataFrame, now: float, grace: float = 3.0) -> DataFrame:
     """Where 'back' leads in each file: the current chapter's start, or within `grace` seconds of it the one before."""
     at = chapters.where(F.col("start") <= now - grace).groupBy("path").agg(F.max("start").alias("target"))

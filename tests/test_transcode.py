@@ -121,3 +121,19 @@ def test_seek_without_keyframes(spark):
     p = spark.createDataFrame([("a", 0, i, None if i == 2 else i * 10, i * 10, False) for i in range(4)], "path string, stream_index int, seq long, pts long, dts long, is_keyframe boolean")
     t = spark.createDataFrame([("a", 0, 25), ("a", 0, -1)], "path string, stream_index int, target long")
     assert [r.seq for r in Y.seek_point(p, t).collect()] == [0, 0]
+
+
+def test_cue_packets(spark):
+    data, _ = wav(44100 * 3, 1, 44100)
+    sheet = b'FILE "a.wav" WAVE\n TRACK 01 AUDIO\n  INDEX 01 00:00:00\n TRACK 02 AUDIO\n  INDEX 01 00:01:00\n'
+    rows = S.cue_packets(M.memory(spark, {"d/a.wav": data, "d/x.cue": sheet, "d/y.cue": sheet.replace(b"a.wav", b"none.wav")})).orderBy("seq").collect()
+    assert {r.path for r in rows} == {"d/x.cue"} and [r.chapter for r in rows] == [int(r.pts >= 44100) for r in rows] and len(rows) == 33
+
+
+def test_format_by_file_name(spark):
+    data, _ = wav(100, 1, 8000)
+    t = Transcode(M.memory(spark, {"a.wav": data}))
+    assert bytes(t.files("flac", "x/y.FLAC").first().content[:4]) == b"fLaC"
+    for name in ("x.yuv", "x.3gp", "noformat"):
+        with pytest.raises(ValueError):
+            t.files("flac", name)
