@@ -205,6 +205,38 @@ def peaking_columns(frequency: Column, gain_db: Column, q: Column, rate: int) ->
     return {"b0": (alpha * a + 1) / scale, "b1": F.cos(w) * -2 / scale, "b2": (1 - alpha * a) / scale, "a1": F.cos(w) * -2 / scale, "a2": (1 - alpha / a) / scale}
 
 
+class Biquad:
+    """A two-pole filter over blocks: what a block gives is a matrix times its samples plus one times the state before.
+
+    The state is the last two inputs and outputs of each channel.
+    """
+
+    def __init__(self, coefficients: tuple[float, float, float, float, float], block: int = 256):
+        self.c, self.block = coefficients, block
+        first = self._plain(np.r_[1.0, np.zeros(block - 1)], np.zeros(4))
+        at = np.arange(block)[:, None] - np.arange(block)[None]
+        self.inside = np.where(at >= 0, first[np.maximum(at, 0)], 0.0)
+        self.before = np.stack([self._plain(np.zeros(block), np.eye(4)[k]) for k in range(4)], 1)
+
+    def _plain(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+        (b0, b1, b2, a1, a2), (x1, x2, y1, y2), out = self.c, state, []
+        for v in x.tolist():
+            y = b0 * v + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
+            x2, x1, y2, y1 = x1, v, y1, y
+            out.append(y)
+        return np.array(out)
+
+    def run(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """(n, channels) samples; state (4, channels) goes on."""
+        out = np.empty_like(x)
+        for at in range(0, len(x), self.block):
+            part = x[at : at + self.block]
+            n = len(part)
+            y = out[at : at + n] = self.inside[:n, :n] @ part + self.before[:n] @ state
+            state[:] = np.array([part[-1], part[-2] if n > 1 else state[0], y[-1], y[-2] if n > 1 else state[2]])
+        return out
+
+
 def equalize(frames: DataFrame, bands: list[tuple[float, float, float]], rate: int = 44100, channels: int = 1) -> DataFrame:
     """Frames (stream, frame_no, samples) through a cascade of peaking bands (frequency, gain_db, q).
 
@@ -213,7 +245,7 @@ def equalize(frames: DataFrame, bands: list[tuple[float, float, float]], rate: i
     """
     names, schema = frames.columns, frames.schema
     at, order, key = names.index("samples"), names.index("frame_no"), names.index("stream")
-    coefficients = [peaking(*b, rate) for b in bands]
+    filters = [Biquad(peaking(*b, rate)) for b in bands]
 
     def run(batches):
         stream, state = None, None
@@ -221,17 +253,11 @@ def equalize(frames: DataFrame, bands: list[tuple[float, float, float]], rate: i
             out = []
             for k, s in zip(b.column(key).to_pylist(), b.column(at).to_pylist(), strict=True):
                 if state is None or k != stream:
-                    stream, state = k, np.zeros((len(coefficients), channels, 4))
-                y = list(s)
-                for band, (b0, b1, b2, a1, a2) in zip(state, coefficients, strict=True):
-                    for c in range(channels):
-                        x1, x2, y1, y2 = band[c]
-                        for i in range(c, len(y), channels):
-                            x = y[i]
-                            v = b0 * x + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
-                            x2, x1, y2, y1, y[i] = x1, x, y1, v, v
-                        band[c] = x1, x2, y1, y2
-                out.append(y)
+                    stream, state = k, np.zeros((len(filters), 4, channels))
+                y = np.array(s, np.float64).reshape(-1, channels)
+                for band, f in zip(state, filters, strict=True):
+                    y = f.run(y, band) if len(y) else y
+                out.append(y.reshape(-1))
             cols = list(b.columns)
             cols[at] = pa.array(out, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(cols, names=names)

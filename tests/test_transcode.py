@@ -137,3 +137,16 @@ def test_format_by_file_name(spark):
     for name in ("x.yuv", "x.3gp", "noformat"):
         with pytest.raises(ValueError):
             t.files("flac", name)
+
+
+def test_blocks_of_a_filter_equal_the_recursion():
+    rng = np.random.default_rng(1)
+    c = A.peaking(900.0, 5.0, 0.8, 8000)
+    f, x, state, parts = A.Biquad(c, 32), rng.normal(size=(500, 2)), np.zeros((4, 2)), []
+    for a, b in ((0, 1), (1, 2), (2, 70), (70, 103), (103, 500)):
+        parts.append(f.run(x[a:b], state))
+    got, want = np.concatenate(parts), np.zeros((502, 2))
+    x = np.r_[np.zeros((2, 2)), x]
+    for i in range(2, 502):
+        want[i] = c[0] * x[i] + c[1] * x[i - 1] + c[2] * x[i - 2] - c[3] * want[i - 1] - c[4] * want[i - 2]
+    assert np.allclose(got, want[2:], atol=1e-12)
