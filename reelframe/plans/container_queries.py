@@ -127,7 +127,7 @@ def _samples_files(spark, d, fmt, codec, bits=16):
 def _samples(spark, d, fmt, codec, bits=16):
     """The files probed, read and decoded again: (path, i, v)."""
     files = _samples_files(spark, d, fmt, codec, bits)
-    back = M.decode_audio(M.packets(files), M.streams(files)).where("status = 'ok'")
+    back = M.decode_audio(M.packets(files, coded=True)).where("status = 'ok'")
     return back.select("path", "pts", F.posexplode("samples").alias("i", "v")).select("path", (F.col("pts") + F.col("i")).alias("i"), (F.round("v", 9) + F.lit(0.0)).alias("v"))
 
 
@@ -162,7 +162,7 @@ def transcode_flac(spark, d):
     """WAV files of 640 samples: halved, to stereo, to 48 kHz, into FLAC files, and these decoded."""
     plan = Transcode(_samples_files(spark, d, "wav", "pcm_s16le")).chain("volume=0.5").resample(48000, 2)
     files = plan.files("flac", "out.flac")
-    back = M.decode_audio(M.packets(files), M.streams(files)).where("status = 'ok'")
+    back = M.decode_audio(M.packets(files, coded=True)).where("status = 'ok'")
     return back.select("path", (F.col("pts") * 2).alias("first"), F.posexplode("samples").alias("i", "v")).select("path", (F.col("first") + F.col("i")).alias("i"), (F.round("v", 9) + F.lit(0.0)).alias("v"))
 
 

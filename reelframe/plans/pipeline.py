@@ -70,12 +70,11 @@ class Transcode:
 
     def frames(self) -> DataFrame:
         """Decoded and filtered frames, of any rate and number of channels; packets that can't be decoded are left out."""
-        p = M.packets(self.media).where("status = 'ok'")
-        p = P.trim_start(p, self.ss)
+        p = P.trim_start(M.packets(self.media, coded=True).where("status = 'ok'"), self.ss)
         if self.t is not None:
             p = P.limit_duration(p, self.t, self.ss)
         decode = M.decode_in_order if self.in_order else M.decode_audio
-        out = decode(p, M.streams(self.media)).where("status = 'ok'")
+        out = decode(p).where("status = 'ok'")
         time = seconds("pts", F.lit(1), F.col("rate"))
         for f in self.filters:
             s = A.volume("samples", f[1]) if f[0] == "volume" else A.fade("samples", time, f[2], f[3], f[1])

@@ -65,32 +65,49 @@ def streams(media: DataFrame, forced: str | None = None) -> DataFrame:
     return media.select("path", "content").mapInArrow(run, STREAMS)
 
 
-def packets(media: DataFrame, forced: str | None = None) -> DataFrame:
-    """One row for each packet, in arrival order by seq."""
+#: What decoding needs to know of a packet's stream.
+CODED = "codec string, rate int, channels int, bits int, extra binary"
+
+
+def packets(media: DataFrame, forced: str | None = None, coded: bool = False) -> DataFrame:
+    """One row for each packet, in arrival order by seq; coded: with the columns of its stream that decoding needs.
+
+    So a plan that decodes reads each file once and joins nothing.
+    """
+    schema = f"{PACKETS}, {CODED}" if coded else PACKETS
 
     def run(batches):
         for path, _, found, parts, error in _parsed(batches, forced):
+            more = [(s.codec, s.rate, s.channels, s.bits, s.extra) if coded else () for s in found]
             if error:
-                yield _table([(path, *[None] * 11, "error", error)], PACKETS)
+                yield _table([(path, *[None] * 11, "error", error, *([None] * 5 if coded else ()))], schema)
                 continue
-            rows = [(path, n, p.stream, p.pts, p.dts, p.duration, *found[p.stream].tb, p.key, p.pos, len(p.data), p.data, "ok", None) for n, p in enumerate(parts)]
-            for at in range(0, len(rows), 1000):
-                yield _table(rows[at : at + 1000], PACKETS)
+            for at in range(0, len(parts), 1000):
+                rows = [(path, n, p.stream, p.pts, p.dts, p.duration, *found[p.stream].tb, p.key, p.pos, len(p.data), p.data, "ok", None, *more[p.stream]) for n, p in enumerate(parts[at : at + 1000], at)]
+                yield _table(rows, schema)
+
+    return media.select("path", "content").mapInArrow(run, schema)
+
 
-    return media.select("path", "content").mapInArrow(run, PACKETS)
+def _with_streams(packets: DataFrame, streams: DataFrame | None) -> DataFrame:
+    """Good packets with the columns of CODED: their own, or those of streams."""
+    rows = packets.where("status = 'ok'")
+    if streams is None:
+        return rows
+    meta = streams.where("status = 'ok'").select("path", F.col("index").alias("stream_index"), "codec", "rate", "channels", "bits", "extra")
+    return rows.select("path", "stream_index", "seq", *(["pts"] if "pts" in rows.columns else []), "data").join(meta, ["path", "stream_index"])
 
 
 FRAMES = "path string, stream_index int, frame_no long, pts long, nb_samples int, rate int, channels int, samples array<double>, status string, error string"
 
 
-def decode_audio(packets: DataFrame, streams: DataFrame) -> DataFrame:
+def decode_audio(packets: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """Audio frames of PCM and FLAC packets as interleaved doubles in -1..1; every packet is decoded by itself.
 
-    A packet that can't be decoded doesn't fail the job: its row has status 'error', the reason, and no samples. Streams
-    are few and joined by the planner's choice (broadcast below its threshold).
+    A packet that can't be decoded doesn't fail the job: its row has status 'error', the reason, and no samples. Packets
+    are coded ones, or streams are given: these are few and joined by the planner's choice.
     """
-    meta = streams.where("status = 'ok' AND (codec = 'flac' OR codec LIKE 'pcm%')").select("path", F.col("index").alias("stream_index"), "codec", "rate", "channels", "bits")
-    rows = packets.where("status = 'ok'").select("path", "stream_index", "seq", "pts", "data").join(meta, ["path", "stream_index"])
+    rows = _with_streams(packets, streams).where("codec = 'flac' OR codec LIKE 'pcm%'").select("path", "stream_index", "seq", "pts", "data", "codec", "rate", "channels", "bits")
 
     def samples(codec, data, channels, bits, rate):
         if codec == "flac":
@@ -121,16 +138,14 @@ def decode_audio(packets: DataFrame, streams: DataFrame) -> DataFrame:
 STATEFUL = ("vorbis",)
 
 
-def decode_in_order(packets: DataFrame, streams: DataFrame) -> DataFrame:
+def decode_in_order(packets: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """Audio frames of codecs whose packets depend on the ones before (Vorbis), as decode_audio gives them.
 
     The packets of a stream come sorted to one task, batch by batch; only the decoder's state is kept between them. Times
     count samples from the stream's first. A stream whose headers are broken has one row with status 'error'; so has each
     packet that can't be decoded.
     """
-    meta = streams.where(F.col("status") == "ok").where(F.col("codec").isin(*STATEFUL)).select("path", F.col("index").alias("stream_index"), "extra", "rate", "channels")
-    rows = packets.where("status = 'ok'").select("path", "stream_index", "seq", "data").join(meta, ["path", "stream_index"])
-    rows = rows.select("path", "stream_index", "seq", "data", "extra", "rate", "channels")
+    rows = _with_streams(packets, streams).where(F.col("codec").isin(*STATEFUL)).select("path", "stream_index", "seq", "data", "extra", "rate", "channels")
 
     def run(batches):
         from ..codecs import vorbis

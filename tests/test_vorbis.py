@@ -353,5 +353,5 @@ def test_files_through_the_plan(spark):
     for r, x in zip(rows, want, strict=True):
         assert np.allclose(np.array(r.samples).reshape(-1, 2), x, rtol=1e-6, atol=1e-12)
     broken = M.packets(media).selectExpr("path", "stream_index", "seq", "data", "status")
-    heads = M.streams(media).selectExpr("path", "index", "codec", "substring(extra, 1, 40) AS extra", "rate", "channels", "status")
+    heads = M.streams(media).selectExpr("path", "index", "codec", "substring(extra, 1, 40) AS extra", "rate", "channels", "bits", "status")
     assert [r.status for r in M.decode_in_order(broken, heads).collect()] == ["error"]
