@@ -133,6 +133,17 @@ def _shrink(batches):
     yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], names=["u", "v"])
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with groups (a row for each key, n: how many rows it has), `total` being the rows' number or more.
+
+    Groups of over a thousandth of the rows, 1,000 at most, are sent to where their rows are; the others meet them.
+    """
+    bound = max(100, total // 1000)
+    many = F.broadcast(groups.where(F.col("n") >= bound).drop("n"))
+    few = rows.join(many.select(key), key, "left_anti").join(groups.where(F.col("n") < bound).drop("n"), key)
+    return few.unionByName(rows.join(many, key))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60, link: Callable | None = None) -> DataFrame:
     """(node long, root long) for each node of edges (u long, v long); root is the component's smallest node.
 
@@ -144,14 +155,11 @@ def connected_components(edges: DataFrame, rounds: int = 60, link: Callable | No
     """
     if link is None:
         edges = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v")
-    e = cut(edges.mapInArrow(lambda batches: _shrink(link(batches) if link else batches), "u long, v long"))
+    e = cut(edges.mapInArrow(lambda batches: _shrink(link(batches) if link else batches), "u long, v long").distinct())
 
     def hang(rows: DataFrame, low: DataFrame, ends: int) -> DataFrame:
         """(v, m) of each row (u, v): m is that of u."""
-        bound = max(100, ends // 1000)
-        hubs = F.broadcast(low.where(F.col("n") >= bound).select("u", "m"))
-        few = rows.join(hubs.select("u"), "u", "left_anti").join(low.where(F.col("n") < bound).select("u", "m"), "u")
-        return few.union(rows.join(hubs, "u").select(few.columns)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        return join_groups(rows, low, "u", ends).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
     now, last = _state(e), None
     for _ in range(rounds):

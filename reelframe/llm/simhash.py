@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, connected_components, cut, key_bits, map_texts, texts_of
+from .common import Forest, connected_components, cut, join_groups, key_bits, map_texts, texts_of
 from .wordarrays import Words
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -164,9 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut(fingerprints(docs, id_col, text_col, words, seed))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = link_fingerprints(distinct.select("fp"), most)
-    tree = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = tree.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = cut(tree.join(least, "root").select("fp", "component_id"))
+    tree = cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    least = tree.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    named = cut(join_groups(tree, least, "root", tree.count()).select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -220,10 +220,11 @@ def most_bits(least: float) -> int:
     return int(64 * PRINTS * np.arccos(2 * least / (1 + least)) / np.pi)
 
 
-def print_keys(prints: np.ndarray) -> np.ndarray:
-    """(texts, 160) bucket keys: two whole blocks of one of the prints, with the numbers of both in front."""
+def print_keys(prints: np.ndarray, first: int = 0, last: int = PRINTS) -> np.ndarray:
+    """(texts, 10 each) bucket keys of the prints first..last-1: two whole blocks of one, with the numbers of both in front."""
+    of, prints = np.arange(first, last, dtype=np.uint64), prints[:, first:last]
     block = [(prints >> np.uint64(low)) & np.uint64((1 << width) - 1) for low, width in BLOCKS]
-    out = [block[a] << np.uint64(13) | block[b] | np.uint64(n << 26) | (np.arange(PRINTS, dtype=np.uint64) << np.uint64(30))[None] for n, (a, b) in enumerate(_PAIRS)]
+    out = [block[a] << np.uint64(13) | block[b] | np.uint64(n << 26) | (of << np.uint64(30))[None] for n, (a, b) in enumerate(_PAIRS)]
     return np.stack(out, 2).reshape(len(prints), -1).astype(np.int64)
 
 
@@ -261,29 +262,33 @@ def _groups(batches):
 
 
 def _buckets(batches):
-    """(bucket, node) of the buckets with two nodes or more, from (key, node) sorted; buckets of the same nodes are one."""
+    """(bucket, node) of the buckets that hold nodes of two groups or more, from (key, node, group) sorted by key.
 
-    def told(keys, nodes):
+    Buckets of the same nodes get the same number.
+    """
+
+    def told(keys, nodes, groups):
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
         with np.errstate(over="ignore"):
             name = np.add.reduceat(_mixed(nodes.view(np.uint64)), starts) + _mixed(sizes.astype(np.uint64))
-        more = np.repeat(sizes > 1, sizes)
+        more = np.repeat(np.minimum.reduceat(groups, starts) < np.maximum.reduceat(groups, starts), sizes)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, sizes)[more].view(np.int64)), pa.array(nodes[more])], names=["bucket", "node"])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     for b in batches:
-        k, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+        cols = tuple(c.to_numpy() for c in b.columns)
+        k = cols[0]
         if not len(k):
             continue
         if k[-1] == (held[0][0][0] if held else k[0] - 1):
-            held.append((k, n))  # the open key goes on
+            held.append(cols)  # the open key goes on
             continue
         last = np.searchsorted(k, k[-1])
-        parts = [*held, (k[:last], n[:last])]
-        held = [(k[last:], n[last:])]
-        if len(whole := np.concatenate([x for x, _ in parts])):
-            yield told(whole, np.concatenate([x for _, x in parts]))
+        parts = [*held, tuple(c[:last] for c in cols)]
+        held = [tuple(c[last:] for c in cols)]
+        if sum(len(p[0]) for p in parts):
+            yield told(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     if held:
         yield told(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -294,8 +299,11 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_co
     The similarity is what the distance of wide prints tells: 1,024 bits, so within 0.03 of the true one (two standard
     errors) at 0.8. Pairs are looked at that share two whole blocks in one of sixteen prints: by their distances 0.87 of
     those at 0.8, 0.98 at 0.85 and over 0.999 at 0.9. component_id is the smallest id reachable by links. Odd rows as in
-    near_duplicates. Equal prints are merged first; a bucket's rows are sorted, and only their nodes, with their prints
-    if there are two or more, go on.
+    near_duplicates.
+
+    Equal prints are merged first. Buckets of the first two prints are linked before those of the others, of which only
+    those that hold texts of different groups by then are looked at: the rest can join nothing. So large groups of copies,
+    which share nearly all buckets, are compared in a few of them.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -309,12 +317,21 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_co
     prints = cut(map_texts(rows, run, "doc_id long, print binary", 1))
     distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
 
-    def keys_of(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                keys = print_keys(_as_prints(part.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "node"])
+    def met(nodes: DataFrame, first: int, last: int) -> DataFrame:
+        """(bucket, node, print), sorted, of the buckets of prints first..last-1 with nodes (node, group, print) of two groups."""
+
+        def keys_of(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, 500):
+                    part = b.slice(at, 500)
+                    keys = print_keys(_as_prints(part.column(2)), first, last)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(part.column(i).to_numpy(), keys.shape[1])) for i in (0, 1))], names=["key", "node", "group"])
+
+        keys = nodes.select("node", "group", "print").mapInArrow(keys_of, "key long, node long, group long")
+        keys = keys.repartition(parts, "key").sortWithinPartitions("key", "node")
+        members = keys.mapInArrow(_buckets, "bucket long, node long").distinct()
+        rows = members.join(nodes.select("node", "print"), "node").select("bucket", "node", "print")
+        return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
 
     def link(batches):
         for t in _groups(batches):
@@ -324,14 +341,13 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_co
             u, v = np.array(edges, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"])
 
-    keys = distinct.select("node", "print").mapInArrow(keys_of, "key long, node long")
-    keys = keys.repartition(parts, "key").sortWithinPartitions("key", "node")
-    members = keys.mapInArrow(_buckets, "bucket long, node long").distinct()
-    met = members.join(distinct.select("node", "print"), "node").select("bucket", "node", "print")
-    met = met.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
-    roots = connected_components(met, link=link)
-    tree = distinct.join(roots, "node", "left").select("print", "rep", F.coalesce("root", "node").alias("root"))
-    named = tree.join(tree.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("print", "component_id")
+    early = connected_components(met(distinct.withColumn("group", F.col("node")), 0, 2), link=link)
+    grouped = cut(distinct.join(early, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "print"))
+    late = cut(met(grouped, 2, PRINTS).mapInArrow(link, "u long, v long"))
+    roots = connected_components(late.union(early.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    tree = cut(distinct.join(roots, "node", "left").select("print", "rep", F.coalesce("root", "node").alias("root")))
+    least = tree.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    named = join_groups(tree, least, "root", tree.count()).select("print", "component_id")
     return prints.join(cut(named), "print").select("doc_id", "component_id")
 
 

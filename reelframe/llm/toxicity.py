@@ -183,7 +183,10 @@ def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: SeverityModel) -> DataFrame:
-    """docs without the rows whose text the model calls toxic; columns are those of docs, null texts stay."""
+    """docs without the rows whose text the model calls toxic; columns are those of docs.
+
+    Row by row: null and empty texts stay, repeated rows stay or go together, an empty table gives no rows.
+    """
     names, sent = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
     at = names.index("text")
 
