@@ -262,17 +262,17 @@ def _groups(batches):
 
 
 def _buckets(batches):
-    """(bucket, node) of the buckets that hold nodes of two groups or more, from (key, node, group) sorted by key.
+    """(bucket, node) of the buckets that hold two nodes or more, from (key, node) sorted by key.
 
     Buckets of the same nodes get the same number.
     """
 
-    def told(keys, nodes, groups):
+    def told(keys, nodes):
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
         with np.errstate(over="ignore"):
             name = np.add.reduceat(_mixed(nodes.view(np.uint64)), starts) + _mixed(sizes.astype(np.uint64))
-        more = np.repeat(np.minimum.reduceat(groups, starts) < np.maximum.reduceat(groups, starts), sizes)
+        more = np.repeat(sizes > 1, sizes)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, sizes)[more].view(np.int64)), pa.array(nodes[more])], names=["bucket", "node"])
 
     held: list[tuple[np.ndarray, ...]] = []
@@ -301,9 +301,8 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_co
     those at 0.8, 0.98 at 0.85 and over 0.999 at 0.9. component_id is the smallest id reachable by links. Odd rows as in
     near_duplicates.
 
-    Equal prints are merged first. Buckets of the first two prints are linked before those of the others, of which only
-    those that hold texts of different groups by then are looked at: the rest can join nothing. So large groups of copies,
-    which share nearly all buckets, are compared in a few of them.
+    Equal prints are merged first. A bucket's rows are sorted, and only the nodes of buckets with two or more go on; each
+    node is joined with its print once, with the list of its buckets (160 at most).
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -317,21 +316,12 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_co
     prints = cut(map_texts(rows, run, "doc_id long, print binary", 1))
     distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
 
-    def met(nodes: DataFrame, first: int, last: int) -> DataFrame:
-        """(bucket, node, print), sorted, of the buckets of prints first..last-1 with nodes (node, group, print) of two groups."""
-
-        def keys_of(batches):
-            for b in batches:
-                for at in range(0, b.num_rows, 500):
-                    part = b.slice(at, 500)
-                    keys = print_keys(_as_prints(part.column(2)), first, last)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(part.column(i).to_numpy(), keys.shape[1])) for i in (0, 1))], names=["key", "node", "group"])
-
-        keys = nodes.select("node", "group", "print").mapInArrow(keys_of, "key long, node long, group long")
-        keys = keys.repartition(parts, "key").sortWithinPartitions("key", "node")
-        members = keys.mapInArrow(_buckets, "bucket long, node long").distinct()
-        rows = members.join(nodes.select("node", "print"), "node").select("bucket", "node", "print")
-        return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
+    def keys_of(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                keys = print_keys(_as_prints(part.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "node"])
 
     def link(batches):
         for t in _groups(batches):
@@ -341,10 +331,12 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_co
             u, v = np.array(edges, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"])
 
-    early = connected_components(met(distinct.withColumn("group", F.col("node")), 0, 2), link=link)
-    grouped = cut(distinct.join(early, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "print"))
-    late = cut(met(grouped, 2, PRINTS).mapInArrow(link, "u long, v long"))
-    roots = connected_components(late.union(early.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    keys = distinct.select("node", "print").mapInArrow(keys_of, "key long, node long")
+    keys = keys.repartition(parts, "key").sortWithinPartitions("key", "node")
+    members = keys.mapInArrow(_buckets, "bucket long, node long").groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    met = members.join(distinct.select("node", "print"), "node").select(F.explode("buckets").alias("bucket"), "node", "print")
+    met = met.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
+    roots = connected_components(met, link=link)
     tree = cut(distinct.join(roots, "node", "left").select("print", "rep", F.coalesce("root", "node").alias("root")))
     least = tree.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     named = join_groups(tree, least, "root", tree.count()).select("print", "component_id")
